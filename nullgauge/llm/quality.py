@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUE_FOLDED, mixed, per_doc, segment_hashes, slices, utf8, word_edges
+from .shared import BYTE_VALUE_FOLDED, distinct, mixed, per_doc, segment_hashes, slices, utf8, word_edges
 
 #: Words kept by a Misra-Gries summary; a common word has a larger share than 1 / SUMMARY.
 SUMMARY = 2000
@@ -169,7 +169,7 @@ def _repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     whole = np.flatnonzero(of[: n - WINDOW + 1] == of[WINDOW - 1 :])
     keys = mixed(windows[whole] ^ mixed(of[whole].astype(np.uint64) + np.uint64(1)))
     order = np.sort(keys)
-    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    twice = distinct(order[1:][order[1:] == order[:-1]])
     covered = np.zeros(n + 1, np.int64)
     if len(twice):
         hit = whole[np.isin(keys, twice)]
@@ -182,7 +182,7 @@ def _duplicate_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np
     """For each document, its \\n-split lines that hold a word and equal an earlier line."""
     docs = len(at) - 1
     breaks = np.flatnonzero(data == 10)
-    begin = np.unique(np.concatenate((at[:-1], breaks + 1)))
+    begin = distinct(np.concatenate((at[:-1], breaks + 1)))
     begin = begin[begin < len(data)]
     of = np.searchsorted(at, begin, "right") - 1
     stop = np.minimum(np.append(begin[1:], len(data)), at[of + 1])
