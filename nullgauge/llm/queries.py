@@ -6,9 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .mixing import mix
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack
+from .pii import personal_data
 from .quality import quality
 from .tokens import token_counts
+from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +35,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_bbit_minhash, op3_best_fit_packing, op4_token_counts)}
-ORACLES: dict[str, str] = {}
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op8_capped_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_bbit_minhash, op3_best_fit_packing, op4_token_counts, op5_warc_revisits, op6_personal_data, op8_capped_mixing)}
+
