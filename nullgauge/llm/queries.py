@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .html_crf import main_texts
 from .minhash import near_duplicates
 from .mixing import mix
@@ -52,5 +53,9 @@ def op8_capped_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_bbit_minhash, op3_best_fit_packing, op4_token_counts, op5_warc_revisits, op6_personal_data, op7_main_text, op8_capped_mixing)}
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_bbit_minhash, op3_best_fit_packing, op4_token_counts, op5_warc_revisits, op6_personal_data, op7_main_text, op8_capped_mixing, op10_cross_polytope)}
 
