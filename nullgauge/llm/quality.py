@@ -194,57 +194,74 @@ def _duplicate_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np
     return np.bincount(of, minlength=docs) - np.bincount(of[unique], minlength=docs)
 
 
-def _judge(references: dict, max_char: float, max_word: float, guard_chars: int, guard_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                docs = batch.num_rows
-                data, at, _ = utf8(batch.column("text"))
-                starts, ends, first = word_edges(data, at)
-                n_words = np.diff(first)
-                lead = (data & 0xC0) != 0x80
-                inside = np.zeros(len(data) + 1, np.int64)
-                np.add.at(inside, starts, 1)
-                np.add.at(inside, ends, -1)
-                word_chars = per_doc(lead & (np.cumsum(inside[:-1]) > 0), at)
-                repeated = _repeated_words(segment_hashes(data, starts, ends), first)
-                failed = (n_words < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n_words)
-                doc = np.repeat(np.arange(docs), np.diff(at))
-                chars = np.bincount(doc[lead] * N_CLASSES + _CLASS[data[lead]], minlength=docs * N_CLASSES).reshape(docs, N_CLASSES)
-                hashes = segment_hashes(data, starts, ends, BYTE_VALUE_FOLDED)
-                of = np.repeat(np.arange(docs), n_words)
-                lang = np.array(_languages(batch), object)
-                char_distance, word_distance = np.zeros(docs), np.zeros(docs)
-                for x in dict.fromkeys(lang):
-                    mine = np.flatnonzero(lang == x)
-                    common, word_counts, classes = references.get(x, (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(N_CLASSES, np.int64)))
-                    char_distance[mine] = js_distance(chars[mine], classes)
-                    row = np.full(docs, -1)
-                    row[mine] = np.arange(len(mine))
-                    own = row[of] >= 0
-                    h, r = hashes[own], row[of[own]]
-                    place = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
-                    place = np.where(common[place] == h, place, len(common)) if len(common) else np.zeros(len(h), np.int64)
-                    k = len(common) + 1
-                    word_distance[mine] = js_distance(np.bincount(r * k + place, minlength=len(mine) * k).reshape(len(mine), k), word_counts)
-                judged_chars, judged_words = chars.sum(1) >= guard_chars, n_words >= guard_words
-                diverges = (judged_chars & (char_distance > max_char)) | (judged_words & (word_distance > max_word))
-                columns = [batch.column("doc_id"), n_words, word_chars, per_doc(_SYMBOL[data], at), _duplicate_lines(data, at, starts), repeated, failed, ~failed & ~diverges, char_distance, word_distance]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, {"b": pa.bool_(), "f": pa.float64()}.get(c.dtype.kind, pa.int64())) for c in columns], NAMES)
-
-    return run
+def _verdicts(batch: pa.RecordBatch, references: dict, max_char: float, max_word: float, guard_chars: int, guard_words: int) -> list[np.ndarray]:
+    """The columns of NAMES after doc_id, for one slice of documents."""
+    docs = batch.num_rows
+    data, at, _ = utf8(batch.column("text"))
+    starts, ends, first = word_edges(data, at)
+    n_words = np.diff(first)
+    lead = (data & 0xC0) != 0x80
+    inside = np.zeros(len(data) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    word_chars = per_doc(lead & (np.cumsum(inside[:-1]) > 0), at)
+    repeated = _repeated_words(segment_hashes(data, starts, ends), first)
+    failed = (n_words < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n_words)
+    doc = np.repeat(np.arange(docs), np.diff(at))
+    chars = np.bincount(doc[lead] * N_CLASSES + _CLASS[data[lead]], minlength=docs * N_CLASSES).reshape(docs, N_CLASSES)
+    hashes = segment_hashes(data, starts, ends, BYTE_VALUE_FOLDED)
+    of = np.repeat(np.arange(docs), n_words)
+    lang = np.array(_languages(batch), object)
+    char_distance, word_distance = np.zeros(docs), np.zeros(docs)
+    unknown = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(N_CLASSES, np.int64)
+    for x in dict.fromkeys(lang):
+        mine = np.flatnonzero(lang == x)
+        common, word_counts, classes = references.get(x, unknown)
+        char_distance[mine] = js_distance(chars[mine], classes)
+        row = np.full(docs, -1)
+        row[mine] = np.arange(len(mine))
+        own = row[of] >= 0
+        h, r = hashes[own], row[of[own]]
+        place = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+        place = np.where(common[place] == h, place, len(common)) if len(common) else np.zeros(len(h), np.int64)
+        k = len(common) + 1
+        word_distance[mine] = js_distance(np.bincount(r * k + place, minlength=len(mine) * k).reshape(len(mine), k), word_counts)
+    judged_chars, judged_words = chars.sum(1) >= guard_chars, n_words >= guard_words
+    diverges = (judged_chars & (char_distance > max_char)) | (judged_words & (word_distance > max_word))
+    return [n_words, word_chars, per_doc(_SYMBOL[data], at), _duplicate_lines(data, at, starts), repeated, failed, ~failed & ~diverges, char_distance, word_distance]
 
 
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
+_LIMITS = {"max_char": 0.3, "max_word": 0.45, "guard_chars": 200, "guard_words": 50}
 
 
-def quality(documents: DataFrame, common_share: float = 0.004, max_char_distance: float = 0.3, max_word_distance: float = 0.45, guard_chars: int = 200, guard_words: int = 50) -> DataFrame:
+def quality(documents: DataFrame, common_share: float = 0.004, **limits: float) -> DataFrame:
     """One row per document with its base counts, both distances and the verdict `kept`.
 
-    documents: doc_id, text, lang. Two passes over the corpus make the references, a third judges; none shuffles text.
+    documents: doc_id, text, lang. limits: max_char and max_word, the distances from which a document is rejected, and
+    guard_chars and guard_words, the lengths from which it is judged by them. Two passes over the corpus make the
+    references, a third judges; none shuffles text.
     """
-    references = language_references(documents, common_share)
-    run = _judge(references, max_char_distance, max_word_distance, guard_chars, guard_words)
+    references, limits = language_references(documents, common_share), _LIMITS | limits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                columns = [pa.array(c, {"b": pa.bool_(), "f": pa.float64()}.get(c.dtype.kind, pa.int64())) for c in _verdicts(batch, references, **limits)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], NAMES)
+
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
     return documents.select("doc_id", "lang", "text").mapInArrow(run, schema)
+
+
+def good_documents(documents: DataFrame, common_share: float = 0.004, **limits: float) -> DataFrame:
+    """The rows of documents, with all their columns, that `quality` keeps."""
+    references, limits = language_references(documents, common_share), _LIMITS | limits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield batch.filter(pa.array(_verdicts(batch, references, **limits)[NAMES.index("kept") - 1]))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from .ann import nearest
 from .html_crf import main_texts
 from .minhash import near_duplicates
@@ -13,12 +14,13 @@ from .oracles import ORACLES  # noqa: F401
 from .packing import pack
 from .pii import personal_data
 from .quality import quality
+from .repeats import without_repeats
 from .tokens import token_counts
 from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +55,13 @@ def op8_capped_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_bbit_minhash, op3_best_fit_packing, op4_token_counts, op5_warc_revisits, op6_personal_data, op7_main_text, op8_capped_mixing, op10_cross_polytope)}
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_bbit_minhash, op3_best_fit_packing, op4_token_counts, op5_warc_revisits, op6_personal_data, op7_main_text, op8_capped_mixing, op9_suffix_repeats, op10_cross_polytope)}
 
