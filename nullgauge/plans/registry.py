@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration
+from . import calibration, evidence
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "calibration"]
+__all__ = ["ORACLES", "QUERIES", "calibration", "evidence"]
