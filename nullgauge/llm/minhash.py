@@ -6,10 +6,11 @@
 2. Classes that share a band key are candidates. In each bucket every member is paired with one centre, drawn by hash
    (bands share GROUPS drawings, so a large bucket has several centres), never with every other member.
 3. Packed signatures give the collision-corrected similarity (p - 2**-BITS) / (1 - 2**-BITS) by bit counts; pairs below
-   KEEP_ESTIMATE, more than five standard errors under the limit, and pairs whose sizes rule the limit out, go.
+   KEEP_ESTIMATE, 4.7 standard errors under the limit, and pairs whose sizes rule the limit out, go.
 4. The rest is confirmed on full shingle sets, read again for the documents concerned only.
-5. Components of confirmed links; then members of one bucket that are still in different components are paired, so
-   that no link is lost to the choice of centres, and confirmed likewise.
+5. Components of confirmed links. Members of one bucket that are still in different components are paired with other
+   drawn members, CENTRES a bucket, in ROUNDS rounds, and in the end with every member of another component, so that no
+   link is lost to the drawing. Signatures are compared inside these joins; only pairs that may link leave them.
 
 With 32 bands of 4 rows a link of similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 < 6e-6.
 
@@ -23,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BYTE_VALUE_FOLDED, mixed, saved, segment_hashes, slices, small_or_shuffled, utf8, word_edges
+from .shared import BYTE_VALUE_FOLDED, gathered, mixed, saved, segment_hashes, slices, small_or_shuffled, utf8, word_edges
 
-SHINGLE, BANDS, ROWS, BITS, GROUPS = 5, 32, 4, 2, 8
+SHINGLE, BANDS, ROWS, BITS, GROUPS = 5, 32, 4, 4, 8
 HASHES = BANDS * ROWS
-KEEP_ESTIMATE = 0.5
+KEEP_ESTIMATE = 0.56
+CENTRES, ROUNDS = 4, 2
 _draw = np.random.default_rng(5)
 _MULTIPLY = _draw.integers(1, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _draw.integers(0, 2**32, HASHES, np.uint32)
@@ -133,19 +135,34 @@ def estimated_similarity(a: str, b: str) -> Column:
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, signs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the limit."""
-    left = signs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("packed").alias("packed_a"))
-    right = signs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("packed").alias("packed_b"))
-    near = pairs.join(left, "a").join(right, "b").filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).filter(estimated_similarity("packed_a", "packed_b") >= KEEP_ESTIMATE)
-    near = saved(near.select("a", "b").distinct())
-    ids = saved(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
+def _may_link(percent: int) -> Column:
+    """Whether sizes and signatures (size_a, packed_a, size_b, packed_b) allow a link."""
+    return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (estimated_similarity("packed_a", "packed_b") >= KEEP_ESTIMATE)
+
+
+def _side(signs: DataFrame, side: str, *more: str) -> DataFrame:
+    return signs.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("packed").alias(f"packed_{side}"), *[F.col(c) if c == "key" else F.col(c).alias(f"{c}_{side}") for c in more])
+
+
+def _confirmed(near: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Those of the saved pairs (a, b) whose full shingle sets reach the limit."""
+    ids = gathered(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
     texts = documents.select("doc_id", "text").join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi")
     # rows of equal id may hold different texts: a pair holds if any of their sets reach the limit
     sets = texts.mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id", "shingles"])
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return near.join(one, "a").join(two, "b").filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct()
+    return gathered(near.join(one, "a").join(two, "b").filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct())
+
+
+def _still_apart(buckets: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, doc_id, component, main, n_shingles, packed) of buckets that hold several components; main is the
+    component with the most members."""
+    grouped = components(links, "a", "b").withColumnRenamed("node", "doc_id")
+    apart = buckets.join(grouped, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    parts = apart.groupBy("key", "component").agg(F.count("*").alias("n"))
+    several = parts.groupBy("key").agg(F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("members")).filter("parts > 1 AND members > 2").select("key", "main")
+    return gathered(apart.join(several, "key").join(heads.select("doc_id", "n_shingles", "packed"), "doc_id"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -160,17 +177,25 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     centres = banded.groupBy("key").agg(F.min(F.struct(drawn.alias("h"), "doc_id")).alias("centre"), F.count("*").alias("members")).filter("members > 1")
     buckets = saved(banded.join(centres, "key").select("key", "doc_id", F.col("centre.doc_id").alias("centre")))
     pairs = buckets.filter("doc_id != centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = saved(_confirmed(pairs, heads, documents, percent))
-    grouped = components(links, "a", "b")
-
-    # members of a bucket that are still apart; buckets of one component, as those of copies, end here
-    apart = buckets.select("key", "doc_id").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_keys = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low != high AND members > 2").select("key")
-    apart = saved(apart.join(mixed_keys, "key", "left_semi"))
-    other = apart.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-    more = apart.select("key", F.col("doc_id").alias("a"), F.col("component").alias("component_a")).join(other, "key").filter("a < b AND component_a != component_b").select("a", "b").distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(saved(_confirmed(more, heads, documents, percent)))
+    tested = gathered(pairs.join(_side(heads, "a"), "a").join(_side(heads, "b"), "b").filter(_may_link(percent)).select("a", "b"))
+    links = _confirmed(tested, documents, percent)
+    buckets = buckets.select("key", "doc_id")
+    for turn in range(ROUNDS + 1):
+        apart = _still_apart(buckets, heads, links)
+        if apart.isEmpty():
+            break
+        buckets = apart.select("key", "doc_id")
+        others = apart
+        if turn < ROUNDS:
+            # the limit chooses partners only: what they leave is tested in full in the last turn
+            order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key", F.lit(turn)), "doc_id")
+            others = apart.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CENTRES)
+        # of two components one is not the bucket's main one: its members look for links
+        met = _side(apart.filter("component != main"), "a", "key", "component").join(_side(others, "b", "key", "component"), "key")
+        met = met.filter((F.col("component_a") != F.col("component_b")) & _may_link(percent))
+        near = gathered(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        links = links.unionByName(_confirmed(near, documents, percent))
+        tested = tested.unionByName(near)
     # an id that occurs with several texts joins their classes
     keyed = live.select("doc_id", "one", "two").distinct()
     several = keyed.join(keyed.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doc_id", "left_semi").join(classes.select("one", "two", "representative"), ["one", "two"])
@@ -181,3 +206,16 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     out = signs.select("doc_id", "n_shingles", "one", "two").join(labelled, ["one", "two"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of documents that stay: of each group of near-duplicates one, of rows of equal id one."""
+    verdicts = saved(near_duplicates(documents, percent).select("doc_id", "kept"))
+    gone = gathered(verdicts.filter("NOT kept").select("doc_id").distinct())
+    left = documents.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti")
+    again = gathered(verdicts.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    n = again.count()
+    if n:
+        again = small_or_shuffled(again, n)
+        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*documents.columns)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side with fixed-width keys may be broadcast (1M longs: about 8 MB).
 BROADCAST_ROWS = 1_000_000
+#: Narrow rows that one task may read.
+TASK_ROWS = 200_000
 #: Text bytes that one numpy step works on; a longer single text makes a step of its own.
 SLICE_BYTES = 2_000_000
 
@@ -32,6 +34,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A checkpoint that is read again by as many tasks as its rows need, so that small tables make small shuffles."""
+    df = saved(df)
+    return df.coalesce(max(1, -(-df.count() // TASK_ROWS)))
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """Broadcasts a side of checked size; beyond the bound Spark's shuffle join is used."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
