@@ -216,7 +216,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
 
     shared = atoms.groupBy("minimizer").agg(F.count("*").alias("n"), F.max("recurs").alias("recurs")).filter("n > 1 OR recurs").select("minimizer")
     shared = saved(shared)
-    places = saved(atoms.join(small_or_shuffled(shared, shared.count()), "minimizer", "left_semi"))
+    places = saved(atoms.join(shared, "minimizer", "left_semi"))
     contents = places.groupBy("minimizer", "content").agg(F.count("*").alias("n"), F.max("recurs").alias("recurs"), F.min(F.struct("doc_id", "text_hash", "start", "strings")).alias("first"))
     contents = saved(contents)
 
