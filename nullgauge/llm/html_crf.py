@@ -235,7 +235,12 @@ def train(pages: list[str], rounds: int = 200, ridge: float = 1e-3) -> Model:
 
 def train_on(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Model:
     """A model from at most `train_pages` pages, those of smallest hash, and the seeds."""
-    sample = pages.filter("html IS NOT NULL").select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h", F.length("html")).limit(train_pages)
+    hashed = pages.filter("html IS NOT NULL").withColumn("h", F.xxhash64("page_id", "url"))
+    # the hashes choose first, so that tasks send numbers to the driver, not each its own candidate pages
+    edge = hashed.select("h").orderBy("h").limit(train_pages).agg(F.max("h").alias("h")).first().h
+    if edge is None:
+        return train([])
+    sample = hashed.filter(F.col("h") <= edge).select("html", "h").orderBy("h", F.length("html")).limit(train_pages)
     return train([r.html for r in sample.collect()])
 
 
