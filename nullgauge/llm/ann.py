@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled by the largest norm and given one more component that makes them unit vectors, so that the largest
-inner product is the nearest unit vector; queries get 0 there. TABLES pseudo-rotations (three rounds of random signs
-and a fast Hadamard transform) send a vector to its nearest signed axis, its bucket. A query probes its PROBES nearest
-axes in each table. Probed buckets are compared block by block, exactly and in double precision; blocks hold at most
-BLOCK rows of either side, so a bucket of any size is split, and every row of a bucket is compared.
+TABLES pseudo-rotations (three rounds of random signs and a fast Hadamard transform) send a vector, scaled to a unit
+vector by its own norm so that no other row's norm counts, to its nearest signed axis, its bucket. A query probes its
+PROBES nearest axes in each table. Probed buckets are compared block by block, exactly and in double precision; blocks
+hold at most BLOCK rows of either side, so a bucket of any size is split, and every row of a bucket is compared.
+
+Whether two vectors meet depends on their cosine alone, but a long vector is among the nearest at a small cosine, too.
+Rows are therefore dealt into ranges of norms, RATIO wide each. A query whose list could be entered by a row of a range
+at a smaller cosine than `sure_cosine`, above which at least RECALL of the rows are met, is compared exactly with that
+whole range; one with fewer than k found is compared with every range, so that only a table with too few candidates
+gives a shorter list.
 
 Rows of equal vectors are one candidate with its k + 1 smallest ids, which is all that a list of k can show.
 
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from .shared import saved
 
 TABLES, PROBES, BLOCK = 8, 24, 4096
+RECALL, RATIO = 0.9, 1.25
 
 
 def rotated(x: np.ndarray, table: int, size: int) -> np.ndarray:
@@ -55,23 +61,40 @@ def nearest_axes(x: np.ndarray, table: int, size: int, n: int) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(both, some, 1), axis=1, kind="stable"), 1)
 
 
+def sure_cosine(size: int, probes: int) -> float:
+    """The cosine from which a row is in a probed bucket with a probability of RECALL at least, by simulation."""
+    draw = np.random.default_rng([20240302, size, probes])
+    n = max(200, min(4000, 2_000_000 // size))
+    q, x = (y / np.sqrt((y * y).sum(1))[:, None] for y in (draw.normal(size=(n, size)) for _ in range(2)))
+    x -= (x * q).sum(1)[:, None] * q
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    # a signed axis is probed if fewer than `probes` of all are nearer to the query
+    most = -np.sort(-np.abs(q), axis=1)[:, min(probes, size) - 1]
+    sure = 1.0
+    for cosine in np.arange(0.99, -0.005, -0.01):
+        y = cosine * q + np.sqrt(1 - cosine * cosine) * x
+        axis = np.abs(y).argmax(1)
+        own = np.take_along_axis(q, axis[:, None], 1)[:, 0] * np.sign(np.take_along_axis(y, axis[:, None], 1)[:, 0])
+        met = 1.0 if probes >= 2 * size else (own >= most).mean()
+        if 1 - (1 - met) ** TABLES < RECALL:
+            break
+        sure = cosine
+    return max(0.0, float(sure))
+
+
 def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _hasher(longest: float, size: int, probes: int, query: bool):
+def _hasher(size: int, probes: int, query: bool):
     def run(batches):
         for batch in batches:
             x = _rows(batch.column("vector"))
             if not len(x):
                 continue
-            if query:
-                unit = np.zeros((len(x), x.shape[1] + 1))
-                unit[:, :-1] = x / np.sqrt((x * x).sum(1))[:, None]
-            else:
-                scaled = x / longest
-                unit = np.concatenate((scaled, np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(1)))[:, None]), 1)
+            unit = x / np.abs(x).max(1)[:, None]
+            unit /= np.sqrt((unit * unit).sum(1))[:, None]
             axes = np.stack([nearest_axes(unit, t, size, probes if query else 1) for t in range(TABLES)], 1)
             buckets = (axes + (np.arange(TABLES) * 2 * size)[None, :, None]).reshape(len(x), -1)
             edges = pa.array(np.arange(len(x) + 1, dtype=np.int32) * buckets.shape[1])
@@ -113,12 +136,27 @@ def _usable(column: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
+def _norm(scaled: bool = True) -> Column:
+    """The norm of `vector`, or its logarithm, which is finite for every usable vector."""
+    most = F.array_max(F.transform("vector", F.abs))
+    rest = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    return most * rest if scaled else F.log(most) + F.log(rest)
+
+
+def _compared(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """(query, id, score): the `keep` nearest rows of each block for each query of the same bucket."""
+    blocks = index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_rows")).join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_queries")), "bucket")
+    blocks = F.broadcast(saved(blocks))
+    left = index.join(blocks, "bucket").withColumn("r", F.pmod(F.xxhash64("id"), F.col("of_rows")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("of_queries") - 1)))
+    right = queries.join(blocks, "bucket").withColumn("c", F.pmod(F.xxhash64("id"), F.col("of_queries")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("of_rows") - 1)))
+    return left.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c").cogroup(right.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c")).applyInArrow(_compare(keep), "query long, id long, score double")
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = vectors.filter(F.col("vec_id").isNotNull() & _usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    length = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"), F.max(norm).alias("longest")).orderBy(F.desc("rows"), "n").first()
+    length = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
         return spark.createDataFrame([], schema)
@@ -131,18 +169,28 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probes: int = PROB
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "vector").agg(F.lit(1).alias("one")).select(F.col("vec_id").alias("id"), "vector")
 
     hashed = "id long, vector array<double>, buckets array<int>"
-    index = classes.select("id", "vector").mapInArrow(_hasher(length.longest * (1 + 1e-12), size, probes, False), hashed).select("id", "vector", F.explode("buckets").alias("bucket"))
-    queries = asked.mapInArrow(_hasher(length.longest, size, probes, True), hashed).select("id", "vector", F.explode("buckets").alias("bucket"))
+    index = classes.select("id", "vector").mapInArrow(_hasher(size, probes, False), hashed).select("id", "vector", F.explode("buckets").alias("bucket"))
+    queries = asked.mapInArrow(_hasher(size, probes, True), hashed).select("id", "vector", F.explode("buckets").alias("bucket"))
     index, queries = saved(index), saved(queries)
-    # blocks of each bucket: the table has at most TABLES * 2 * size rows
-    blocks = index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_rows")).join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_queries")), "bucket")
-    blocks = F.broadcast(saved(blocks))
-    left = index.join(blocks, "bucket").withColumn("r", F.pmod(F.xxhash64("id"), F.col("of_rows")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("of_queries") - 1)))
-    right = queries.join(blocks, "bucket").withColumn("c", F.pmod(F.xxhash64("id"), F.col("of_queries")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("of_rows") - 1)))
-    pairs = left.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c").cogroup(right.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c")).applyInArrow(_compare(k + 1), "query long, id long, score double")
-    best = pairs.groupBy("query", "id").agg(F.max("score").alias("score"))
-    some = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= 2 * (k + 1))
-    found = some.join(classes.select("id", "ids"), "id").select(F.col("query").alias("query_id"), F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def some(pairs: DataFrame) -> DataFrame:
+        best = pairs.groupBy("query", "id").agg(F.max("score").alias("score"))
+        return saved(best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= 2 * (k + 1)).drop("place"))
+
+    def ranked(best: DataFrame) -> DataFrame:
+        found = best.join(classes.select("id", "ids"), "id").select(F.col("query").alias("query_id"), F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = some(_compared(index, queries, k + 1))
+    # ranges of norms that the probes may have missed rows of: the k-th score is the least that a row must reach
+    least = ranked(best).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    dealt = classes.select("id", "vector", F.floor(_norm(False) / float(np.log(RATIO))).cast("int").alias("bucket"), _norm().alias("norm"))
+    ranges = F.broadcast(saved(dealt.groupBy("bucket").agg(F.max("norm").alias("longest"))))
+    unsure = asked.join(least, "id", "left").withColumn("norm", _norm()).crossJoin(ranges)
+    unsure = unsure.filter(F.col("least").isNull() | (F.col("least") < F.col("norm") * F.col("longest") * sure_cosine(size, probes)))
+    unsure = saved(unsure.select(*[F.col(c).alias(c) for c in ("id", "vector", "bucket")]))
+    if not unsure.isEmpty():
+        best = some(best.unionByName(_compared(dealt.drop("norm"), unsure, k + 1)))
+    return ranked(best)

@@ -156,6 +156,20 @@ def test_nearest(spark):
     assert 1020 in p[p.query_id == 0].vec_id.tolist() and 0 in p[p.query_id == 1020].vec_id.tolist()
 
 
+def test_nearest_of_unequal_norms(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 64)) * np.exp(rng.normal(size=1200) * 0.5)[:, None]
+    x[7] *= 100
+    p = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    assert (p.groupby("query_id").size() == 20).all() and set(p.query_id) == {*range(0, 1200, 20)}
+    hits = 0
+    for q in range(0, 1200, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & set(p[p.query_id == q].vec_id))
+    assert hits >= 0.9 * 20 * 60
+
+
 def test_utf8_views():
     from nullgauge.llm.shared import utf8
 
