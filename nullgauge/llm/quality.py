@@ -6,6 +6,10 @@ the same language. A document is rejected if a distance is above its limit; a do
 distance isn't judged by it. Plain base rules (too few words, too much of the text in repeated 8-word windows) come
 first.
 
+A document without any common word has a distance that depends on its language alone, and that is the lower the fewer
+of the language's words are common. LACK of this distance is the word limit where it is below max_word, so that a lack
+of common words is rejected in every language; but only for documents long enough to hold EXPECTED common words.
+
 Common words of a language are all words with at least `common_share` of its words. They are found exactly in two
 passes: each partition gives a Misra-Gries summary of `SUMMARY` words, whose merge holds every word with a larger
 share than 1 / SUMMARY; the second pass counts those candidates exactly.
@@ -29,6 +33,7 @@ from .shared import BYTE_VALUE_FOLDED, distinct, mixed, per_doc, segment_hashes,
 SUMMARY = 2000
 N_CLASSES = 9
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
+LACK, EXPECTED = 0.95, 10
 
 #: Character classes, by a character's first byte: lower, upper, digit, white space, sentence marks, other ASCII, and
 #: characters of two, three and four bytes. Continuation bytes belong to none.
@@ -212,7 +217,7 @@ def _verdicts(batch: pa.RecordBatch, references: dict, max_char: float, max_word
     hashes = segment_hashes(data, starts, ends, BYTE_VALUE_FOLDED)
     of = np.repeat(np.arange(docs), n_words)
     lang = np.array(_languages(batch), object)
-    char_distance, word_distance = np.zeros(docs), np.zeros(docs)
+    char_distance, word_distance, word_limit = np.zeros(docs), np.zeros(docs), np.full(docs, max_word)
     unknown = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(N_CLASSES, np.int64)
     for x in dict.fromkeys(lang):
         mine = np.flatnonzero(lang == x)
@@ -226,8 +231,11 @@ def _verdicts(batch: pa.RecordBatch, references: dict, max_char: float, max_word
         place = np.where(common[place] == h, place, len(common)) if len(common) else np.zeros(len(h), np.int64)
         k = len(common) + 1
         word_distance[mine] = js_distance(np.bincount(r * k + place, minlength=len(mine) * k).reshape(len(mine), k), word_counts)
+        lacking = LACK * js_distance(np.eye(1, k, k - 1), word_counts)[0]
+        expected = n_words[mine] * (word_counts[:-1].sum() / max(word_counts.sum(), 1))
+        word_limit[mine] = np.where(expected >= EXPECTED, min(max_word, lacking), max_word)
     judged_chars, judged_words = chars.sum(1) >= guard_chars, n_words >= guard_words
-    diverges = (judged_chars & (char_distance > max_char)) | (judged_words & (word_distance > max_word))
+    diverges = (judged_chars & (char_distance > max_char)) | (judged_words & (word_distance > word_limit))
     return [n_words, word_chars, per_doc(_SYMBOL[data], at), _duplicate_lines(data, at, starts), repeated, failed, ~failed & ~diverges, char_distance, word_distance]
 
 
@@ -238,8 +246,9 @@ _LIMITS = {"max_char": 0.3, "max_word": 0.45, "guard_chars": 200, "guard_words":
 def quality(documents: DataFrame, common_share: float = 0.004, **limits: float) -> DataFrame:
     """One row per document with its base counts, both distances and the verdict `kept`.
 
-    documents: doc_id, text, lang. limits: max_char and max_word, the distances from which a document is rejected, and
-    guard_chars and guard_words, the lengths from which it is judged by them. Two passes over the corpus make the
+    documents: doc_id, text, lang. limits: max_char and max_word, the distances from which a document is rejected (by
+    words also from LACK of the distance that its language gives without common words), and guard_chars and
+    guard_words, the lengths from which it is judged by them. Two passes over the corpus make the
     references, a third judges; none shuffles text.
     """
     references, limits = language_references(documents, common_share), _LIMITS | limits

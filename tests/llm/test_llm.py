@@ -46,6 +46,19 @@ def test_quality_base(docs):
     assert quality.good_documents(docs).columns == docs.columns
 
 
+def test_lack_of_common_words_is_rejected(spark):
+    rng = np.random.default_rng(4)
+
+    def text(lang, n, share=0.25):
+        rare = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+        return " ".join(f"{lang}{rng.choice(list('klmnopqrstuv'))}" if rng.random() < share else w for w in rare)
+
+    rows = [(k, text("abcd"[k % 4], 60 + 3 * k), "abcd"[k % 4], "s") for k in range(120)]
+    rows += [(1000, text("a", 200, 0), "a", "s"), (1001, text("b", 200), "a", "s"), (1002, text("a", 60, 0), "a", "s"), (1003, text("a", 40, 0), "a", "s")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [k for k, kept in got.items() if not kept] == [1000, 1001, 1002] and len(got) == 124
+
+
 def test_near_duplicates(docs):
     got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
     assert {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (6, 6, True), (7, 6, False), (None, None, True)} <= got
