@@ -98,33 +98,38 @@ def _hasher(size: int, probes: int, query: bool):
             axes = np.stack([nearest_axes(unit, t, size, probes if query else 1) for t in range(TABLES)], 1)
             buckets = (axes + (np.arange(TABLES) * 2 * size)[None, :, None]).reshape(len(x), -1)
             edges = pa.array(np.arange(len(x) + 1, dtype=np.int32) * buckets.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.ListArray.from_arrays(edges, pa.array(buckets.ravel().astype(np.int32)))], ["id", "vector", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("first"), batch.column("vector"), pa.ListArray.from_arrays(edges, pa.array(buckets.ravel().astype(np.int32)))], ["id", "first", "vector", "buckets"])
 
     return run
 
 
 def _compare(keep: int):
-    """The `keep` nearest rows of a block for each query of a block, by (query, candidate, score)."""
+    """The `keep` nearest rows of a block for each query of a block, ties to the smaller `first`."""
 
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
         if not index.num_rows or not queries.num_rows:
             return schema.empty_table()
         x, q = _rows(index.column("vector")), _rows(queries.column("vector"))
-        ids, names = index.column("id").to_numpy(), queries.column("id").to_numpy()
+        ids, firsts, names = index.column("id").to_numpy(), index.column("first").to_numpy(), queries.column("id").to_numpy()
+        n = min(len(x), keep)
+        # the rough product and the sum in component order are both within half of this, a length's product, of the true one
+        bound = 2 * np.finfo(float).eps * (x.shape[1] + 4) * np.sqrt((x * x).sum(1).max())
         out = []
         for low in range(0, len(q), 256):
             part = q[low : low + 256]
             rough = part @ x.T
-            # the rough product chooses with a margin, the sum in component order decides
-            n = min(len(x), keep + 8)
-            near = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
-            score = np.zeros(near.shape)
+            # the rough product chooses all that may be among the n first, the sum in component order decides
+            least = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n] - 2 * bound * np.sqrt((part * part).sum(1))
+            of, near = np.nonzero(~(rough < least[:, None]))
+            score = np.zeros(len(of))
             for k in range(x.shape[1]):
-                score += part[:, k, None] * x[near, k]
-            order = np.lexsort((ids[near], -score), axis=1)[:, :keep]
-            best = np.take_along_axis(near, order, 1)
-            out.append(pa.Table.from_arrays([pa.array(np.repeat(names[low : low + 256], best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], schema=schema))
+                score += part[of, k] * x[near, k]
+            order = np.lexsort((ids[near], firsts[near], -score, of))
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            order = order[place < n]
+            best = near[order]
+            out.append(pa.Table.from_arrays([pa.array(names[low + of[order]]), pa.array(ids[best]), pa.array(firsts[best]), pa.array(score[order])], schema=schema))
         return pa.concat_tables(out)
 
     return run
@@ -144,12 +149,12 @@ def _norm(scaled: bool = True) -> Column:
 
 
 def _compared(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
-    """(query, id, score): the `keep` nearest rows of each block for each query of the same bucket."""
+    """(query, id, first, score): the `keep` nearest rows of each block for each query of the same bucket."""
     blocks = index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_rows")).join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_queries")), "bucket")
     blocks = F.broadcast(saved(blocks))
     left = index.join(blocks, "bucket").withColumn("r", F.pmod(F.xxhash64("id"), F.col("of_rows")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("of_queries") - 1)))
     right = queries.join(blocks, "bucket").withColumn("c", F.pmod(F.xxhash64("id"), F.col("of_queries")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("of_rows") - 1)))
-    return left.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c").cogroup(right.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c")).applyInArrow(_compare(keep), "query long, id long, score double")
+    return left.select("bucket", "r", "c", "id", "first", "vector").groupBy("bucket", "r", "c").cogroup(right.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c")).applyInArrow(_compare(keep), "query long, id long, first long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probes: int = PROBES) -> DataFrame:
@@ -165,17 +170,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probes: int = PROB
 
     # equal vectors: one candidate, named by its smallest id
     first = Window.partitionBy("vector").orderBy("vec_id")
-    classes = saved(rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("id", F.xxhash64(F.col("vector"), F.element_at("ids", 1))))
+    classes = saved(rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("first", F.element_at("ids", 1)).withColumn("id", F.xxhash64("vector", "first")))
+    # rows of equal vec_id may share their first id; so many candidates hold k + 1 different ones
+    keep = (k + 1) * classes.groupBy("first").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "vector").agg(F.lit(1).alias("one")).select(F.col("vec_id").alias("id"), "vector")
 
-    hashed = "id long, vector array<double>, buckets array<int>"
-    index = classes.select("id", "vector").mapInArrow(_hasher(size, probes, False), hashed).select("id", "vector", F.explode("buckets").alias("bucket"))
-    queries = asked.mapInArrow(_hasher(size, probes, True), hashed).select("id", "vector", F.explode("buckets").alias("bucket"))
+    hashed = "id long, first long, vector array<double>, buckets array<int>"
+    index = classes.select("id", "first", "vector").mapInArrow(_hasher(size, probes, False), hashed).select("id", "first", "vector", F.explode("buckets").alias("bucket"))
+    queries = asked.select("id", F.col("id").alias("first"), "vector").mapInArrow(_hasher(size, probes, True), hashed).select("id", "vector", F.explode("buckets").alias("bucket"))
     index, queries = saved(index), saved(queries)
 
     def some(pairs: DataFrame) -> DataFrame:
-        best = pairs.groupBy("query", "id").agg(F.max("score").alias("score"))
-        return saved(best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= 2 * (k + 1)).drop("place"))
+        best = pairs.groupBy("query", "id", "first").agg(F.max("score").alias("score"))
+        return saved(best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first", "id"))).filter(F.col("place") <= keep).drop("place"))
 
     def ranked(best: DataFrame) -> DataFrame:
         found = best.join(classes.select("id", "ids"), "id").select(F.col("query").alias("query_id"), F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
@@ -183,14 +190,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probes: int = PROB
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    best = some(_compared(index, queries, k + 1))
+    best = some(_compared(index, queries, keep))
     # ranges of norms that the probes may have missed rows of: the k-th score is the least that a row must reach
     least = ranked(best).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    dealt = classes.select("id", "vector", F.floor(_norm(False) / float(np.log(RATIO))).cast("int").alias("bucket"), _norm().alias("norm"))
+    dealt = classes.select("id", "first", "vector", F.floor(_norm(False) / float(np.log(RATIO))).cast("int").alias("bucket"), _norm().alias("norm"))
     ranges = F.broadcast(saved(dealt.groupBy("bucket").agg(F.max("norm").alias("longest"))))
     unsure = asked.join(least, "id", "left").withColumn("norm", _norm()).crossJoin(ranges)
     unsure = unsure.filter(F.col("least").isNull() | (F.col("least") < F.col("norm") * F.col("longest") * sure_cosine(size, probes)))
     unsure = saved(unsure.select(*[F.col(c).alias(c) for c in ("id", "vector", "bucket")]))
     if not unsure.isEmpty():
-        best = some(best.unionByName(_compared(dealt.drop("norm"), unsure, k + 1)))
+        best = some(best.unionByName(_compared(dealt.drop("norm"), unsure, keep)))
     return ranked(best)

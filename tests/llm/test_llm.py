@@ -183,6 +183,18 @@ def test_nearest_of_unequal_norms(spark):
     assert hits >= 0.9 * 20 * 60
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    x = np.stack(np.meshgrid(*[[-1.0, 0.0, 1.0]] * 6), -1).reshape(-1, 6)  # so few components that every bucket is probed
+    x = np.random.default_rng(3).permutation(x[(x != 0).any(1)])
+    ids = np.arange(len(x)) // 2 * 3  # two vectors each
+    p = ann.nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), every=60).toPandas()
+    for q in range(0, int(ids[-1]) + 1, 60):
+        score = (x @ x[ids == q].T).max(1)
+        want = sorted({int(i): s for i, s in sorted(zip(ids, score, strict=True), key=lambda r: r[1]) if i != q}.items(), key=lambda r: (-r[1], r[0]))[:20]
+        got = p[p.query_id == q].sort_values("rank")
+        assert list(zip(got.vec_id, got.score, strict=True)) == want
+
+
 def test_utf8_views():
     from nullgauge.llm.shared import utf8
 
