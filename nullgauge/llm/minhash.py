@@ -8,9 +8,11 @@
 3. Packed signatures give the collision-corrected similarity (p - 2**-BITS) / (1 - 2**-BITS) by bit counts; pairs below
    KEEP_ESTIMATE, 4.7 standard errors under the limit, and pairs whose sizes rule the limit out, go.
 4. The rest is confirmed on full shingle sets, read again for the documents concerned only.
-5. Components of confirmed links. Members of one bucket that are still in different components are paired with other
-   drawn members, CENTRES a bucket, in ROUNDS rounds, and in the end with every member of another component, so that no
-   link is lost to the drawing. Signatures are compared inside these joins; only pairs that may link leave them.
+5. Components of confirmed links. Members of one bucket that are still in different components are paired with CENTRES
+   drawn members of it. What is then apart is settled exactly: buckets of up to SMALL members pair them, and the members
+   of larger buckets, gathered into families by their bucket's main component, go by what sets each off from its
+   family (see _family_pairs), so that no link is lost and a large group doesn't make all its pairs. Only pairs that
+   may link leave these joins.
 
 With 32 bands of 4 rows a link of similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 < 6e-6.
 
@@ -33,7 +35,10 @@ from .shared import BYTE_VALUE_FOLDED, gathered, mixed, saved, segment_hashes, s
 SHINGLE, BANDS, ROWS, BITS, GROUPS = 5, 32, 4, 4, 8
 HASHES = BANDS * ROWS
 KEEP_ESTIMATE = 0.56
-CENTRES, ROUNDS = 4, 2
+#: Partners drawn for a bucket, and members up to which the members of a bucket are paired with each other.
+CENTRES, SMALL = 4, 64
+#: Cells of each property of a family's members, and families whose sizes may be broadcast (16 bytes each).
+CELLS, FAMILIES = 32, 1_000_000
 _draw = np.random.default_rng(5)
 _MULTIPLY = _draw.integers(1, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _draw.integers(0, 2**32, HASHES, np.uint32)
@@ -155,14 +160,85 @@ def _confirmed(near: DataFrame, documents: DataFrame, percent: int) -> DataFrame
     return gathered(near.join(one, "a").join(two, "b").filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct())
 
 
-def _still_apart(buckets: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, doc_id, component, main, n_shingles, packed) of buckets that hold several components; main is the
-    component with the most members."""
+def _still_apart(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, doc_id, component, main, members) of buckets that hold several components; main is the component
+    with the most members."""
     grouped = components(links, "a", "b").withColumnRenamed("node", "doc_id")
     apart = buckets.join(grouped, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     parts = apart.groupBy("key", "component").agg(F.count("*").alias("n"))
-    several = parts.groupBy("key").agg(F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("members")).filter("parts > 1 AND members > 2").select("key", "main")
-    return gathered(apart.join(several, "key").join(heads.select("doc_id", "n_shingles", "packed"), "doc_id"))
+    several = parts.groupBy("key").agg(F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("members")).filter("parts > 1 AND members > 2").select("key", "main", "members")
+    return gathered(apart.join(several, "key"))
+
+
+def _partners(apart: DataFrame) -> DataFrame:
+    """(key, doc_id, component): CENTRES members of each bucket, drawn by hash, one of the main component at least."""
+    draws = [F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(k)).alias("h"), "doc_id", "component")) for k in range(CENTRES - 1)]
+    main = F.min(F.when(F.col("component") == F.col("main"), F.struct(F.xxhash64("doc_id", "key", F.lit(CENTRES)).alias("h"), "doc_id", "component")))
+    return apart.groupBy("key").agg(F.array_distinct(F.array(main, *draws)).alias("drawn")).select("key", F.explode("drawn").alias("d")).select("key", "d.doc_id", "d.component").distinct()
+
+
+def _met(seekers: DataFrame, partners: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket whose sizes and signatures allow a link."""
+    signs = heads.select("doc_id", "n_shingles", "packed")
+    one, two = _side(seekers.join(signs, "doc_id"), "a", "key", "component"), _side(partners.join(signs, "doc_id"), "b", "key", "component")
+    met = one.join(two, (one["key"] == two["key"]) & (F.col("component_a") != F.col("component_b")) & _may_link(percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _family_pairs(members: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) among which are all links between different components of a family, of members (family, doc_id,
+    component) of large buckets; found by what members don't have in common with their family, never pair by pair.
+
+    Let C be the shingles that over half of a family's members hold. A member x of size s lacks m shingles of C and has
+    e others, h of them shared with some member. Two members have |C| - m - m' + o shingles in common, where o is the
+    overlap of what sets them off from C (the missing ones and the others). So, with q = 100 + percent:
+
+    * x and y link for certain if q(|C| - m - m') >= percent(s + s'), that is g + g' <= q|C| with g = qm + percent*s. The
+      member of least g then links with both, and one pair for each of them says as much as all pairs.
+    * A link needs q(|C| - max(m, m') + min(h, h')) >= percent(s + s'). Members for which no occupied cell of (m, s, h)
+      in their family allows this have no link at all.
+    * Any other link needs o >= (g + g' - q|C|) / q, so the two share one of the first m + e - o + 1 shingles that set
+      either off, in a common order (rare ones first).
+    """
+    q = 100 + percent
+    ids = gathered(members.select("doc_id").distinct())
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "doc_id long, shingles array<long>").select("doc_id", F.xxhash64("shingles").alias("variant"), F.size("shingles").alias("s"), "shingles").dropDuplicates(["doc_id", "variant"])
+    held = saved(members.join(sets, "doc_id").select("family", "doc_id", "component", "variant", "s", F.explode("shingles").alias("shingle")))
+    who = ["family", "doc_id", "variant"]
+    counts = held.groupBy("family", "shingle").agg(F.count("*").alias("holders"))
+    sizes = held.select("family", "doc_id", "variant").distinct().groupBy("family").agg(F.count("*").alias("members"))
+    counts = saved(counts.join(F.broadcast(sizes) if sizes.count() <= FAMILIES else sizes, "family").withColumn("core", 2 * F.col("holders") > F.col("members")))
+    core = counts.groupBy("family").agg(F.count_if("core").alias("core_size"))
+    marked = saved(held.join(counts, ["family", "shingle"]))
+    profiles = marked.groupBy(*who, "component", "s").agg(F.count_if("core").alias("has"), F.count_if(~F.col("core") & (F.col("holders") > 1)).alias("h"), F.count_if(F.col("holders") == 1).alias("own"))
+    profiles = saved(profiles.join(core, "family").withColumn("m", F.col("core_size") - F.col("has")).withColumn("g", q * F.col("m") + percent * F.col("s")))
+    unit = F.greatest(F.floor(F.col("core_size") / CELLS), F.lit(1))
+    cells = profiles.groupBy("family", F.floor(F.col("m") / unit).alias("m_cell"), F.floor(F.col("s") / unit).alias("s_cell"), F.floor(F.col("h") / unit).alias("h_cell")).agg(F.min("m").alias("m_least"), F.min("s").alias("s_least"), F.max("h").alias("h_most"))
+    cells = gathered(cells.select(F.col("family").alias("f"), "m_least", "s_least", "h_most"))
+    near = q * (F.col("core_size") - F.greatest("m", "m_least") + F.least("h", "h_most")) >= percent * (F.col("s") + F.col("s_least"))
+    able = saved(profiles.join(small_or_shuffled(cells, cells.count()), (F.col("family") == F.col("f")) & near, "left_semi"))
+
+    least = able.groupBy("family").agg(F.min(F.struct("g", "doc_id")).alias("hub"))
+    starred = saved(able.join(least, "family").withColumn("alone", F.col("g") + F.col("hub.g") > q * F.col("core_size")))
+    pairs = starred.filter("NOT alone AND doc_id != hub.doc_id").select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"))
+
+    # what is left: one of the two at least is alone, so the other's partners start at the least g of those
+    lone = starred.filter("alone").groupBy("family").agg(F.min("g").alias("lone_g"))
+    sought = starred.join(lone, "family").withColumn("overlap", F.greatest(F.lit(1), F.ceil((F.col("g") + F.when(F.col("alone"), F.col("hub.g")).otherwise(F.col("lone_g")) - q * F.col("core_size")) / q)))
+    sought = saved(sought.withColumn("take", F.col("m") + F.col("h") - F.col("overlap") + 1).filter("take > 0").select(*who, "component", "s", "m", "h", "core_size", "alone", "take"))
+    others = marked.filter(~F.col("core") & (F.col("holders") > 1)).select(*who, "shingle", F.lit(0).alias("kind"), F.col("holders").alias("often"))
+    others = others.join(sought.select(*who), who, "left_semi")
+    lacking = sought.filter(F.col("take") > F.col("h")).select(*who).join(counts.filter("core").select("family", "shingle", F.lit(1).alias("kind"), (F.col("members") - F.col("holders")).alias("often")), "family")
+    lacking = lacking.join(marked.filter("core").select(*who, "shingle"), [*who, "shingle"], "left_anti")
+    order = Window.partitionBy(*who).orderBy("kind", "often", "shingle")
+    first = others.unionByName(lacking).withColumn("place", F.row_number().over(order)).join(sought, who).filter(F.col("place") <= F.col("take"))
+    first = gathered(first.select("family", "shingle", "doc_id", "component", "s", "m", "h", "core_size", "alone"))
+    one, two = (first.select("family", "shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "s", "m", "h", "core_size", "alone")]) for k in "ab")
+    allowed = q * (F.col("core_size_a") - F.greatest("m_a", "m_b") + F.least("h_a", "h_b")) >= percent * (F.col("s_a") + F.col("s_b"))
+    may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("alone_a") | F.col("alone_b")) & allowed
+    shared = one.join(two, (one["family"] == two["family"]) & (one["shingle"] == two["shingle"]) & may)
+    return pairs.unionByName(shared.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))).distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -180,20 +256,23 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     tested = gathered(pairs.join(_side(heads, "a"), "a").join(_side(heads, "b"), "b").filter(_may_link(percent)).select("a", "b"))
     links = _confirmed(tested, documents, percent)
     buckets = buckets.select("key", "doc_id")
-    for turn in range(ROUNDS + 1):
-        apart = _still_apart(buckets, heads, links)
+    for last in (False, True):
+        apart = _still_apart(buckets, links)
         if apart.isEmpty():
             break
         buckets = apart.select("key", "doc_id")
-        others = apart
-        if turn < ROUNDS:
-            # the limit chooses partners only: what they leave is tested in full in the last turn
-            order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", "key", F.lit(turn)), "doc_id")
-            others = apart.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CENTRES)
         # of two components one is not the bucket's main one: its members look for links
-        met = _side(apart.filter("component != main"), "a", "key", "component").join(_side(others, "b", "key", "component"), "key")
-        met = met.filter((F.col("component_a") != F.col("component_b")) & _may_link(percent))
-        near = gathered(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        seekers = apart.filter("component != main")
+        if not last:
+            near = _met(seekers, _partners(apart), heads, percent)
+        else:
+            # every link that is left: small buckets pair their members, the others go by families
+            near = _met(seekers.filter(F.col("members") <= SMALL), apart.filter(F.col("members") <= SMALL), heads, percent)
+            large = gathered(apart.filter(F.col("members") > SMALL).select(F.col("main").alias("family"), "doc_id", "component").distinct())
+            if not large.isEmpty():
+                found = _family_pairs(large, documents, percent)
+                near = near.unionByName(found.join(_side(heads, "a"), "a").join(_side(heads, "b"), "b").filter(_may_link(percent)).select("a", "b"))
+        near = gathered(near.distinct().join(tested, ["a", "b"], "left_anti"))
         links = links.unionByName(_confirmed(near, documents, percent))
         tested = tested.unionByName(near)
     # an id that occurs with several texts joins their classes
