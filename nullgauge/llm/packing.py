@@ -8,7 +8,7 @@ comes to the driver (its size doesn't grow with the data) and is solved there, w
    others fit and no two fitting ones are longer together than the partner.
 2. What is left is packed best-fit in decreasing order.
 
-The plan has a bounded number of patterns (a few for each length). Pieces are then numbered within their length by a
+The plan has a bounded number of patterns: each one uses up a length or an open class (see PLAN_ROWS). Pieces are then numbered within their length by a
 two-step rank (salted, so that one length may hold any share of the rows) and take their places by a join with the
 plan. Every piece of a length is alike to the plan, so which one goes where doesn't change the number of sequences.
 
@@ -34,6 +34,8 @@ from .transducer import compiled
 CAPACITY, END_ID = 4096, 1
 #: Rows of one length that a single task numbers.
 RANK_ROWS = 50_000
+#: A plan has at most so many rows for each token of capacity, whatever the number of pieces, and is broadcast.
+PLAN_ROWS = 64
 
 Pattern = tuple  # (parent pattern or None, length, copies)
 
@@ -103,9 +105,10 @@ class _Plan:
                         dominates = partner >= self._longest_two(room, length)
                     if not dominates:
                         break
+                    # what dominates once dominates for every further copy: as items go, the smallest ones left only
+                    # grow and the longest fitting two only shrink, so all copies are fixed at once
                     times = int(self.left[length] // 2 if partner == length else min(self.left[length], self.left[partner]))
-                    # without an exact fill, fixing one copy may change what the next copy sees
-                    self._take((length, partner), times if partner == room else 1)
+                    self._take((length, partner), times)
                     changed = True
 
     def _keep(self, residual: int, pattern: Pattern, times: int) -> None:
@@ -200,7 +203,9 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {row["length"]: row["n"] for row in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = max(1, -(-sum(histogram.values()) // RANK_ROWS))
     schema = "length long, low long, high long, sequence long, slot long, copies long"
-    slots = F.broadcast(spark.createDataFrame(pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in schema.split(", ")]))) if (rows := plan(histogram, capacity)) else spark.createDataFrame([], schema)
+    rows = plan(histogram, capacity)
+    slots = spark.createDataFrame(pa.Table.from_arrays([pa.array([row[k] for row in rows], pa.int64()) for k in range(6)], names=[x.split()[0] for x in schema.split(", ")]))
+    slots = F.broadcast(slots) if len(rows) <= PLAN_ROWS * capacity else slots
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     # ranks start where the lower salts of the same length end: at most salts rows for each length
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
