@@ -11,7 +11,8 @@ its rounded target. Only the edge of each source is looked up: the running total
 size, so that a source may hold any share of the rows, and texts are never shuffled.
 
 Defined results: null text has size 0; the null source is the last one; rows of equal id and size that meet the edge
-share it equally (rounded down); a table without words has targets of 0; an empty table gives an empty result.
+share it equally (rounded down); a table without words has targets of 0; an empty table gives an empty result; a very
+long text is one row like any other, and only the part of it that is taken is rebuilt; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, small_or_shuffled
+from .shared import saved, small_or_shuffled, unpacked, whole_row
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of one source whose running total a single task makes.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 
 
 def n_words(text: str) -> Column:
@@ -86,15 +87,16 @@ def decisions(sizes: DataFrame, seed: str, weights: tuple[int, ...] = (5, 2, 1),
 
 
 def with_taken(documents: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3) -> DataFrame:
-    """documents (doc_id, text, source, ...) with size, source_size, target, whole and taken, the words that the mix takes."""
-    plain = documents.drop("size", "source_size", "target", "whole", "taken", "mix_source", "edge_turn", "edge_size", "edge_words")
-    sizes = saved(plain.select("doc_id", "source", n_words("text").alias("size")))
+    """(row, doc_id, size, source_size, target, whole, taken): each row of documents (doc_id, text, source, ...) as a
+    struct, and the words that the mix takes of it."""
+    sizes = saved(documents.select("doc_id", "source", n_words("text").alias("size")))
     table = saved(decisions(sizes, seed, weights, epochs))
     here = F.struct(_turn(seed).alias("a"), F.col("size").alias("b"))
     edge = F.struct(F.col("edge_turn").alias("a"), F.col("edge_size").alias("b"))
     more = F.when(F.col("edge_turn").isNull(), 0).when(here < edge, F.col("size")).when(here == edge, F.col("edge_words")).otherwise(0)
-    joined = plain.withColumn("size", n_words("text")).join(small_or_shuffled(table, table.count()), F.col("source").eqNullSafe(F.col("mix_source")))
-    return joined.withColumn("taken", (F.col("whole") * F.col("size") + more).cast("long")).drop("mix_source", "edge_turn", "edge_size", "edge_words")
+    rows = documents.select(whole_row(documents), "doc_id", F.col("source").alias("of_source"), n_words("text").alias("size"))
+    joined = rows.join(small_or_shuffled(table, table.count()), F.col("of_source").eqNullSafe(F.col("mix_source")))
+    return joined.select("row", "doc_id", "size", "source_size", "target", "whole", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:
@@ -103,12 +105,16 @@ def mix(documents: DataFrame, **how) -> DataFrame:
 
 
 def repeated(documents: DataFrame, **how) -> DataFrame:
-    """The mixed corpus, with the columns of documents: whole repetitions as rows, then the part of one that is left."""
+    """The mixed corpus, with the columns of documents: whole repetitions as rows, then the part of one that is left.
+
+    A part keeps the words in order, single spaces between them; n_chars, where there is one, follows its text.
+    """
     taken = with_taken(documents, **how).filter("taken > 0 AND size > 0")
     rows = taken.withColumn("turns", F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))).withColumn("repeat", F.explode("turns"))
     left = F.col("taken") - F.col("repeat") * F.col("size")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    rows = rows.withColumn("text", F.when(left < F.col("size"), part).otherwise(F.col("text")))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("row")["text"], F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    rows = rows.withColumn("cut", left < F.col("size")).withColumn("text", F.when(F.col("cut"), part).otherwise(F.col("row")["text"]))
+    changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.when(left < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*documents.columns)
+        changed["n_chars"] = F.when(F.col("cut"), F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("row")["n_chars"])
+    return unpacked(rows, documents.columns, changed)

@@ -11,9 +11,11 @@ digit and capital shares, neighbours, case), again from a bounded table of sums;
 
 Positions count code points, ends are exclusive. Patterns are possessive, and start only at the edge of a run or of
 the previous match, so that long runs cost linear time and no deep recursion; they match what the plain forms match.
+Running sums and lookups go by blocks of about the root of their number, so that a very long text with n matches takes
+steps in proportion to n**1.5 at most.
 
 Defined results: null text counts as empty; repeated rows give equal rows; a corpus without candidates adds nothing;
-an empty table gives an empty result.
+an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, unpacked, whole_row
 
 KINDS = ("email", "ip", "card", "phone", "identifier")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -40,22 +42,68 @@ DENIALS = r"(?i)(?:version|license|licence|cc by\S*|chapter|page|©|copyright)\W
 CONTEXT = 24
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value made once, where lambdas would make it again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(values: Column) -> Column:
+    """An array in blocks of about the root of its size."""
+
+    def cut(v: Column) -> Column:
+        each = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), each)).otherwise(F.expr("CAST(array() AS array<int>)"))
+        return F.transform(starts, lambda i: F.slice(v, i, each))
+
+    return _let(values, cut)
+
+
+def _running(values: Column, op) -> Column:
+    """Running results of a sum or maximum over an int array: arrays only grow inside a block or by one for each block."""
+
+    def grow(items: Column, of) -> Column:
+        start = F.struct(F.lit(0).alias("last"), F.expr("CAST(array() AS array<int>)").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            new = op(acc["last"], of(x))
+            return F.struct(new.alias("last"), F.concat(acc["out"], F.array(new)).alias("out"))
+
+        return F.aggregate(items, start, step, lambda acc: acc["out"])
+
+    def joined(inside: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), grow(inside, lambda run: F.element_at(run, -1))), F.lit(1), F.size(inside))
+        return F.flatten(F.transform(F.arrays_zip(inside.alias("run"), before.alias("before")), lambda z: F.transform(z["run"], lambda x: op(z["before"], x))))
+
+    return _let(F.transform(_blocks(values), lambda block: grow(block, lambda x: x)), joined)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, t>> of a pattern's matches: lengths of what lies between them give the positions."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    parts = F.transform(parts, lambda x: F.struct(F.length(x["gap"]).alias("g"), x["hit"].alias("t"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<s: int, e: int, t: string>>)").alias("out"))
+    """array<struct<s, e, t, before, after>> of a pattern's matches: what lies between them gives the positions.
+
+    before is at most CONTEXT characters, back to the start of the previous match; after is one character.
+    """
+
+    def found(parts: Column) -> Column:
+        gaps, hits = parts["gaps"], parts["hits"]
+        ends = _running(F.transform(hits, lambda t, k: F.length(gaps[k]) + F.length(t)), _add)
+
+        def one(z: Column, k: Column) -> Column:
+            t, end = z["hit"], z["end"]
+            around = F.concat(F.when(k > 0, hits[F.greatest(k - 1, F.lit(0))]).otherwise(""), gaps[k])
+            before = F.substring(around, F.greatest(F.length(around) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT))
+            return F.struct((end - F.length(t)).alias("s"), end.alias("e"), t.alias("t"), before.alias("before"), F.substring(gaps[k + 1], F.lit(1), F.lit(1)).alias("after"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        hit = F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["t"].alias("t"))
-        return F.struct((s + x["n"]).alias("at"), F.when(x["t"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
+        return F.transform(F.arrays_zip(hits.alias("hit"), ends.alias("end")), one)
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return _let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), found)
 
 
 def _found(text: Column, may: Column, pattern: str, good=None) -> Column:
-    spans = F.when(may, _matches(text, pattern)).otherwise(F.expr("CAST(array() AS array<struct<s: int, e: int, t: string>>)"))
+    spans = F.when(may, _matches(text, pattern)).otherwise(F.expr("CAST(array() AS array<struct<s: int, e: int, t: string, before: string, after: string>>)"))
     return F.filter(spans, good) if good else spans
 
 
@@ -97,12 +145,16 @@ def with_base(documents: DataFrame) -> DataFrame:
     spans = F.array_sort(F.concat(*[_of_kind(F.col(f"pii_{k}"), k) for k in (1, 2, 3, 4)]))
     found = found.withColumn("pii_spans", spans).drop("pii_1", "pii_2", "pii_3", "pii_4")
 
-    def run(m: Column) -> Column:
-        before = F.substring(text, F.greatest(m["s"] - CONTEXT, F.lit(0)) + 1, F.least(m["s"], F.lit(CONTEXT)))
-        covered = F.exists("pii_spans", lambda x: (x["s"] < m["e"]) & (x["e"] > m["s"]))
-        return F.struct(m["s"].alias("s"), m["e"].alias("e"), m["t"].alias("t"), before.alias("before"), F.substring(text, m["e"] + 1, F.lit(1)).alias("after"), covered.alias("covered"))
+    def marked(blocks: Column) -> Column:
+        def run(m: Column) -> Column:
+            covered = F.exists(blocks, lambda b: (b["low"] < m["e"]) & (b["high"] > m["s"]) & F.exists(b["spans"], lambda x: (x["s"] < m["e"]) & (x["e"] > m["s"])))
+            return F.struct(m["s"].alias("s"), m["e"].alias("e"), m["t"].alias("t"), m["before"].alias("before"), m["after"].alias("after"), covered.alias("covered"))
 
-    return found.withColumn("pii_runs", F.transform("pii_runs", run))
+        return F.transform("pii_runs", run)
+
+    # spans are in order, so those that may cover a run lie in a few blocks
+    blocks = F.transform(_blocks(F.col("pii_spans")), lambda x: F.struct(F.array_min(F.transform(x, lambda y: y["s"])).alias("low"), F.array_max(F.transform(x, lambda y: y["e"])).alias("high"), x.alias("spans")))
+    return found.withColumn("pii_runs", F.when(F.size("pii_runs") > 0, _let(blocks, marked)).otherwise(F.expr("CAST(array() AS array<struct<s: int, e: int, t: string, before: string, after: string, covered: boolean>>)")))
 
 
 def votes(run: Column) -> Column:
@@ -207,22 +259,39 @@ def personal_data(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", *map(_number, (1, 2, 3, 4)), F.sha2(_written("pii_spans").cast("binary"), 256).alias("base_sha256"), _written("pii_all").alias("spans"))
 
 
+#: Characters of a block from which redaction cuts.
+BLOCK = 256
+
+
 def redacted(documents: DataFrame) -> DataFrame:
-    """documents with each span of personal data replaced by its kind in angle brackets; null texts stay null."""
-    columns = documents.columns
+    """documents with each span of personal data replaced by its kind in angle brackets; null texts stay null.
+
+    A span that begins inside the one before is part of its replacement. n_chars, where there is one, follows the text.
+    """
     model = train(saved(with_base(documents.select("text")).select("pii_runs")))
-    out = with_spans(with_base(documents), model)
+    out = with_spans(with_base(documents.select(whole_row(documents), "text")), model)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        # a span that begins inside the one before is part of its replacement
-        new = x["s"] >= acc["at"]
-        text = F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["s"] - acc["at"]), names[x["k"] - 1])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(new, text).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("pii_all", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    out = out.withColumn("text", F.when(F.size("pii_all") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+
+    def cleaned(of: Column) -> Column:
+        blocks, spans, ends = of["blocks"], of["spans"], of["ends"]
+
+        def piece(low: Column, high: Column) -> Column:
+            first = F.floor(low / BLOCK).cast("int")
+            last = F.floor((high - 1) / BLOCK).cast("int")
+            return F.when(high > low, F.substring(F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), ""), (low - first * BLOCK + 1).cast("int"), (high - low).cast("int"))).otherwise("")
+
+        def part(x: Column, k: Column) -> Column:
+            at = F.when(k > 0, ends[F.greatest(k - 1, F.lit(0))]).otherwise(0)
+            return F.when(x["s"] >= at, F.concat(piece(at, x["s"]), names[x["k"] - 1])).otherwise("")
+
+        return F.concat(F.array_join(F.transform(spans, part), ""), piece(F.element_at(ends, -1), of["n"]))
+
+    # positions are looked up in short blocks, since finding a character takes time in proportion to its place
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    ends = _running(F.transform("pii_all", lambda x: x["e"]), F.greatest)
+    clean = _let(F.struct(blocks.alias("blocks"), F.col("pii_all").alias("spans"), ends.alias("ends"), F.length("text").alias("n")), cleaned)
+    out = out.withColumn("clean", F.when(F.size("pii_all") > 0, clean).otherwise(F.col("text")))
+    changed = {"text": F.col("clean")}
+    if "n_chars" in documents.columns:
+        changed["n_chars"] = F.when(F.size("pii_all") > 0, F.length("clean").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("row")["n_chars"])
+    return unpacked(out, documents.columns, changed)

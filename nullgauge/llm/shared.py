@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side with fixed-width keys may be broadcast (1M longs: about 8 MB).
@@ -19,11 +19,14 @@ SLICE_BYTES = 2_000_000
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; where none is set (tests), a temporary one."""
+    """The shared checkpoint folder that the session names; without one only a local session gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = folder or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         context.setCheckpointDir(folder)
     return folder or context.getCheckpointDir()
 
@@ -45,6 +48,16 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of a table as one struct, so that an operator's own columns can't clash with them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias(name)
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column], row: str = "row") -> DataFrame:
+    """The columns of a whole_row again, those in `changed` with new values."""
+    return df.select(*[(changed[c] if c in changed else F.col(row)[c]).alias(c) for c in columns])
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets (n + 1) and validity of a string column, without copying the bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
