@@ -6,12 +6,14 @@ share, punctuation, place). A two-state chain scores content against boilerplate
 content blocks are joined in page order.
 
 Training: pages whose markup names its parts (article, main, nav, aside, footer, class words) label their own blocks.
-The sample is bounded by `train_pages` pages of smallest hash and the small pages of SEEDS; each page is also learnt
+The sample is bounded: `train_pages` pages of smallest hash of at most TRAIN_CHARS characters, TRAIN_BLOCKS labelled
+blocks in all, and the small pages of SEEDS; each page is also learnt
 with its content-naming features left out, so that text features count where markup says nothing. Likelihood and
 gradient come from the forward-backward algorithm over all sampled pages at once.
 
 Defined results: null or empty html gives an empty text; unclosed elements end with their parent or the page, a tag
-that the page's end cuts is dropped; repeated rows give equal rows; an empty table gives an empty result.
+that the page's end cuts is dropped; pages of any length and depth are read whole, in time in proportion to their
+length; repeated rows give equal rows; other columns aren't looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 300
+#: Bounds of the training sample: pages, characters of a page that is drawn, labelled blocks in all, and blocks of one
+#: chain (longer pages are cut into several chains).
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_BLOCKS, CHAIN_BLOCKS = 300, 200_000, 40_000, 200
 
 # Element kinds of HTML and words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg title textarea select option button object".split())
+RAW = frozenset("script style noscript template title textarea".split())
+HIDDEN = frozenset("iframe svg select option button object".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSED_BY = {"p": BLOCK - {"br", "html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 TAGS = "nav header footer aside article main section form figure ul ol li table h1 h2 h3 p blockquote pre div".split()
+_TAGS = frozenset(TAGS)
 NAMED = {
     "advert": "ad ads advert advertisement sponsor sponsored promo banner",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination toc",
@@ -66,31 +72,59 @@ class Block:
     label: int | None
 
 
+class Node:
+    """An open element: what its blocks inherit from it and its ancestors, and its nearest block element."""
+
+    __slots__ = ("tag", "place", "hidden", "features", "label", "nearest")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None, place: int):
+        own = {INDEX[f"named {x}"] for x in names} | ({INDEX[f"in {tag}"]} if tag in _TAGS else set())
+        self.tag, self.place = tag, place
+        self.features = parent.features if parent and own <= parent.features else (parent.features if parent else frozenset()) | own
+        self.hidden = tag in HIDDEN or parent is not None and parent.hidden
+        self.nearest = self if tag in BLOCK else parent.nearest if parent else None
+        # the innermost part that the markup names decides; an article's header is part of it
+        label = parent.label if parent else None
+        if tag in CONTENT_TAGS:
+            label = 1
+        elif tag in OTHER_TAGS and not (tag == "header" and label == 1) or names and "content" not in names:
+            label = 0
+        elif "content" in names and tag != "body":
+            label = 1
+        self.label = label
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The non-empty leaf blocks of a page in order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    found: list[tuple[str, int, list[tuple[str, tuple[str, ...]]]]] = []
+    """The non-empty leaf blocks of a page in order; time follows the page's length, however deep its elements nest."""
+    stack: list[Node] = []
+    opened: dict[str, int] = {}
+    found: list[tuple[str, int, Node | None]] = []
     parts: list[str] = []
-    linked, links = 0, 0
+    linked = 0
 
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append((text, linked, list(stack)))
+                found.append((text, linked, stack[-1] if stack else None))
             parts.clear()
         linked = 0
 
+    def close(place: int) -> None:
+        for node in stack[place:]:
+            opened[node.tag] -= 1
+        del stack[place:]
+
     position, n = 0, len(page)
     while position < n:
         m = _TOKEN.match(page, position)
         position = m.end()
         token = m.group()
         if m.group(2) is None:
-            if token[0] != "<" or token == "<":
+            if (token[0] != "<" or token == "<") and not (stack and stack[-1].hidden):
                 parts.append(token)
-                linked += len(token) if links else 0
+                linked += len(token) if opened.get("a") else 0
             continue
         tag, closing = m.group(2).lower(), bool(m.group(1))
         if not m.group(4):
@@ -102,39 +136,23 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             close_block()
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
-        elif tag not in VOID:
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in CLOSED_BY.get(stack[k][0], ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            if opened.get(tag):
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
+        elif tag not in VOID and not (tag == "svg" and m.group(3).endswith("/")):
+            above = stack[-1].nearest if stack else None
+            if above is not None and tag in CLOSED_BY.get(above.tag, ()):
+                close(above.place)
             names: tuple[str, ...] = ()
             if m.group(3) and not m.group(3).isspace():
                 names = tuple({WORD_NAMES[w] for a in _NAMES.findall(m.group(3)) for w in _SPLIT.split("".join(a).lower()) if w in WORD_NAMES})
-            stack.append((tag, names))
-        links = sum(t == "a" for t, _ in stack) if tag == "a" or links else 0
+            stack.append(Node(tag, names, stack[-1] if stack else None, len(stack)))
+            opened[tag] = opened.get(tag, 0) + 1
     close_block()
-    return [_block(text, linked, ancestors, k, len(found)) for k, (text, linked, ancestors) in enumerate(found)]
+    return [_block(text, linked, node, k, len(found)) for k, (text, linked, node) in enumerate(found)]
 
 
-def _block(text: str, linked: int, ancestors: list, place: int, n: int) -> Block:
-    out = {INDEX["any"]}
-    label = None
-    for tag, names in ancestors:
-        if tag in TAGS:
-            out.add(INDEX[f"in {tag}"])
-        out.update(INDEX[f"named {x}"] for x in names)
-        # the innermost part that the markup names decides; an article's header is part of it
-        if tag in CONTENT_TAGS:
-            label = 1
-        elif tag in OTHER_TAGS and not (tag == "header" and label == 1) or names and "content" not in names:
-            label = 0
-        elif "content" in names and tag != "body":
-            label = 1
+def _block(text: str, linked: int, node: Node | None, place: int, n: int) -> Block:
+    out = {INDEX["any"], *(node.features if node else ())}
     words = text.count(" ") + 1
     out.add(INDEX[f"words {0 if words <= 2 else 1 if words <= 8 else 2 if words <= 20 else 3 if words <= 60 else 4}"])
     share = linked / max(len(text), 1)
@@ -149,7 +167,7 @@ def _block(text: str, linked: int, ancestors: list, place: int, n: int) -> Block
         out.add(INDEX["first block"])
     if place == n - 1:
         out.add(INDEX["last block"])
-    return Block(text, sorted(out), label)
+    return Block(text, sorted(out), node.label if node else None)
 
 
 SEEDS = [
@@ -188,13 +206,17 @@ class Model:
 
 def train(pages: list[str], rounds: int = 200, ridge: float = 1e-3) -> Model:
     """Weights by gradient ascent on the likelihood of the pages' own labels; step sizes adapt to each weight."""
-    chains = []
+    chains, used = [], 0
     for page in [*SEEDS * 10, *pages]:
         blocks = leaf_blocks(page)
         known = [b for b in blocks if b.label is not None]
-        if len({b.label for b in known}) == 2:
-            chains.append([(b.features, b.label) for b in known])
-            chains.append([([f for f in b.features if f not in _HINTS], b.label) for b in known])
+        if used + len(known) > TRAIN_BLOCKS or len({b.label for b in known}) < 2:
+            continue
+        used += len(known)
+        for low in range(0, len(known), CHAIN_BLOCKS):
+            part = known[low : low + CHAIN_BLOCKS]
+            chains.append([(b.features, b.label) for b in part])
+            chains.append([([f for f in b.features if f not in _HINTS], b.label) for b in part])
     width, longest = len(FEATURES), max(map(len, chains))
     x = np.zeros((len(chains), longest, width))
     y = np.zeros((len(chains), longest), int)
@@ -235,7 +257,7 @@ def train(pages: list[str], rounds: int = 200, ridge: float = 1e-3) -> Model:
 
 def train_on(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Model:
     """A model from at most `train_pages` pages, those of smallest hash, and the seeds."""
-    hashed = pages.filter("html IS NOT NULL").withColumn("h", F.xxhash64("page_id", "url"))
+    hashed = pages.filter(F.length("html") <= TRAIN_CHARS).select("html", F.xxhash64("page_id", "url").alias("h"))
     # the hashes choose first, so that tasks send numbers to the driver, not each its own candidate pages
     edge = hashed.select("h").orderBy("h").limit(train_pages).agg(F.max("h").alias("h")).first().h
     if edge is None:
