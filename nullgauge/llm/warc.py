@@ -3,13 +3,18 @@
 Writing: headers (id, payload digest, payload length) are shuffled by digest, never payloads; of equal payloads the
 smallest page id is the response, the others become revisit records that refer to it. Records are made by column
 expressions and written by Spark's text sink, whose separator CR LF CR LF ends a record, so archives go to any file
-system that Spark knows and a lost task's file is written again. A file holds at most RECORDS records.
+system that Spark knows and a lost task's file is written again. A file holds about FILE_BYTES at most, or one record:
+pages are written by size classes, each with so many records a file as its largest page allows.
+
+Every record has a fresh header: the time of writing, an id of its own (made from the archive's name where revisits
+must refer to it), and for revisits the target and date of the original. X-Page-ID carries the row's page_id.
 
 Reading: files are parsed by their Content-Length fields; the digest of a response is computed again from its payload.
 Revisits are joined to their responses, which must hold the same digest.
 
 Defined results: a null html is an empty payload; a null url has no target field; rows with a null page_id take part
-in groups but are never referred to; rows that share a response's page_id and payload are all responses; an empty
+in groups but are never referred to; rows that share a response's page_id and payload are all responses, under one
+record id; a page of any size that a string column can hold is one record; other columns aren't looked at; an empty
 table gives no record.
 """
 
@@ -27,7 +32,11 @@ from pyspark.sql import functions as F
 
 from .shared import saved, use_checkpoints
 
-RECORDS = 5_000
+#: Bytes and records that a file should hold at most, and the payload sizes that end a size class.
+FILE_BYTES, RECORDS = 64_000_000, 5_000
+CLASSES = [12_000, 200_000, 3_000_000, 50_000_000]
+#: Bytes of a record's headers, about.
+HEADER_BYTES = 800
 #: Digest groups of several pages up to which the table of responses may be broadcast (about 60 bytes a row).
 BROADCAST_GROUPS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,34 +51,57 @@ def base32_sha1(text: Column) -> Column:
 
 
 def resolved(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with payload_bytes, payload_digest and refers_to (null for responses)."""
+    """pages (page_id, url, html) with payload_bytes, payload_digest, and refers_to and refers_to_url (null for responses)."""
     payload = F.coalesce("html", F.lit(""))
     full = pages.select("page_id", "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
-    headers = full.select("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= least_bytes)
-    groups = headers.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL").select("payload_digest", "payload_bytes", "first_id")
+    headers = full.select("page_id", "url", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= least_bytes)
+    first_url = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))["url"]
+    groups = headers.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), first_url.alias("first_url"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL").select("payload_digest", "payload_bytes", "first_id", "first_url")
     groups = saved(groups)
     small = groups.count() <= BROADCAST_GROUPS
     out = full.join(F.broadcast(groups) if small else groups, ["payload_digest", "payload_bytes"], "left")
-    return out.withColumn("refers_to", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return out.withColumns({"refers_to": F.when(other, F.col("first_id")), "refers_to_url": F.when(other, F.col("first_url"))}).drop("first_id", "first_url")
+
+
+def _uuid(*parts: Column) -> Column:
+    h = F.md5(F.concat_ws(" ", *parts).cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+
+
+def _record(archive: str) -> Column:
+    def field(name: str, value: Column) -> Column:
+        return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
+    def target(url: str) -> Column:
+        return F.regexp_replace(url, "[\\x00-\\x20\\x7F]", "%20")
 
-def _record(date: str) -> Column:
-    revisit = F.col("refers_to").isNotNull()
+    revisit, page = F.col("refers_to").isNotNull(), F.col("page_id").cast("string")
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
-    target = F.coalesce(F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20"), F.lit("\r\n")), F.lit(""))
-    refers = F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">\r\n"))).otherwise(F.lit(""))
+    # only responses are referred to, so the ids of all other records may be drawn
+    own = F.when(revisit | page.isNull(), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))).otherwise(_uuid(F.lit(archive), page, F.col("payload_digest")))
+    original = F.when(revisit, _uuid(F.lit(archive), F.col("refers_to").cast("string"), F.col("payload_digest")))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), name, F.lit(f"\r\nWARC-Date: {date}\r\n"), target, refers,
-        F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
+        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\n"), field("WARC-Record-ID", own), field("WARC-Date", now), field("WARC-Target-URI", target("url")),
+        field("WARC-Profile", F.when(revisit, PROFILE)), field("WARC-Refers-To", original), field("WARC-Refers-To-Target-URI", target("refers_to_url")), field("WARC-Refers-To-Date", F.when(revisit, now)),
+        field("X-Page-ID", page), field("X-Refers-To-Page-ID", F.col("refers_to").cast("string")), field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"), field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
     )
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
     """Writes deduplicated archives of pages (page_id, url, html)."""
-    records = resolved(pages, least_bytes).select(_record(date).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).mode("error").text(folder)
+    rows = resolved(pages, least_bytes)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    held = pages.select(F.array_size(F.filter(F.array(*map(F.lit, CLASSES)), lambda edge: size > edge)).alias("class"), size.alias("size"))
+    classes = sorted((r["class"], r["largest"]) for r in held.groupBy("class").agg(F.max("size").alias("largest")).collect())
+    for k, largest in classes or [(0, 0)]:
+        # the first class has no lower edge and the last no upper one
+        inside = (F.col("payload_bytes") > (CLASSES[k - 1] if k else -1)) & (F.col("payload_bytes") <= largest)
+        records = max(1, min(RECORDS, FILE_BYTES // (largest + HEADER_BYTES)))
+        rows.filter(inside).select(_record(folder).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).mode("append").text(folder)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -86,7 +118,7 @@ def parse_archive(content: bytes) -> Iterator[tuple]:
         payload_at = content.index(b"\r\n\r\n", body) + 4
         http = {k.lower(): v for k, v in _FIELD.findall(content, body, payload_at)}
         kind, digest = head[b"warc-type"].decode(), head[b"warc-payload-digest"].decode().removeprefix("sha1:")
-        number = [int(x) if x else None for x in (head.get(f, b"<urn:page:>")[10:-1] for f in (b"warc-record-id", b"warc-refers-to"))]
+        number = [int(head[f]) if f in head else None for f in (b"x-page-id", b"x-refers-to-page-id")]
         payload = content[payload_at:stop] if kind == "response" else None
         if payload is not None and digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
             raise ValueError(f"payload digest of record {number[0]} doesn't hold")
