@@ -1,10 +1,12 @@
 """Suffix arrays by induced sorting, over numpy arrays.
 
 Suffixes are classed as smaller (S) or larger (L) than their successor; leftmost-smaller (LMS) substrings are sorted
-by inducing from their first symbols; their names make a shorter string, which is sorted in turn; its order induces
-all L suffixes from left to right and all S suffixes from right to left, in linear time. A step takes a whole bucket
-at once, which pays while the alphabet is small; the shorter string has about as many names as symbols, so its own
-suffixes are ranked by doubling, in sorts of whole arrays.
+by inducing from their first symbols; their names make a shorter string, which is sorted by recursion; its order induces
+all L suffixes from left to right and all S suffixes from right to left, in linear time.
+
+A step takes as many neighbouring buckets at once as don't induce into each other, which is about the root of their
+number where symbols are many; a run of one symbol, whose suffixes induce each other, is laid out at once: its suffixes
+follow in order of their distance to the run's end, then of the ends.
 """
 
 from __future__ import annotations
@@ -37,65 +39,84 @@ def _scatter(sa: np.ndarray, heads: np.ndarray, symbols: np.ndarray, suffixes: n
     heads[sorted_symbols[first]] += way * size
 
 
-def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of consecutive ranges."""
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
+def _with_runs(tails: np.ndarray, bucket: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes at the ends of runs, in order within their buckets, and all other suffixes of the runs after them."""
+    length = run[tails]
+    if not len(tails) or length.max() == 1:
+        return tails, bucket
+    each = np.repeat(np.arange(len(tails)), length)
+    back = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    order = np.lexsort((each, back, bucket[each]))
+    return (tails[each] - back)[order], bucket[each][order]
+
+
+def _scan(s: np.ndarray, sa: np.ndarray, run: np.ndarray, wanted: np.ndarray, heads: np.ndarray, edges: np.ndarray, more: np.ndarray, more_at: np.ndarray, more_n: np.ndarray, way: int) -> None:
+    """Induces one type of suffix. Buckets are taken from the first to the last (way 1) or back (way -1).
+
+    wanted: suffixes of the type; heads: the next free place of each bucket, edges: the first one. more[more_at[c]:][:more_n[c]]:
+    the other suffixes of bucket c that induce, in the order of `way`.
+    """
+    k = len(heads)
+    done, width = 0, 64
+    while done < k:
+        last = min(done + width, k)
+        # numbers along the way; c are symbols
+        step = np.arange(done, last)
+        c = step if way == 1 else k - 1 - step
+        count = way * (heads[c] - edges[c])
+        place = edges[c]
+        tails = sa[np.repeat(place, count) + way * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))]
+        own, own_step = _with_runs(tails, np.repeat(step, count), run)
+        rest, rest_step = more[_ranges(more_at[c], more_n[c])], np.repeat(step, more_n[c])
+        every, at = np.concatenate((own, rest)), np.concatenate((own_step, rest_step))
+        order = np.argsort(at, kind="stable")
+        every, at = every[order], at[order]
+        some = every > 0
+        before, at = every[some] - 1, at[some]
+        target = s[before]
+        some = wanted[before] & (target != s[before + 1])
+        before, at, target = before[some], at[some], target[some]
+        to = target if way == 1 else k - 1 - target
+        # a bucket may be taken if none before it in this step, nor itself, induces into it or an earlier one
+        nearest = np.full(last - done, k)
+        np.minimum.at(nearest, at - done, to)
+        fine = np.minimum.accumulate(nearest) > step
+        end = last if fine.all() else done + int(np.argmin(fine))
+        if len(own) > len(tails):
+            size = np.bincount(own_step - done, minlength=last - done)
+            cut = own_step < end
+            sa[np.repeat(place, size)[cut] + way * (np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size))[cut]] = own[cut]
+            taken = step < end
+            heads[c[taken]] = edges[c[taken]] + way * size[taken]
+        cut = at < end
+        _scatter(sa, heads, target[cut], before[cut], way)
+        width = max(16, min(2 * width if end == last else 2 * (end - done), 1 << 16))
+        done = end
+
+
+def _induce(s: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The suffix array that a list of LMS suffixes, in order within equal first symbols, induces."""
-    n, k = len(s), len(size)
+    n = len(s)
     ends = np.cumsum(size)
     starts = ends - size
     sa = np.full(n, -1, np.int64)
-    grouped = lms[np.argsort(s[lms], kind="stable")]
-    counts = np.bincount(s[lms], minlength=k)
-    edge = np.cumsum(counts) - counts
-    used = np.flatnonzero(size)
-
-    heads = starts.copy()
-    for c in used.tolist():
-        done = starts[c]
-        while done < heads[c]:
-            here = sa[done : heads[c]]
-            done = heads[c]
-            before = here[here > 0] - 1
-            before = before[~small[before]]
-            _scatter(sa, heads, s[before], before, 1)
-        here = grouped[edge[c] : edge[c] + counts[c]]
-        before = here[here > 0] - 1
-        _scatter(sa, heads, s[before], before, 1)
-    large = heads
-
-    heads = ends - 1
-    for c in used[::-1].tolist():
-        done = ends[c] - 1
-        while done > heads[c]:
-            here = sa[heads[c] + 1 : done + 1][::-1]
-            done = heads[c]
-            before = here[here > 0] - 1
-            before = before[small[before]]
-            _scatter(sa, heads, s[before], before, -1)
-        here = sa[starts[c] : large[c]][::-1]
-        before = here[here > 0] - 1
-        before = before[small[before]]
-        _scatter(sa, heads, s[before], before, -1)
+    counts = np.bincount(s[lms], minlength=len(size))
+    large = starts.copy()
+    _scan(s, sa, run, ~small, large, starts, lms[np.argsort(s[lms], kind="stable")], np.cumsum(counts) - counts, counts, 1)
+    inside = large - starts
+    back = sa[_ranges(starts, inside)][::-1]
+    before = np.cumsum(inside[::-1])[::-1] - inside
+    _scan(s, sa, run, small, ends - 1, ends - 1, back, before, inside, -1)
     if sa[0] < 0:
         sa[0] = n - 1
     return sa
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string with many names, by ranks of doubled prefixes."""
-    n, rank, step = len(names), names.astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(n - step, 0)] = rank[step:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        step *= 2
-
-
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The suffix array of symbols s >= 1, without the end mark that is added inside."""
     s = np.append(s.astype(np.int32), 0)
@@ -105,8 +126,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     small = _smaller(s)
     lms = np.flatnonzero(small & np.concatenate(([False], ~small[:-1])))
     size = np.bincount(s)
-    sa = _induce(s, small, lms, size)
-    is_lms = np.zeros(n + 1, bool)
+    change = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    run = np.arange(n) - np.repeat(change, np.diff(np.append(change, n))) + 1
+    sa = _induce(s, small, run, lms, size)
+    is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
     # equal LMS substrings get equal names: same length, symbols and end
@@ -118,16 +141,21 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     depth, todo = 0, np.flatnonzero(same)
     while len(todo):
         todo = todo[length[a[todo]] > depth]
-        differ = s[a[todo] + depth] != s[b[todo] + depth]
+        if not len(todo):
+            break
+        # few pairs are compared over many symbols at once; a symbol past the end is compared as the last one
+        wide = np.arange(depth, depth + max(1, 1 << 14 >> int(len(todo)).bit_length()))
+        at = np.minimum(wide[None, :], length[a[todo]][:, None] - 1)
+        differ = (s[a[todo][:, None] + at] != s[b[todo][:, None] + at]).any(1)
         same[todo[differ]] = False
         todo = todo[~differ]
-        depth += 1
+        depth += len(wide)
     name = np.zeros(n, np.int64)
     name[order] = np.concatenate(([0], np.cumsum(~same)))
     names = name[lms]
     if len(names) > 1 and names.max() < len(names) - 1:
-        order = lms[_doubled(names)]
-    return _induce(s, small, order, size)[1:]
+        order = lms[suffix_array(names + 1)]
+    return _induce(s, small, run, order, size)[1:]
 
 
 def reaches(s: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
