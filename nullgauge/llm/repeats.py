@@ -9,13 +9,15 @@ minimizer travel together as an atom, one substring of the text.
 3. Atoms of equal bytes are one content. A content with several places is a repeat as a whole.
 4. The distinct contents of minimizers that have several are cut out of the texts, shuffled by minimizer, and each
    shard gets its suffix array by induced sorting; permuted common prefixes tell which strings occur again.
-   A minimizer with more than HOT_BYTES of distinct contents isn't sorted in one task: the hashes of its strings are
-   counted one by one instead, with partial sums.
+   The contents of a minimizer with more than HOT_BYTES of them are dealt again, as texts of their own, by minimizers
+   of longer substrings (the next of KGRAMS), which fewer strings share; at the last length, LENGTH itself, a minimizer
+   is one string.
 5. Repeated ranges go back to the places of their content, are merged for each text, and cut out of it.
 
 Matches never cross texts. Rows of equal id and text hash share their ranges, which depend on the text only.
 Defined results: null or empty texts have nothing to remove; texts under LENGTH bytes hold no such string; repeated
-rows of LENGTH bytes or more are removed whole; an empty table gives an empty result.
+rows of LENGTH bytes or more are removed whole; a very long text is cut into atoms like any other, in memory in
+proportion to it; other columns aren't looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +34,11 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_ROWS, BYTE_VALUE, mixed, saved, slices, small_or_shuffled, use_checkpoints, utf8
 from .suffix_array import reaches, suffix_array
 
-LENGTH, KGRAM = 200, 64
+LENGTH = 200
+KGRAMS = (64, 136, 184, LENGTH)
 SHARD_BYTES, HOT_BYTES = 1_000_000, 8_000_000
+#: Numbers in a row that holds a place or a range; bounds of broadcasts count numbers.
+WIDE = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -59,13 +64,14 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - n)], values[width - n :]) if width > n else values
 
 
-def _atoms_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+def _atoms_of(data: np.ndarray, at: np.ndarray, kgram: int) -> tuple[np.ndarray, ...]:
     """Minimizer, content hash, document, start, number of strings, and whether the minimizer recurs, of each atom."""
-    n, width = len(data), LENGTH - KGRAM + 1
+    n, width = len(data), LENGTH - kgram + 1
     if n < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool))
     sums, inverse = _prefix_hashes(data)
-    grams = mixed((sums[KGRAM:] - sums[:-KGRAM]) * inverse[: n - KGRAM + 1])
+    # seeded by the length, so that the content hash isn't the minimizer where both are of whole strings
+    grams = mixed((sums[kgram:] - sums[:-kgram]) * inverse[: n - kgram + 1] + np.uint64(kgram))
     least = _sliding(grams, width, np.minimum)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: n - LENGTH + 1]
     whole = np.arange(n - LENGTH + 1) + LENGTH <= at[doc + 1]
@@ -91,16 +97,19 @@ def _atoms_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 ATOM_SCHEMA = "doc_id long, text_hash long, minimizer long, content long, start int, strings int, recurs boolean"
 
 
-def _atoms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            data, at, _ = utf8(batch.column("text"))
-            minimizer, content, of, start, strings, recurs = _atoms_of(data, at)
-            rows = pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(minimizer.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start, pa.int32()), pa.array(strings, pa.int32()), pa.array(recurs)],
-                ["doc_id", "text_hash", "minimizer", "content", "start", "strings", "recurs"],
-            )
+def _atoms(kgram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                data, at, _ = utf8(batch.column("text"))
+                minimizer, content, of, start, strings, recurs = _atoms_of(data, at, kgram)
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(minimizer.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start, pa.int32()), pa.array(strings, pa.int32()), pa.array(recurs)],
+                    ["doc_id", "text_hash", "minimizer", "content", "start", "strings", "recurs"],
+                )
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +165,6 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _sorted_shard(rows)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of hot contents, by two independent hashes."""
-    for batch in batches:
-        data, at, _ = utf8(batch.column("bytes"))
-        n = np.diff(at) - LENGTH + 1
-        of = np.repeat(np.arange(len(n)), n)
-        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[of]
-        hashes = []
-        for seed in (1, 2):
-            sums, inverse = _prefix_hashes(data, seed)
-            hashes.append(mixed((sums[start + LENGTH] - sums[start]) * inverse[start]).view(np.int64))
-        rows = pa.array(of)
-        yield pa.RecordBatch.from_arrays([batch.column("minimizer").take(rows), batch.column("content").take(rows), pa.array(start - at[of], pa.int32()), pa.array(hashes[0]), pa.array(hashes[1])], ["minimizer", "content", "low", "one", "two"])
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges each text's ranges to maximal runs."""
     for batch in batches:
@@ -206,12 +200,12 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_ranges(texts: DataFrame) -> DataFrame:
+def repeated_ranges(texts: DataFrame, level: int = 0) -> DataFrame:
     """(doc_id, text_hash, lows, highs): the maximal repeated byte runs of texts (doc_id, text_hash, text)."""
     spark = texts.sparkSession
     folder = f"{use_checkpoints(spark).rstrip('/')}/atoms-{uuid.uuid4().hex}"
     # a compressed table, read twice; a checkpoint would hold the rows uncompressed
-    texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_atoms, ATOM_SCHEMA).write.parquet(folder)
+    texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_atoms(KGRAMS[level]), ATOM_SCHEMA).write.parquet(folder)
     atoms = spark.read.parquet(folder)
 
     shared = atoms.groupBy("minimizer").agg(F.count("*").alias("n"), F.max("recurs").alias("recurs")).filter("n > 1 OR recurs").select("minimizer")
@@ -226,17 +220,17 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     needed = saved(contents.join(groups, "minimizer", "left_semi").select("minimizer", "content", "first.*"))
     n_needed = needed.count()
     wanted = needed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("minimizer", "content", "start", "strings")).alias("wanted"))
-    cut = texts.dropDuplicates(["doc_id", "text_hash"]) if n_needed > BROADCAST_ROWS else texts
-    cut = cut.join(small_or_shuffled(wanted, n_needed), ["doc_id", "text_hash"]).select("text", "wanted").mapInArrow(_cut, "minimizer long, content long, bytes binary").dropDuplicates(["minimizer", "content"])
+    cut = texts.dropDuplicates(["doc_id", "text_hash"]) if WIDE * n_needed > BROADCAST_ROWS else texts
+    cut = cut.join(small_or_shuffled(wanted, WIDE * n_needed), ["doc_id", "text_hash"]).select("text", "wanted").mapInArrow(_cut, "minimizer long, content long, bytes binary").dropDuplicates(["minimizer", "content"])
     cut = cut.join(groups, "minimizer")
-    hot = groups.filter("hot").limit(1).count() > 0
+    hot = level + 1 < len(KGRAMS) and not groups.filter("hot").isEmpty()
     cut = saved(cut) if hot else cut
-    ordered = cut.filter("NOT hot").select("minimizer", "content", "bytes").repartition("minimizer").sortWithinPartitions("minimizer")
+    ordered = (cut.filter("NOT hot") if hot else cut).select("minimizer", "content", "bytes").repartition("minimizer").sortWithinPartitions("minimizer")
     ranges = ordered.mapInArrow(_sorted_shards, "minimizer long, content long, low int, high int")
     if hot:
-        strings = saved(cut.filter("hot").select("minimizer", "content", "bytes").mapInArrow(_strings, "minimizer long, content long, low int, one long, two long"))
-        twice = strings.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select("one", "two")
-        ranges = ranges.unionByName(strings.join(twice, ["one", "two"], "left_semi").select("minimizer", "content", "low", (F.col("low") + LENGTH).alias("high")))
+        again = repeated_ranges(cut.filter("hot").select(F.col("content").alias("doc_id"), F.col("minimizer").alias("text_hash"), F.col("bytes").alias("text")), level + 1)
+        again = again.select(F.col("text_hash").alias("minimizer"), F.col("doc_id").alias("content"), F.explode(F.arrays_zip("lows", "highs")).alias("r"))
+        ranges = ranges.unionByName(again.select("minimizer", "content", F.col("r.lows").alias("low"), F.col("r.highs").alias("high")))
     whole = contents.filter("n > 1").select("minimizer", "content", F.lit(0).alias("low"), (F.col("first.strings") + LENGTH - 1).alias("high"))
     ranges = ranges.join(whole.select("minimizer", "content"), ["minimizer", "content"], "left_anti").unionByName(whole)
     spans = places.join(ranges, ["minimizer", "content"]).select("doc_id", "text_hash", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("span"))
@@ -249,5 +243,5 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = saved(repeated_ranges(texts.select("doc_id", "text_hash", "text")))
     n = ranges.agg(F.sum(F.size("lows"))).first()[0] or 0
-    joined = texts.join(small_or_shuffled(ranges, n), ["doc_id", "text_hash"], "left").select("id", "text", "lows", "highs")
+    joined = texts.join(small_or_shuffled(ranges, WIDE * n), ["doc_id", "text_hash"], "left").select("id", "text", "lows", "highs")
     return joined.mapInArrow(_without, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
