@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, decisions, evidence, graphs, information, scalars
+from . import calibration, decisions, evidence, files, graphs, information, scalars
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "calibration", "decisions", "evidence", "graphs", "information", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "calibration", "decisions", "evidence", "files", "graphs", "information", "scalars"]
