@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 # Chebyshev coefficients of the complementary error function (relative error under 1.2e-7).
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-# Two-sided and power quantiles that the power functions accept.
-Z_ALPHA = {0.10: 1.64485, 0.05: 1.95996, 0.01: 2.57583}
-Z_POWER = {0.80: 0.84162, 0.85: 1.03643, 0.90: 1.28155, 0.95: 1.64485}
 
 
 def normal_sf(z: Column) -> Column:

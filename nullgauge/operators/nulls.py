@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draws import numbered, replicates, u32
+from .draws import key, numbered, replicates, u32
 
 
 def top_k_mean(value: str, k: int) -> Column:
@@ -82,10 +82,119 @@ def calibrate(scored: DataFrame, null: DataFrame) -> DataFrame:
 
 
 def label_permutations(df: DataFrame, ids: tuple[str, ...], label: str, reps: int, seed: str) -> DataFrame:
-    """rep, the id columns and a label permuted over the rows of each replicate."""
-    from .draws import shuffled_rank
+    """rep, the id columns and a label permuted over the rows of each replicate.
 
-    many = replicates(df.select(*ids, label), reps)
-    targets = many.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(*ids)))
-    sources = many.withColumn("_r", shuffled_rank(seed, F.col("rep"), *ids))
-    return targets.drop(label).join(sources.select("rep", "_r", label), ["rep", "_r"]).drop("_r")
+    Rows are numbered once by their ids and once for all replicates by hash, both by ranges, and meet on the number.
+    """
+    rows = df.select(*ids, label)
+    targets = numbered(rows.select(*ids), *ids, name="_r")
+    n = targets.count()
+    hashed = replicates(rows, reps).withColumn("_h", F.md5(key(seed, F.col("rep"), *map(F.col, ids)).cast("binary")))
+    sources = numbered(hashed, "rep", "_h", *ids, name="_p").select("rep", label, (F.col("_p") - F.col("rep") * n).alias("_r"))
+    return sources.join(targets, "_r").drop("_r")
+
+
+def fit_mean_null(control: DataFrame, ident: str, vector: str, counts: DataFrame, top: int = 3, draws: int = 200, seed: str = "mean", blocks: str | None = None, grid: list[int] | None = None, least_rows: int = 50, least_blocks: int = 20) -> DataFrame:
+    """(n, null_mean, null_sd, p95, p99): n control rows are drawn and averaged feature by feature; the statistic is the
+    mean of the `top` largest feature means. counts (n): the observed counts, which the grid has to span.
+
+    With blocks, a draw takes one block and then rows inside it. Refuses small pools, few blocks, rows without a block,
+    vectors of unequal length, and a grid that stops short of the counts.
+    """
+    pool = control.filter(F.col(vector).isNotNull())
+    facts = pool.agg(F.count("*").alias("rows"), F.count_if(F.col(blocks).isNull()).alias("unnamed") if blocks else F.lit(0).alias("unnamed"), F.min(F.size(vector)).alias("short"), F.max(F.size(vector)).alias("long")).first()
+    ends = counts.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    if facts["rows"] < least_rows:
+        raise ValueError(f"{facts['rows']} control rows are too few for a null; at least {least_rows} are needed")
+    if facts["unnamed"]:
+        raise ValueError(f"{facts['unnamed']} control rows have no block")
+    if facts["short"] != facts["long"]:
+        raise ValueError("control vectors have unequal lengths")
+    if ends["lo"] is None:
+        raise ValueError("there are no observed counts")
+    if grid is not None and (min(grid) > ends["lo"] or max(grid) < ends["hi"]):
+        raise ValueError(f"the grid {min(grid)}..{max(grid)} doesn't span the observed counts {ends['lo']}..{ends['hi']}")
+    spark = control.sparkSession
+    steps = spark.createDataFrame([(int(n),) for n in sorted(set(grid))], "n long") if grid is not None else default_grid(counts)
+    slots = replicates(steps, draws, "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    if blocks is None:
+        numbers = numbered(pool.select(ident, vector), ident)
+        drawn = slots.withColumn("pos", u32(seed, F.col("n"), F.col("draw"), F.col("slot")) % facts["rows"]).join(numbers, "pos")
+    else:
+        inside = F.row_number().over(Window.partitionBy(blocks).orderBy(ident)) - 1
+        numbers = pool.select(F.col(blocks).alias("block"), vector, inside.alias("pos"))
+        named = numbered(pool.groupBy(F.col(blocks).alias("block")).agg(F.count("*").alias("size")), "block", name="block_pos")
+        n_blocks = named.count()
+        if n_blocks < least_blocks:
+            raise ValueError(f"{n_blocks} blocks are too few to see the spread between blocks; at least {least_blocks} are needed")
+        chosen = slots.withColumn("block_pos", u32(seed, "block", F.col("n"), F.col("draw")) % n_blocks).join(named, "block_pos")
+        drawn = chosen.withColumn("pos", u32(seed, F.col("n"), F.col("draw"), F.col("slot")) % F.col("size")).join(numbers, ["block", "pos"])
+    means = F.array(*[F.avg(F.col(vector)[k].cast("double")) for k in range(facts["long"])])
+    each = drawn.groupBy("n", "draw").agg(means.alias("m")).withColumn("best", F.slice(F.sort_array("m", asc=False), 1, top))
+    stat = each.withColumn("stat", F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.size("best"))
+    return stat.groupBy("n").agg(F.avg("stat").alias("null_mean"), F.stddev_samp("stat").alias("null_sd"), F.percentile("stat", 0.95).alias("p95"), F.percentile("stat", 0.99).alias("p99"))
+
+
+def top_feature_scores(df: DataFrame, entity: str, vector: str, length: int, top: int = 3) -> DataFrame:
+    """(entity, score, n): mean of the `top` largest feature means of each entity's rows."""
+    means = F.array(*[F.avg(F.col(vector)[k].cast("double")) for k in range(length)])
+    x = df.filter(F.col(vector).isNotNull()).groupBy(F.col(entity).alias("entity")).agg(means.alias("m"), F.count("*").alias("n")).withColumn("best", F.slice(F.sort_array("m", asc=False), 1, top))
+    return x.select("entity", (F.aggregate("best", F.lit(0.0), lambda a, v: a + v) / F.size("best")).alias("score"), "n")
+
+
+def baseline_pool(log: DataFrame, variant: str, name: str, outcome: str) -> DataFrame:
+    """The finite outcomes of one variant; an unknown one is refused with up to eight that exist."""
+    pool = log.filter(F.col(variant) == name)
+    if pool.isEmpty():
+        known = [str(x[0]) for x in log.select(variant).distinct().orderBy(variant).limit(8).collect()]
+        raise ValueError(f"no outcomes of {name}; there are {', '.join(known)}")
+    return pool.filter(F.col(outcome).isNotNull() & ~F.isnan(F.col(outcome).cast("double")) & (F.abs(outcome) < float("inf")))
+
+
+def permutation_pool(log: DataFrame, outcome: str) -> DataFrame:
+    """All finite outcomes of all variants, with the caveat that belongs to them."""
+    ok = F.col(outcome).isNotNull() & ~F.isnan(F.col(outcome).cast("double")) & (F.abs(outcome) < float("inf"))
+    return log.filter(ok).withColumn("caveat", F.lit("pooled over all variants: good ones are part of this null"))
+
+
+def equal_count_null(members: DataFrame, entity: str, group: str, values: DataFrame, value: str, reps: int, seed: str, least: int = 20) -> DataFrame:
+    """(n, draws, null_mean, null_sd): entities' values are permuted and groups scored again by their mean; scores are
+    pooled over groups of the same number of members. Pools under `least` scores are left out."""
+    many = label_permutations(values, (entity,), value, reps, seed)
+    scored = members.select(group, entity).distinct().join(many, entity).groupBy("rep", group).agg(F.avg(value).alias("score"), F.count("*").alias("n"))
+    return scored.groupBy("n").agg(F.count("*").alias("draws"), F.avg("score").alias("null_mean"), F.stddev_samp("score").alias("null_sd")).filter(F.col("draws") >= least)
+
+
+def flipped_directions(edges: DataFrame, seed: str, rep: Column) -> DataFrame:
+    """Directed edges (src, dst, w) with the antisymmetric part of each pair's weights turned or not by hash.
+
+    w = s + a; both directions of a pair get the same turn, a missing direction counts as 0.
+    """
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("w_back"))
+    both = edges.join(back, ["src", "dst"], "full").fillna(0.0, ["w", "w_back"])
+    turn = F.when(u32(seed, rep, F.least("src", "dst"), F.greatest("src", "dst")) % 2 == 0, 1).otherwise(-1)
+    return both.select("src", "dst", ((F.col("w") + F.col("w_back")) / 2 + turn * (F.col("w") - F.col("w_back")) / 2).alias("w"))
+
+
+def scatter_null(counts: DataFrame, bins: int, width: int, draws: int, seed: str) -> DataFrame:
+    """(n, null_mean, null_sd) of the densest window's clustering ratio for n points thrown evenly into bins."""
+    from .ranks import densest_window
+
+    thrown = replicates(counts.select("n"), draws, "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    hits = thrown.groupBy("n", "draw", (u32(seed, F.col("n"), F.col("draw"), F.col("slot")) % bins).cast("int").alias("bin")).agg(F.count("*").alias("c"))
+    dense = replicates(counts.select("n"), draws, "draw").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(hits, ["n", "draw", "bin"], "left")
+    each = densest_window(dense.select(F.struct("n", "draw").alias("by"), "bin", F.coalesce("c", F.lit(0)).alias("n")), "by", width, bins)
+    return each.groupBy(F.col("by.n").alias("n")).agg(F.avg("ratio").alias("null_mean"), F.stddev_samp("ratio").alias("null_sd"))
+
+
+def moderated_z(scored: DataFrame, prior: float, bands: int = 10) -> DataFrame:
+    """Adds trend and z_moderated: each null_sd is blended, in logs, with the mean log sd of its band of counts, with
+    weight n / (n + prior) of its own. scored: (entity, n, score, null_mean, null_sd)."""
+    from .ranks import equal_count_bands
+
+    known = scored.filter("null_sd > 0")
+    banded = equal_count_bands(known, "n", "entity", bands)
+    trend = banded.groupBy("band").agg(F.exp(F.avg(F.ln("null_sd"))).alias("trend"))
+    own = F.col("n") / (F.col("n") + prior)
+    sd = F.exp(own * F.ln("null_sd") + (1 - own) * F.ln("trend"))
+    return banded.join(F.broadcast(trend), "band").withColumn("z_moderated", (F.col("score") - F.col("null_mean")) / sd)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import normal_sf, normal_sf_sql
-from ..operators import intervals, nulls, tests
-from ..operators.draws import key, replicates, saved, u32
-from ..operators.ranks import average_rank
+from ..operators import intervals, nulls, significance
+from ..operators.draws import key, numbered, replicates, saved, u32
+from ..operators.ranks import tie_ranks
 from .base import Tables, query, r
 
 _U32 = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
@@ -49,9 +49,8 @@ def _screen(t: Tables) -> tuple[DataFrame, DataFrame]:
 def r01_calibrated_screen(t: Tables) -> DataFrame:
     """Best three order prices of a customer, calibrated by orders of unspecified priority."""
     z, _ = _screen(t)
-    # the ranks are of entities, one short row each
-    raw, cal = Window.orderBy(F.desc("score")), Window.orderBy(F.desc("z"))
-    return z.select("entity", "n", r("score", 4).alias("score"), r("null_mean", 4).alias("null_mean"), r("null_sd", 4).alias("null_sd"), r("z").alias("z"), F.rank().over(raw).alias("rank_raw"), F.rank().over(cal).alias("rank_calibrated"))
+    z = tie_ranks(tie_ranks(saved(z.select("entity", "n", "score", "null_mean", "null_sd", "z")), "score", "raw", descending=True), "z", "cal", descending=True)
+    return z.select("entity", "n", r("score", 4).alias("score"), r("null_mean", 4).alias("null_mean"), r("null_sd", 4).alias("null_sd"), r("z").alias("z"), F.col("raw_min").alias("rank_raw"), F.col("cal_min").alias("rank_calibrated"))
 
 
 @query(_SCREEN + "SELECT n, round(m, 4) AS null_mean, round(sd, 4) AS null_sd, round(p95, 4) AS p95, round(p99, 4) AS p99 FROM nul")
@@ -100,26 +99,26 @@ def o107_execution_matrix(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH x AS (SELECT p_brand, l_extendedprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY p_brand) AS n
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 49
-), d AS (SELECT p_brand, rep, {_U32.format("'boot:' || p_brand || ':' || rep || ':' || pos")} % n AS pos FROM x, range(50) t(rep) WHERE n >= 8
+  FROM lineitem JOIN part ON l_partkey = p_partkey 
+), d AS (SELECT p_brand, rep, {_U32.format("'boot:' || p_brand || ':' || rep || ':' || pos")} % n AS pos FROM x, range(20) t(rep) WHERE n >= 8
 ), m AS (SELECT p_brand, rep, avg(v) AS m FROM d JOIN x USING (p_brand, pos) GROUP BY 1, 2
 ), s AS (SELECT p_brand, stddev_samp(m) AS se, quantile_cont(m, 0.025) AS p_lo, quantile_cont(m, 0.975) AS p_hi FROM m GROUP BY 1
 ), o AS (SELECT p_brand, count(*) AS n, avg(v) AS point FROM x WHERE n >= 8 GROUP BY 1)
 SELECT p_brand, n, round(point, 3) AS point, round(se, 3) AS se, round(point - 1.96 * se, 3) AS lo, round(point + 1.96 * se, 3) AS hi, round(p_lo, 3) AS p_lo, round(p_hi, 3) AS p_hi FROM o JOIN s USING (p_brand)""")
 def o098_bootstrap_interval(t: Tables) -> DataFrame:
-    rows = t.lineitem.filter("l_returnflag = 'R' AND l_quantity >= 49").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.withColumn("ident", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    b = intervals.bootstrap_means(rows, "p_brand", "ident", "l_extendedprice", 50, "boot")
+    b = intervals.bootstrap_means(rows, "p_brand", "ident", "l_extendedprice", 20, "boot")
     return b.select("p_brand", "n", *[r(c, 3).alias(c) for c in ("point", "se", "lo", "hi", "p_lo", "p_hi")])
 
 
 @query(f"""
-WITH c AS (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS c, row_number() OVER (ORDER BY o_custkey) - 1 AS pos FROM orders WHERE o_orderstatus = 'P' GROUP BY 1
+WITH c AS (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS c, row_number() OVER (ORDER BY o_custkey) - 1 AS pos FROM orders GROUP BY 1
 ), d AS (SELECT rep, {_U32.format("'clu:' || rep || ':' || pos")} % (SELECT count(*) FROM c) AS pos FROM c, range(100) t(rep)
 ), m AS (SELECT rep, sum(s) / sum(c) AS m FROM d JOIN c USING (pos) GROUP BY 1)
 SELECT (SELECT count(*) FROM c) AS clusters, round((SELECT sum(s) / sum(c) FROM c), 3) AS point, round(stddev_samp(m), 3) AS se, round(quantile_cont(m, 0.025), 3) AS p_lo, round(quantile_cont(m, 0.975), 3) AS p_hi FROM m""")
 def o100_cluster_bootstrap(t: Tables) -> DataFrame:
-    b = intervals.cluster_bootstrap_mean(t.orders.filter("o_orderstatus = 'P'"), "o_custkey", "o_totalprice", 100, "clu")
+    b = intervals.cluster_bootstrap_mean(t.orders, "o_custkey", "o_totalprice", 100, "clu")
     return b.select("clusters", *[r(c, 3).alias(c) for c in ("point", "se", "p_lo", "p_hi")])
 
 
@@ -155,7 +154,7 @@ WITH m AS (
 def _effects(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.select("p_brand", F.col("s_nationkey").alias("nation"), (F.col("l_returnflag") == "R").alias("arm"), "l_extendedprice")
-    return tests.two_group_effects(rows, ["p_brand", "nation"], "arm", "l_extendedprice")
+    return significance.two_group_effects(rows, ["p_brand", "nation"], "arm", "l_extendedprice")
 
 
 @query(_EFFECTS + " SELECT p_brand, nation, n1, n0, round(d, 6) AS d, round(t, 6) AS t, round(df, 4) AS df FROM e")
@@ -169,7 +168,7 @@ _POOLED = """, w AS (SELECT *, 1.0 / (CAST(n1 + n0 AS DOUBLE) / (n1 * n0) + d *
 
 @query(_EFFECTS + _POOLED + " SELECT p_brand, strata, round(d, 6) AS d, round(se, 6) AS se, round(d / se, 6) AS z FROM p")
 def o130_pooled_effect(t: Tables) -> DataFrame:
-    p = tests.pooled_effects(_effects(t), ["p_brand"])
+    p = significance.pooled_effects(_effects(t), ["p_brand"])
     return p.select("p_brand", "strata", r("d").alias("d"), r("se").alias("se"), r("z").alias("z"))
 
 
@@ -180,7 +179,7 @@ SELECT p_brand, nation, round(p, 7) AS p, round(q, 7) AS q, q <= 0.05 AS reject,
 def r06_subgroup_effects(t: Tables) -> DataFrame:
     """Effects in nations, corrected inside each nation, with the gated shortlist and its wider candidate pool."""
     e = _effects(t).withColumn("p", 2 * normal_sf(F.abs("t")))
-    q = tests.benjamini_hochberg(e, "p", "nation", ident="p_brand")
+    q = significance.benjamini_hochberg(e, "p", "nation", ident="p_brand")
     return q.select("p_brand", "nation", r("p", 7).alias("p"), r("q", 7).alias("q"), "reject", (F.col("reject") & (F.col("d") >= 0.5)).alias("shortlisted"), ((F.col("q") <= 0.25) & (F.abs("d") >= 0.05)).alias("candidate"))
 
 
@@ -192,23 +191,24 @@ _ZP = _SCREEN + f", p AS (SELECT entity, (score - null_mean) / null_sd AS z, {no
 SELECT entity, round(p, 7) AS p, round(q, 6) AS q, q <= 0.05 AS reject FROM q""")
 def o123_global_bh(t: Tables) -> DataFrame:
     z, _ = _screen(t)
-    q = tests.benjamini_hochberg(z.select("entity", normal_sf(F.col("z")).alias("p")), "p")
+    q = significance.benjamini_hochberg(z.select("entity", normal_sf(F.col("z")).alias("p")), "p")
     return q.select("entity", r("p", 7).alias("p"), r("q").alias("q"), "reject")
 
 
 @query(_ZP + " SELECT count(*) AS m, count(*) FILTER (p > 0.5) AS above, round(least(count(*) FILTER (p > 0.5) / (0.5 * count(*)), 1), 6) AS pi0 FROM p")
 def o124_storey(t: Tables) -> DataFrame:
     z, _ = _screen(t)
-    return tests.storey_pi0(z.select(normal_sf(F.col("z")).alias("p")), "p").withColumn("pi0", r("pi0"))
+    return significance.storey_pi0(z.select(normal_sf(F.col("z")).alias("p")), "p").withColumn("pi0", r("pi0"))
 
 
-@query(_SCREEN + """, s2 AS (SELECT entity, (score - null_mean) / null_sd AS v FROM z), c AS (SELECT v FROM s2 WHERE entity % 10 = 0)
+@query(_SCREEN + """, s2 AS (SELECT entity, (score - null_mean) / null_sd AS v FROM z), c AS (SELECT v FROM s2 JOIN customer ON c_custkey = entity WHERE c_mktsegment = 'MACHINERY')
 SELECT entity, round((1 + (SELECT count(*) FROM c WHERE c.v >= s2.v)) / (1.0 + (SELECT count(*) FROM c)), 8) AS p, round(1 / (1.0 + (SELECT count(*) FROM c)), 8) AS p_floor FROM s2""")
 def o119_empirical_p(t: Tables) -> DataFrame:
-    """Share of control entities (every tenth key) at or above each z."""
+    """Share of control entities (customers of one segment) at or above each z."""
     z, _ = _screen(t)
     z = saved(z.select("entity", F.col("z").alias("v")))
-    p = tests.empirical_p(z, z.filter("entity % 10 = 0"), "v")
+    control = z.join(t.customer.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("entity")), "entity", "left_semi")
+    p = significance.empirical_p(z, control, "v")
     return p.select("entity", r("p", 8).alias("p"), r("p_floor", 8).alias("p_floor"))
 
 
@@ -218,7 +218,7 @@ WITH x AS (SELECT l_returnflag, l_extendedprice AS v FROM lineitem), n AS (SELEC
 SELECT l_returnflag, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(sqrt(n * (n - 1)) / (n - 2) * m3 / pow(m2, 1.5), 6) AS skew, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6), 6) AS excess_kurtosis,
   round(sqrt(6 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3))), 8) AS skew_se FROM n JOIN m USING (l_returnflag)""")
 def o127_shape(t: Tables) -> DataFrame:
-    m = tests.moments(t.lineitem, "l_extendedprice", "l_returnflag")
+    m = significance.moments(t.lineitem, "l_extendedprice", "l_returnflag")
     return m.select("l_returnflag", "n", r("mean", 4).alias("mean"), r("sd", 4).alias("sd"), r("skew").alias("skew"), r("excess_kurtosis").alias("excess_kurtosis"), r("skew_se", 8).alias("skew_se"))
 
 
@@ -226,8 +226,6 @@ def o127_shape(t: Tables) -> DataFrame:
 SELECT round(max(greatest(f - (i - 1) / CAST(n AS DOUBLE), i / CAST(n AS DOUBLE) - f)), 6) AS ks, round(max(1 / (12.0 * n)) + sum(pow((2 * i - 1) / (2.0 * n) - f, 2)), 6) AS cvm FROM k""")
 def o126_goodness_of_fit(t: Tables) -> DataFrame:
     """Kolmogorov-Smirnov and Cramer-von Mises distances of z to the normal."""
-    from ..operators.draws import numbered
-
     z, _ = _screen(t)
     z = numbered(z.select(F.col("z").alias("x"), "entity"), "x", "entity", name="i")
     n = z.count()
@@ -236,21 +234,21 @@ def o126_goodness_of_fit(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey AS entity, count(*) AS n, round(CASE WHEN count(*) >= 4 THEN 2.80158 * sqrt(4.0 / count(*)) END, 6) AS floor,
-  CASE WHEN count(*) < 4 THEN 'too small to assess' WHEN 2.80158 * sqrt(4.0 / count(*)) <= 0.2 THEN 'small' WHEN 2.80158 * sqrt(4.0 / count(*)) <= 0.5 THEN 'medium' WHEN 2.80158 * sqrt(4.0 / count(*)) <= 0.8 THEN 'large only' ELSE 'not even large' END AS verdict
+SELECT o_custkey AS entity, count(*) AS n, round(CASE WHEN count(*) >= 4 THEN 2.801585218111 * sqrt(4.0 / count(*)) END, 6) AS floor,
+  CASE WHEN count(*) < 4 THEN 'too small to assess' WHEN 2.801585218111 * sqrt(4.0 / count(*)) <= 0.2 THEN 'small' WHEN 2.801585218111 * sqrt(4.0 / count(*)) <= 0.5 THEN 'medium' WHEN 2.801585218111 * sqrt(4.0 / count(*)) <= 0.8 THEN 'large only' ELSE 'not even large' END AS verdict
 FROM orders GROUP BY 1""")
 def o138_detectable_effect(t: Tables) -> DataFrame:
     n = t.orders.groupBy(F.col("o_custkey").alias("entity")).agg(F.count("*").alias("n"))
-    floor = tests.min_detectable_effect(F.col("n"))
-    return n.select("entity", "n", r(floor).alias("floor"), tests.effect_verdict(floor).alias("verdict"))
+    floor = significance.min_detectable_effect(F.col("n"))
+    return n.select("entity", "n", r(floor).alias("floor"), significance.effect_verdict(floor).alias("verdict"))
 
 
 @query("""
 WITH c AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') / CAST(count(*) AS DOUBLE) AS p FROM lineitem GROUP BY 1)
-SELECT l_suppkey, round(CASE WHEN p > 0 AND p < 1 AND n * least(p, 1 - p) >= 5 THEN 2.80158 * sqrt(2 * p * (1 - p) / n) END, 6) AS difference, CAST(ceil(4 * pow(2.80158 / 0.8, 2)) AS INT) AS required_n FROM c""")
+SELECT l_suppkey, round(CASE WHEN p > 0 AND p < 1 AND n * least(p, 1 - p) >= 5 THEN 2.801585218111 * sqrt(2 * p * (1 - p) / n) END, 6) AS difference, CAST(ceil(4 * pow(2.801585218111 / 0.8, 2)) AS INT) AS required_n FROM c""")
 def o140_detectable_difference(t: Tables) -> DataFrame:
     c = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), (F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("p"))
-    return c.select("l_suppkey", r(tests.min_detectable_difference(F.col("n"), F.col("p"))).alias("difference"), F.lit(tests.required_n(0.8)).alias("required_n"))
+    return c.select("l_suppkey", r(significance.min_detectable_difference(F.col("n"), F.col("p"))).alias("difference"), F.lit(significance.required_n(0.8)).alias("required_n"))
 
 
 @query("""
@@ -258,7 +256,7 @@ WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT count(*) FILTER (n >= 4) AS entities, count(*) FILTER (n < 4) AS too_small, count(*) FILTER (n >= 4 AND n < 13) AS underpowered, quantile_cont(CASE WHEN n >= 4 THEN n END, 0.5) AS median_n, 13 AS required_n, round(count(*) FILTER (n >= 4 AND n < 13) / CAST(count(*) FILTER (n >= 4) AS DOUBLE), 6) AS share FROM c""")
 def o141_underpowered(t: Tables) -> DataFrame:
     c = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return tests.underpowered(c, "n", 1.6).withColumn("share", r("share"))
+    return significance.underpowered(c, "n", 1.6).withColumn("share", r("share"))
 
 
 @query(f"""
@@ -282,22 +280,23 @@ def o111_label_permutation(t: Tables) -> DataFrame:
 @query(f"""
 WITH b AS (SELECT p_partkey, p_retailprice AS v, p_brand, least(p_size // 10, 4) AS bin FROM part
 ), i AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY bin) AS size FROM b
-), tgt AS (SELECT p_brand, p_partkey, bin, v, size FROM i WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')
-), d AS (SELECT p_brand, rep, bin, {_U32.format("'bin:' || p_brand || ':' || rep || ':' || p_partkey")} % size AS pos FROM tgt, range(40) t(rep)
+), tgt AS (SELECT p_brand, p_partkey, bin, v, size FROM i
+), d AS (SELECT p_brand, rep, bin, {_U32.format("'bin:' || p_brand || ':' || rep || ':' || p_partkey")} % size AS pos FROM tgt, range(20) t(rep)
 ), m AS (SELECT d.p_brand, rep, avg(i.v) AS m FROM d JOIN i ON d.bin = i.bin AND d.pos = i.pos GROUP BY 1, 2
 ), o AS (SELECT p_brand, avg(v) AS observed, count(*) AS n FROM tgt GROUP BY 1)
-SELECT p_brand, n, round(observed, 4) AS observed, round(avg(m), 4) AS null_mean, round(stddev_samp(m), 4) AS null_sd FROM o JOIN m USING (p_brand) GROUP BY ALL""")
+SELECT p_brand, n, round(observed, 3) AS observed, round(avg(m), 3) AS null_mean, round(stddev_samp(m), 3) AS null_sd FROM o JOIN m USING (p_brand) GROUP BY ALL""")
 def o113_matched_null(t: Tables) -> DataFrame:
     """Retail price of a brand against parts drawn from the same size bins."""
-    w = Window.partitionBy("bin")
-    parts = t.part.withColumn("bin", F.least(F.floor(F.col("p_size") / 10), F.lit(4)))
-    parts = parts.withColumns({"pos": F.row_number().over(w.orderBy("p_partkey")) - 1, "size": F.count("*").over(w)})
-    target = parts.filter(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"))
-    drawn = replicates(target.select("p_brand", "p_partkey", "bin", "size"), 40).withColumn("pos", u32("bin", F.col("p_brand"), F.col("rep"), F.col("p_partkey")) % F.col("size"))
+    # numbered over (bin, key) by ranges; a bin's first number and size turn that into places inside it
+    parts = numbered(t.part.withColumn("bin", F.least(F.floor(F.col("p_size") / 10), F.lit(4))).select("bin", "p_partkey", "p_brand", "p_retailprice"), "bin", "p_partkey", name="at")
+    sizes = parts.groupBy("bin").agg(F.min("at").alias("first"), F.count("*").alias("size"))
+    parts = parts.join(F.broadcast(sizes), "bin").withColumn("pos", F.col("at") - F.col("first"))
+    target = parts
+    drawn = replicates(target.select("p_brand", "p_partkey", "bin", "size"), 20).withColumn("pos", u32("bin", F.col("p_brand"), F.col("rep"), F.col("p_partkey")) % F.col("size"))
     m = drawn.select("p_brand", "rep", "bin", "pos").join(parts.select("bin", "pos", F.col("p_retailprice").alias("v")), ["bin", "pos"]).groupBy("p_brand", "rep").agg(F.avg("v").alias("m"))
     o = target.groupBy("p_brand").agg(F.avg("p_retailprice").alias("observed"), F.count("*").alias("n"))
     out = o.join(m, "p_brand").groupBy("p_brand", "n", "observed").agg(F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"))
-    return out.select("p_brand", "n", *[r(c, 4).alias(c) for c in ("observed", "null_mean", "null_sd")])
+    return out.select("p_brand", "n", *[r(c, 3).alias(c) for c in ("observed", "null_mean", "null_sd")])
 
 
 @query("""
@@ -357,4 +356,7 @@ WITH c AS (SELECT o_custkey AS entity, count(*) AS n, avg(o_totalprice) AS m FRO
 SELECT entity, n, round(rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0, 1) AS average_rank, rank() OVER (ORDER BY m DESC) AS min_rank FROM c""")
 def o092_ranks(t: Tables) -> DataFrame:
     c = t.orders.groupBy(F.col("o_custkey").alias("entity")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("m"))
-    return c.select("entity", "n", r(average_rank("m"), 1).alias("average_rank"), F.rank().over(Window.orderBy(F.desc("m"))).alias("min_rank"))
+    up = tie_ranks(saved(c), "m", "up")
+    # the smallest rank from the other end follows from the average one
+    total = F.lit(up.count()) + 1
+    return up.select("entity", "n", r("up_avg", 1).alias("average_rank"), (total - 2 * F.col("up_avg") + F.col("up_min")).cast("long").alias("min_rank"))

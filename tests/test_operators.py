@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nullgauge.functions import scalars
-from nullgauge.operators import decide, draws, graph, nulls, tables, tests
+from nullgauge.operators import decide, draws, graph, nulls, significance, tables
 
 
 def test_equal_counts_keep_the_ranking(spark):
@@ -28,11 +28,11 @@ def test_draws_do_not_depend_on_partitions(spark):
 
 
 def test_power_values(spark):
-    row = spark.range(1).select(F.round(tests.min_detectable_effect(F.lit(26)), 3).alias("x")).first()
+    row = spark.range(1).select(F.round(significance.min_detectable_effect(F.lit(26)), 3).alias("x")).first()
     assert row.x == 1.099
-    assert (tests.required_n(0.8), tests.required_n(0.2)) == (50, 785)
+    assert (significance.required_n(0.8), significance.required_n(0.2)) == (50, 785)
     with pytest.raises(ValueError):
-        tests.required_n(0.5, alpha=0.07)
+        significance.required_n(0.5, alpha=0.0)
 
 
 def test_components_and_modularity_of_cliques(spark):
