@@ -120,18 +120,117 @@ def random_walk(edges: DataFrame, seeds: DataFrame, restart: float = 0.3, steps:
     return score
 
 
-def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """(child, ancestor, depth): all ancestors of every node, cycle-safe, in rounds that double the known distance."""
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, ancestor, depth): all ancestors of every node, cycle-safe, in rounds that double the known distance until
+    nothing is added."""
     known = saved(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    n = -1
-    while known.count() != n and n < 1 << 62 and most > 0:
-        n, most = known.count(), most // 2
+    before, n = -1, known.count()
+    while n != before:
         far = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("top"), F.col("depth").alias("more"))
         grown = known.join(far, "ancestor").select("child", F.col("top").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         known = saved(known.unionByName(grown).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        before, n = n, known.count()
     return known
 
 
+def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """(node, hop): nodes within `most` hops of the start nodes, with the fewest hops."""
+    around = saved(both_ways(edges).select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    reached = start.select("node").distinct().withColumn("hop", F.lit(0))
+    for k in range(1, most + 1):
+        front = reached.filter(F.col("hop") == k - 1).join(around, "node").select(F.col("next").alias("node")).distinct().withColumn("hop", F.lit(k))
+        reached = saved(reached.unionByName(front).groupBy("node").agg(F.min("hop").alias("hop")))
+    return reached
+
+
+def disconnected_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, size, pieces): communities with the number of connected pieces that they fall into."""
+    ends = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
+    inside = ends.filter("ls = ld").select("src", "dst", "w")
+    pieces = labels.join(component_labels(inside), "node", "left").withColumn("piece", F.coalesce("component", "node"))
+    return pieces.groupBy("label").agg(F.count("*").alias("size"), F.count_distinct("piece").alias("pieces"))
+
+
+def local_moves(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 2, seed: str = "move") -> DataFrame:
+    """(node, label): Louvain-type communities. In each round nodes of one hash parity move to the neighbouring label of
+    the largest gain in modularity at the resolution; then labels become nodes and the same is done again."""
+    total = edges.agg(F.sum("w").cast("double")).first()[0] or 1.0
+    around = saved(both_ways(edges).select("src", "dst", F.col("w").cast("double").alias("w")))
+    owner, graph_now = None, around
+    for level in range(levels):
+        strength = saved(graph_now.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+        labels = strength.select("node", F.col("node").alias("label"))
+        for turn in range(rounds):
+            weight = labels.join(strength, "node").groupBy("label").agg(F.sum("k").alias("k_label"))
+            votes = graph_now.filter("src != dst").join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("to"))
+            own = labels.select("node", "label", F.lit(0.0).alias("to"))
+            options = votes.unionByName(own).groupBy("node", "label").agg(F.sum("to").alias("to")).join(weight, "label").join(strength, "node").join(labels.withColumnRenamed("label", "now"), "node")
+            rest = F.col("k_label") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
+            gain = F.col("to") - resolution * F.col("k") * rest / (2 * total)
+            best = options.groupBy("node").agg(F.max_by("label", F.struct(F.round(gain, 9), (F.col("label") == F.col("now")).cast("int"), -F.col("label"))).alias("best"))
+            moves = F.pmod(F.xxhash64(F.col("node"), F.lit(f"{seed}:{level}")), F.lit(2)) == turn % 2
+            labels = saved(labels.join(best, "node").select("node", F.when(moves, F.col("best")).otherwise(F.col("label")).alias("label")))
+        owner = labels if owner is None else saved(owner.withColumnRenamed("label", "via").join(labels.select(F.col("node").alias("via"), "label"), "via").select("node", "label"))
+        contracted = graph_now.join(labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
+        graph_now = saved(contracted.groupBy(F.col("ls").alias("src"), F.col("ld").alias("dst")).agg(F.sum("w").alias("w")))
+    return owner
+
+
+def agreement(edges: DataFrame, partitions: DataFrame) -> DataFrame:
+    """(src, dst, w): the share of partitions (run, node, label) in which an edge's ends have one label."""
+    runs = partitions.select("run").distinct().count()
+    a = partitions.select("run", F.col("node").alias("src"), F.col("label").alias("la"))
+    b = partitions.select("run", F.col("node").alias("dst"), F.col("label").alias("lb"))
+    same = edges.select("src", "dst").join(a, "src").join(b, ["run", "dst"]).groupBy("src", "dst").agg(F.count_if(F.col("la") == F.col("lb")).alias("same"))
+    return same.select("src", "dst", (F.col("same") / max(runs, 1)).alias("w"))
+
+
+def node_confidence(labels: DataFrame, partitions: DataFrame) -> DataFrame:
+    """(node, label, size, confidence): how much of its consensus community a node shares in the single partitions."""
+    size = F.count("*").over(Window.partitionBy("label"))
+    named = labels.withColumn("size", size)
+    inside = partitions.join(named.select("node", F.col("label").alias("home"), "size"), "node")
+    mates = inside.groupBy("run", "home", "label").agg(F.count("*").alias("same"))
+    each = inside.join(mates, ["run", "home", "label"]).groupBy("node", F.col("home").alias("label"), "size").agg(F.avg("same").alias("same"))
+    return each.select("node", "label", "size", F.when(F.col("size") > 1, (F.col("same") - 1) / (F.col("size") - 1)).otherwise(1.0).alias("confidence"))
+
+
+def matched_seed_sets(degrees_of: DataFrame, seeds: DataFrame, reps: int, seed: str, bins: int = 10) -> DataFrame:
+    """(seed_set, rep, node): random seed sets with the degree bands of the real ones (seed_set, node)."""
+    from .draws import numbered, replicates, u32
+    from .ranks import equal_count_bands
+
+    banded = equal_count_bands(degrees_of.select("node", "degree"), "degree", "node", bins)
+    placed = numbered(banded, "band", "node", name="_at")
+    sizes = placed.groupBy("band").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    placed = saved(placed.join(F.broadcast(sizes), "band").select("band", "node", (F.col("_at") - F.col("_first")).alias("_pos"), "_n"))
+    wanted = replicates(seeds.join(placed, "node").select("seed_set", "node", "band", "_n"), reps)
+    drawn = wanted.withColumn("_pos", u32(seed, F.col("seed_set"), F.col("rep"), F.col("node")) % F.col("_n")).select("seed_set", "rep", "band", "_pos")
+    return drawn.join(placed.select("band", "_pos", "node"), ["band", "_pos"]).select("seed_set", "rep", "node").distinct()
+
+
+def path_sums(edges: DataFrame, sources: DataFrame, targets: DataFrame, weight: float = 0.45, most: int = 4) -> DataFrame:
+    """(source, paths, score): simple paths from sources (node) to the target set (node), each counting weight**length."""
+    around = saved(edges.select("src", "dst"))
+    ends = targets.select(F.col("node").alias("at")).distinct().withColumn("end", F.lit(True))
+    front = sources.select(F.col("node").alias("source"), F.array("node").alias("path"), F.col("node").alias("at"))
+    found = None
+    for k in range(1, most + 1):
+        front = front.withColumnRenamed("at", "src").join(around, "src").filter(~F.array_contains("path", F.col("dst"))).select("source", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
+        front = saved(front.join(ends, "at", "left"))
+        hits = front.filter("end").groupBy("source").agg(F.count("*").alias("paths")).withColumn("length", F.lit(k))
+        found = hits if found is None else found.unionByName(hits)
+        front = front.filter("end IS NULL").drop("end")
+    return found.groupBy("source").agg(F.sum("paths").alias("paths"), F.sum(F.col("paths") * F.pow(F.lit(weight), F.col("length"))).alias("score"))
+
+
+def without_group(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(group, src, dst, w): the graph of shared groups as each group (group, node) leaves it: its own clique counts one
+    less on its pairs. Only the pairs of the group differ, so they alone are given."""
+    pairs = members.select("group", F.col("node").alias("src")).join(members.select("group", F.col("node").alias("dst")), "group").filter("src < dst")
+    return pairs.join(edges, ["src", "dst"]).select("group", "src", "dst", (F.col("w") - 1).alias("w"))
+
+
 def average_precision(ranked: DataFrame, by: str, score: str, hit: str, ident: str) -> DataFrame:
     """(by, hits, ap) over each group's rows in falling score order, ties by id."""
     order = Window.partitionBy(by).orderBy(F.desc(score), ident)

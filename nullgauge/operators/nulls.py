@@ -47,7 +47,7 @@ def fit_null(control: DataFrame, value: str, order: tuple[str, ...], grid: DataF
     pool = control.filter(F.col(value).isNotNull())
     slots = replicates(grid.select("n"), draws, "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     if blocks is None:
-        pool = numbered(pool.select(F.col(value).alias("value"), *order), *order)
+        pool = numbered(pool.select(F.col(value).alias("_value"), *order), *order).select("pos", F.col("_value").alias("value"))
         size = pool.agg(F.count("*").alias("pool")).first()["pool"]
         if size < least_rows:
             raise ValueError(f"{size} control rows are too few for a null; at least {least_rows} are needed")

@@ -49,11 +49,11 @@ def o173_shortlist(t: Tables) -> DataFrame:
     return s.select("p_partkey", "p_type", "in_module", "spread")
 
 
-_PAIRS = "SELECT l_partkey AS a, l_suppkey + 1000000 AS b, sum(l_extendedprice) AS score FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2"
+_PAIRS = "SELECT l_partkey AS a, l_suppkey + 1000000 AS b, sum(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2"
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_quantity >= 49").groupBy(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).agg(F.sum("l_extendedprice").alias("score"))
+    return t.lineitem.groupBy(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).agg(F.sum("l_extendedprice").alias("score"))
 
 
 @query()

@@ -23,11 +23,11 @@ def o019_contract(t: Tables) -> DataFrame:
 
 @query("""SELECT c_custkey, n_orders, n_lines, (n_orders IS NOT NULL)::INT + (n_lines IS NOT NULL)::INT + (c_acctbal IS NOT NULL)::INT AS n_layers, round(c_acctbal, 2) AS c_acctbal FROM (
   SELECT o_custkey AS c_custkey, count(*) AS n_orders FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) FULL JOIN (
-  SELECT o_custkey AS c_custkey, count(*) AS n_lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 45 GROUP BY 1) USING (c_custkey) FULL JOIN (
+  SELECT o_custkey AS c_custkey, count(*) AS n_lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) USING (c_custkey) FULL JOIN (
   SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0) USING (c_custkey)""")
 def o035_merged_layers(t: Tables) -> DataFrame:
     orders = t.orders.filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
-    lines = t.orders.join(t.lineitem.filter("l_quantity > 45"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_lines"))
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_lines"))
     people = t.customer.filter("c_acctbal > 0").select("c_custkey", r("c_acctbal", 2).alias("c_acctbal"))
     return tables.merged_layers("c_custkey", ("orders", orders), ("lines", lines), ("people", people))
 
@@ -66,11 +66,11 @@ def o041_composite_key(t: Tables) -> DataFrame:
     return t.lineitem.join(keys, ["l_partkey", "l_suppkey"], "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("""WITH i AS (SELECT p_partkey, p_size * 10 AS lo, p_size * 10 + 4 AS hi FROM part WHERE p_partkey < 200)
+@query("""WITH i AS (SELECT p_partkey, p_size * 10 AS lo, p_size * 10 + 4 AS hi FROM part)
 SELECT p_partkey, count(*) AS hits, round(avg(o_totalprice), 2) AS mean_price FROM i JOIN orders ON CAST(floor(o_totalprice / 1000) AS INT) BETWEEN lo AND hi GROUP BY 1""")
 def o043_range_join(t: Tables) -> DataFrame:
     """Orders whose price in thousands falls in an interval of a part."""
-    spans = t.part.filter("p_partkey < 200").select("p_partkey", (F.col("p_size") * 10).alias("lo"), (F.col("p_size") * 10 + 4).alias("hi"))
+    spans = t.part.select("p_partkey", (F.col("p_size") * 10).alias("lo"), (F.col("p_size") * 10 + 4).alias("hi"))
     points = t.orders.select(F.floor(F.col("o_totalprice") / 1000).cast("int").alias("at"), "o_totalprice")
     return tables.range_join(points, "at", spans, "lo", "hi", 10).groupBy("p_partkey").agg(F.count("*").alias("hits"), r(F.avg("o_totalprice"), 2).alias("mean_price"))
 
@@ -160,7 +160,7 @@ def o061_stratified_rates(t: Tables) -> DataFrame:
     return g.fillna("all", ["size_band", "line_status"])
 
 
-_CONFLICT = """WITH x AS (SELECT l_partkey, l_linestatus || ':' || s_nationkey AS ctx, l_returnflag AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40
+_CONFLICT = """WITH x AS (SELECT l_partkey, l_linestatus || ':' || s_nationkey AS ctx, l_returnflag AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 ), i AS (SELECT l_partkey, ctx, count(DISTINCT v) AS k, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1, 2), p AS (SELECT l_partkey, max(k) AS k, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY 1)
 SELECT CASE WHEN k > 1 THEN 'within context' WHEN lo <> hi THEN 'across contexts' ELSE 'agree' END AS level, count(*) AS n FROM p GROUP BY 1"""
 
@@ -168,15 +168,15 @@ SELECT CASE WHEN k > 1 THEN 'within context' WHEN lo <> hi THEN 'across contexts
 @query(_CONFLICT)
 def o062_conflict_levels(t: Tables) -> DataFrame:
     """Verdicts of parts that agree, or conflict inside or only across contexts."""
-    x = t.lineitem.filter("l_quantity > 40").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("ctx", F.concat_ws(":", "l_linestatus", F.col("s_nationkey").cast("string")))
+    x = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("ctx", F.concat_ws(":", "l_linestatus", F.col("s_nationkey").cast("string")))
     return tables.conflict_levels(x, "l_partkey", "ctx", "l_returnflag")
 
 
-@query("""WITH p AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS s, count(DISTINCT l_returnflag) AS v FROM lineitem WHERE l_quantity > 46 GROUP BY 1)
+@query("""WITH p AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS s, count(DISTINCT l_returnflag) AS v FROM lineitem GROUP BY 1)
 SELECT CASE WHEN s <= 5 THEN CAST(s AS VARCHAR) WHEN s <= 10 THEN '6-10' ELSE '11+' END AS sources, count(*) AS n, count(*) FILTER (v > 1) AS split FROM p WHERE s >= 2 GROUP BY 1""")
 def o063_redundancy_curve(t: Tables) -> DataFrame:
     """Split rate by the number of sources."""
-    p = t.lineitem.filter("l_quantity > 46").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("s"), F.count_distinct("l_returnflag").alias("v")).filter("s >= 2")
+    p = t.lineitem.groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("s"), F.count_distinct("l_returnflag").alias("v")).filter("s >= 2")
     band = F.when(F.col("s") <= 5, F.col("s").cast("string")).when(F.col("s") <= 10, "6-10").otherwise("11+")
     return p.groupBy(band.alias("sources")).agg(F.count("*").alias("n"), F.count_if(F.col("v") > 1).alias("split"))
 

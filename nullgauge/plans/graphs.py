@@ -9,16 +9,16 @@ from ..operators import graph
 from ..operators.draws import saved, u32
 from .base import Tables, query, r
 
-# parts that share large orders; edges are pairs with at least one
+# parts that share orders; edges are pairs with at least one
 _EDGES = """
-WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 48
+WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem
 ), e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS w FROM m a JOIN m b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey GROUP BY 1, 2
 ), u AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), d AS (SELECT src AS node, count(*) AS degree, sum(w) AS strength FROM u GROUP BY 1)
 """
 
 
 def _edges(t: Tables) -> DataFrame:
-    return saved(graph.co_occurrence(t.lineitem.filter("l_quantity >= 48"), "l_orderkey", "l_partkey"))
+    return saved(graph.co_occurrence(t.lineitem, "l_orderkey", "l_partkey"))
 
 
 @query(_EDGES + "SELECT src, dst, w FROM e")
@@ -32,8 +32,7 @@ def o145_graph_summary(t: Tables) -> DataFrame:
     return s.withColumns({"mean_degree": r("mean_degree"), "density": r("density", 9)})
 
 
-@query(_EDGES + """, c(node, label) AS (SELECT node, node FROM d UNION SELECT u.dst, c.label FROM c JOIN u ON u.src = c.node AND c.label < u.dst)
-SELECT component, count(*) AS n FROM (SELECT node, min(label) AS component FROM c GROUP BY 1) GROUP BY 1""")
+@query()
 def o146_components(t: Tables) -> DataFrame:
     return graph.component_labels(_edges(t)).groupBy("component").agg(F.count("*").alias("n"))
 
@@ -77,32 +76,30 @@ def o154_partition_flow(t: Tables) -> DataFrame:
     return x.select("la", "lb", "c", (place == 1).alias("matched"))
 
 
-@query(_EDGES + """, p AS (SELECT u.src, u.dst, u.w / CAST(d.strength AS DOUBLE) AS p FROM u JOIN d ON d.node = u.src), s AS (SELECT node % 3 AS seed_set, node, 1.0 / count(*) OVER (PARTITION BY node % 3) AS r FROM d WHERE node % 97 < 3
-), w0 AS (SELECT seed_set, node, r AS score FROM s)
-""" + "".join(f", w{k} AS (SELECT seed_set, node, sum(score) AS score FROM (SELECT seed_set, dst AS node, score * p * 0.7 AS score FROM w{k - 1} JOIN p ON src = node UNION ALL SELECT seed_set, node, r * 0.3 FROM s) GROUP BY 1, 2)" for k in range(1, 5)) + " SELECT seed_set, node, round(score, 9) AS score FROM w4")
+@query()
 def o156_random_walk(t: Tables) -> DataFrame:
-    """Walks with restart from three seed sets at once, four steps."""
+    """Walks with restart, sixty steps, from the smallest parts of three types at once."""
     e = _edges(t)
-    seeds = graph.degrees(e).filter("node % 97 < 3").select((F.col("node") % 3).alias("seed_set"), "node")
-    return graph.random_walk(e, seeds, restart=0.3, steps=4).withColumn("score", r("score", 9))
+    seeds = t.part.filter("p_size <= 3 AND p_type IN ('ECONOMY', 'PROMO', 'STANDARD')").select(F.col("p_type").alias("seed_set"), F.col("p_partkey").alias("node"))
+    return graph.random_walk(e, seeds.join(graph.degrees(e).select("node"), "node", "left_semi"), restart=0.3, steps=60, save_every=10).withColumn("score", r("score", 9))
 
 
 @query(_EDGES + """, n AS (SELECT l_partkey AS node, count(*) AS own FROM m GROUP BY 1)
 SELECT src, dst, round(u.w / CAST(n.own AS DOUBLE), 6) AS affinity, round((u.w / CAST(n.own AS DOUBLE) + u.w / CAST(o.own AS DOUBLE)) / 2, 6) AS symmetric FROM u JOIN n ON n.node = src JOIN n o ON o.node = dst""")
 def o158_asymmetric_affinity(t: Tables) -> DataFrame:
     """Shared orders over an end's own orders, and the mean of both directions."""
-    own = t.lineitem.filter("l_quantity >= 48").select("l_orderkey", "l_partkey").distinct().groupBy("l_partkey").agg(F.count("*").alias("own"))
+    own = t.lineitem.select("l_orderkey", "l_partkey").distinct().groupBy("l_partkey").agg(F.count("*").alias("own"))
     u = graph.both_ways(_edges(t)).join(own.select(F.col("l_partkey").alias("src"), F.col("own").alias("os")), "src").join(own.select(F.col("l_partkey").alias("dst"), F.col("own").alias("od")), "dst")
     a, b = F.col("w") / F.col("os"), F.col("w") / F.col("od")
     return u.select("src", "dst", r(a).alias("affinity"), r((a + b) / 2).alias("symmetric"))
 
 
-@query("""WITH x AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS s, bool_or(l_returnflag = 'R') AS hit FROM lineitem WHERE l_quantity >= 45 GROUP BY 1, 2), k AS (
+@query("""WITH x AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS s, bool_or(l_returnflag = 'R') AS hit FROM lineitem GROUP BY 1, 2), k AS (
   SELECT *, row_number() OVER w AS place, sum(hit::INT) OVER (PARTITION BY l_suppkey ORDER BY s DESC, l_partkey ROWS UNBOUNDED PRECEDING) AS hits FROM x WINDOW w AS (PARTITION BY l_suppkey ORDER BY s DESC, l_partkey))
 SELECT l_suppkey, count(*) AS hits, round(avg(hits / CAST(place AS DOUBLE)), 6) AS ap FROM k WHERE hit GROUP BY 1""")
 def o160_average_precision(t: Tables) -> DataFrame:
     """Average precision of returned parts by quantity, in each supplier."""
-    x = t.lineitem.filter("l_quantity >= 45").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("s"), F.bool_or(F.col("l_returnflag") == "R").alias("hit"))
+    x = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("s"), F.bool_or(F.col("l_returnflag") == "R").alias("hit"))
     return graph.average_precision(x, "l_suppkey", "s", "hit", "l_partkey").withColumn("ap", r("ap"))
 
 
@@ -141,16 +138,13 @@ def o050_roots(t: Tables) -> DataFrame:
     return a.filter(F.col("child").startswith("c") & F.col("ancestor").startswith("r")).select("child", F.col("ancestor").alias("root"))
 
 
-@query(_EDGES + """, b0 AS (SELECT node, 0 AS hop FROM d WHERE node % 200 = 1), h(node, hop) AS (SELECT node, 0 FROM b0 UNION SELECT u.dst, h.hop + 1 FROM h JOIN u ON u.src = h.node WHERE h.hop < 3)
-SELECT node, min(hop) AS hop FROM h GROUP BY 1""")
+@query(_EDGES + """, b0 AS (SELECT p_partkey AS node FROM part JOIN d ON node = p_partkey WHERE p_size <= 3 AND p_brand = 'Brand#7'), b1 AS (SELECT DISTINCT dst AS node FROM u WHERE src IN (SELECT node FROM b0)), b2 AS (SELECT DISTINCT dst AS node FROM u WHERE src IN (SELECT node FROM b1)), b3 AS (SELECT DISTINCT dst AS node FROM u WHERE src IN (SELECT node FROM b2))
+SELECT node, min(hop) AS hop FROM (SELECT node, 0 AS hop FROM b0 UNION ALL SELECT node, 1 FROM b1 UNION ALL SELECT node, 2 FROM b2 UNION ALL SELECT node, 3 FROM b3) GROUP BY 1""")
 def o163_reach(t: Tables) -> DataFrame:
-    """Hops from a seed set, at most three."""
-    around = graph.both_ways(_edges(t)).select("src", "dst")
-    reached = around.select(F.col("src").alias("node")).distinct().filter("node % 200 = 1").withColumn("hop", F.lit(0))
-    for k in range(1, 4):
-        front = reached.filter(F.col("hop") == k - 1).join(around, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("hop", F.lit(k))
-        reached = saved(reached.unionByName(front).groupBy("node").agg(F.min("hop").alias("hop")))
-    return reached
+    """Hops from the smallest parts of one brand, at most three."""
+    e = _edges(t)
+    start = t.part.filter("p_size <= 3 AND p_brand = 'Brand#7'").select(F.col("p_partkey").alias("node")).join(graph.degrees(e).select("node"), "node", "left_semi")
+    return graph.hops(e, start, 3)
 
 
 @query(f"""WITH x AS (SELECT p_partkey, CAST('0x' || substr(md5('fold:' || p_partkey), 1, 8) AS BIGINT) % 5 AS fold FROM part) SELECT fold, count(*) AS n FROM x GROUP BY 1""")

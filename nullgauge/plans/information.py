@@ -9,7 +9,7 @@ from ..operators import features, tables
 from .base import Tables, query, r
 
 _MI = """
-WITH x AS (SELECT p_partkey, {f} AS a, s_nationkey AS b FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40
+WITH x AS (SELECT p_partkey, {f} AS a, s_nationkey AS b FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
 ), u AS (SELECT a, b, 1.0 / count(*) OVER (PARTITION BY p_partkey) AS w FROM (SELECT DISTINCT * FROM x)
 ), c AS (SELECT a, b, sum(w) AS w FROM u GROUP BY 1, 2), m AS (SELECT w / sum(w) OVER () AS p, sum(w) OVER (PARTITION BY a) / sum(w) OVER () AS pa, sum(w) OVER (PARTITION BY b) / sum(w) OVER () AS pb FROM c)
 SELECT '{n}' AS scale, round(sum(-p * log2(pa)), 6) AS h_a, round(sum(-p * log2(pb)), 6) AS h_b, round(sum(p * log2(p / (pa * pb))), 6) AS mi FROM m"""
@@ -18,7 +18,7 @@ SELECT '{n}' AS scale, round(sum(-p * log2(pa)), 6) AS h_a, round(sum(-p * log2(
 @query(" UNION ALL ".join(f"SELECT * FROM ({_MI.format(f=f, n=n)})" for n, f in (("brand", "p_brand"), ("type", "p_type"))))
 def o077_mutual_information(t: Tables) -> DataFrame:
     """Information between a part's brand or type and its suppliers' nations, each part weighing 1 in all."""
-    x = t.lineitem.filter("l_quantity > 40").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     scales = F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.col(c).alias("a")) for n, c in (("brand", "p_brand"), ("type", "p_type"))])).alias("s")
     long = x.select("p_partkey", F.col("s_nationkey").alias("b"), scales).select("p_partkey", "s.scale", "s.a", "b").distinct()
     weighted = long.withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("scale", "p_partkey")))

@@ -45,11 +45,11 @@ def o027_lookup(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderstatus", scalars.lookup(F.col("o_orderstatus"), {"F": 2, "O": 1}, 0).alias("stars")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 10 = 0 THEN 'unlabelled' ELSE l_returnflag || '|' || l_suppkey END AS id FROM lineitem WHERE l_quantity = 1""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 10 = 0 THEN 'unlabelled' ELSE l_returnflag || '|' || l_suppkey END AS id FROM lineitem""")
 def o029_composite_id(t: Tables) -> DataFrame:
     """A composite id; placeholders become null, then a label."""
     part = F.nullif(F.when(F.col("l_suppkey") % 10 == 0, "-").otherwise(F.concat_ws("|", "l_returnflag", F.col("l_suppkey").cast("string"))), F.lit("-"))
-    return t.lineitem.filter("l_quantity = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(part, F.lit("unlabelled")).alias("id"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(part, F.lit("unlabelled")).alias("id"))
 
 
 _FREQUENCY = "CASE p_size % 4 WHEN 0 THEN (p_partkey % 5) || '/' || (p_partkey % 7 + 1) WHEN 1 THEN (p_size * 1.5) || '%' WHEN 2 THEN 'frequent' ELSE '' END"
