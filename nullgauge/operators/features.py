@@ -41,3 +41,13 @@ def exact_neighbours(rows: DataFrame, queries: DataFrame, k: int, block: int = 2
     found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(near, "query_id long, vec_id long, d double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")
+
+
+def binned_matrix(long: DataFrame, row: str, column: str, value: str, width: int, most: float) -> DataFrame:
+    """(row, bin, shade): columns in order of their medians, `width` of them a bin, and medians clipped to +-most."""
+    from .draws import numbered
+
+    medians = long.groupBy(column).agg(F.percentile(F.col(value).cast("double"), 0.5).alias("_m"))
+    placed = numbered(medians, "_m", column, name="_pos").select(column, F.floor(F.col("_pos") / width).cast("int").alias("bin"))
+    x = long.join(F.broadcast(placed), column).groupBy(row, "bin").agg(F.percentile(F.col(value).cast("double"), 0.5).alias("m"))
+    return x.select(row, "bin", F.least(F.greatest("m", F.lit(-most)), F.lit(most)).alias("shade"))
