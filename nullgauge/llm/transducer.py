@@ -3,13 +3,19 @@
 A text passes two machines. The splitter is a deterministic transducer over character symbols; its transitions are
 annotated with the piece starts they emit, at most one symbol late. A slice of text is cut into chunks; each chunk is
 run from every state at once, which gives its state map; the maps compose through a parallel prefix scan; then each
-chunk runs once more from its now known state and emits. The piece machine maps a piece to its tokens: bytes are the
-first symbols, and merges apply to all distinct pieces of the slice together, lowest rank first. A piece's final
-transition carries its emitted-token count (and ids), so a text's count is the sum over its pieces.
+chunk runs once more from its now known state and emits.
+
+The token machine reads a piece byte by byte; each transition is annotated with the change in the number of tokens,
+and the last state names the last token. It rests on two facts about merges by rank: of every prefix of a piece the
+encoding has one last token, and a row of tokens is the encoding if each two neighbours stay apart when merged alone.
+A state is the longest suffix read that some token may still continue, with the last token and the relative count at
+each of its places; from it the next last token follows, so equal states have equal futures. States and transitions
+are compiled when a text first needs them and kept by the worker; a count is the sum of a piece's annotations, taken
+for all distinct pieces of a slice together, byte by byte, and for a few long pieces one after the other.
 
 Character symbols are probed from the library's own splitter, so they follow its Unicode tables. Texts that hold a
 special token's string, that aren't in normal form where the tokenizer normalises, or whose lower case changes length
-go through the library whole, and so do single pieces over MOST_BYTES; results are the library's in every case.
+go through the library whole; results are the library's in every case.
 """
 
 from __future__ import annotations
@@ -27,7 +33,9 @@ SYMBOLS = 12
 (START, IN_LETTERS, IN_NUMBERS, IN_OTHER, SPACE_1, BLANK_1, SPACE_N, BLANK_N, AFTER_QUOTE, QUOTE_E, QUOTE_L) = range(11)
 STATES = 11
 HERE, BEFORE = 1, 2
-CHUNK, MOST_BYTES = 64, 48
+CHUNK = 64
+#: Pieces from which a step is one of arrays; new transitions that are kept apart from the sorted ones.
+LANES, FRESH = 24, 30_000
 
 
 def _begin(symbol: int) -> int:
@@ -69,6 +77,155 @@ def _step(state: int, symbol: int, keeps_space: bool) -> tuple[int, int]:
     return _begin(symbol), HERE
 
 
+class TokenMachine:
+    """The transducer from the symbols of a piece (bytes, or 256 + byte for the last one of a marked piece) to token counts."""
+
+    def __init__(self, tokens: dict[str, int], splits: dict[int, tuple[int, int]], ranks: dict[int, int]):
+        self.tokens, self.splits, self.ranks = tokens, splits, ranks
+        self.pairs = {pair: ranks[made] for made, pair in splits.items()}
+        self.open = {text[:k] for text in tokens for k in range(1, len(text))}
+        self.length = np.zeros(max(tokens.values()) + 1, np.int64)
+        for text, name in tokens.items():
+            self.length[name] = len(text)
+        self.apart: dict[tuple[int, int], bool] = {}
+        first = ("", ((-1, 0),), True)
+        self.states, self.names = [first], {first: 0}
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.last = np.full(1024, -1, np.int64)
+        self.keys, self.to, self.change = (np.zeros(0, t) for t in (np.int64, np.int32, np.int32))
+        self.fresh_keys, self.fresh_to, self.fresh_change = self.keys, self.to, self.change
+        self.missing: list[tuple[int, int, int]] = []
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether two neighbouring tokens are the encoding of their joined text.
+
+        Their merges are undone, latest first; a merge across the border that would have come before the next merge on
+        either side (on the left one, being further left, also at the same rank) would have been taken.
+        """
+        found = self.apart.get((a, b))
+        if found is None:
+            left, right, far = a, b, 1 << 40
+            until_left = until_right = far
+            found = True
+            while True:
+                across = self.pairs.get((left, right), far)
+                if across < until_left and across <= until_right:
+                    found = False
+                    break
+                rank_left, rank_right = self.ranks.get(left, -1), self.ranks.get(right, -1)
+                if rank_left < 0 and rank_right < 0:
+                    break
+                if rank_left > rank_right:
+                    left, until_left = self.splits[left][1], rank_left
+                else:
+                    right, until_right = self.splits[right][0], rank_right
+            self.apart[a, b] = found
+        return found
+
+    def _compile(self, state: int, symbol: int) -> tuple[int, int]:
+        """The transition of a state at a symbol: the next state and the change in the number of tokens."""
+        suffix, places, whole = self.states[state]
+        text, depth = suffix + chr(symbol), len(suffix)
+        for n in range(1, depth + 2):
+            token = self.tokens.get(text[-n:])
+            if token is None:
+                continue
+            before, count = places[depth + 1 - n]
+            if before < 0 or self.stay_apart(before, token):
+                break
+        else:
+            raise AssertionError("a prefix without a last token")
+        change = count + 1
+        keep = next((n for n in range(depth + 1, 0, -1) if text[-n:] in self.open), 0)
+        rows = (*places, (token, change))[-(keep + 1) :]
+        new = (text[len(text) - keep :], tuple((t, c - change) for t, c in rows), whole and keep == depth + 1)
+        if not new[2] and rows[0][0] < 0:
+            raise AssertionError("a place without a token inside a piece")
+        name = self.names.get(new)
+        if name is None:
+            name = self.names[new] = len(self.states)
+            self.states.append(new)
+            if name >= len(self.last):
+                self.last = np.concatenate((self.last, np.full(len(self.last), -1, np.int64)))
+            self.last[name] = token
+        move = self.moves[state << 9 | symbol] = name, change
+        self.missing.append((state << 9 | symbol, name, change))
+        return move
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and changes of many (state, symbol) keys."""
+        to, change = np.full(len(keys), -1, np.int32), np.zeros(len(keys), np.int32)
+        for known, states, changes in ((self.keys, self.to, self.change), (self.fresh_keys, self.fresh_to, self.fresh_change)):
+            todo = np.flatnonzero(to < 0)
+            if len(known) and len(todo):
+                at = np.minimum(np.searchsorted(known, keys[todo]), len(known) - 1)
+                hit = known[at] == keys[todo]
+                to[todo[hit]], change[todo[hit]] = states[at[hit]], changes[at[hit]]
+        todo = np.flatnonzero(to < 0)
+        if len(todo):
+            new, back = np.unique(keys[todo], return_inverse=True)
+            moves = [self.moves.get(k) or self._compile(k >> 9, k & 511) for k in new.tolist()]
+            to[todo] = np.array([m[0] for m in moves], np.int32)[back]
+            change[todo] = np.array([m[1] for m in moves], np.int32)[back]
+            rows, self.missing = self.missing, []
+            if rows:
+                keys_, to_, change_ = (np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int32), strict=True))
+                fresh = np.concatenate((self.fresh_keys, keys_)), np.concatenate((self.fresh_to, to_)), np.concatenate((self.fresh_change, change_))
+                if len(fresh[0]) > FRESH:
+                    every = np.concatenate((self.keys, fresh[0])), np.concatenate((self.to, fresh[1])), np.concatenate((self.change, fresh[2]))
+                    order = np.argsort(every[0], kind="stable")
+                    self.keys, self.to, self.change = (x[order] for x in every)
+                    fresh = tuple(x[:0] for x in fresh)
+                order = np.argsort(fresh[0], kind="stable")
+                self.fresh_keys, self.fresh_to, self.fresh_change = (x[order] for x in fresh)
+        return to, change
+
+    def run(self, symbols: np.ndarray, edges: np.ndarray, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """The tokens of each piece symbols[edges[k]:edges[k + 1]], and, if wanted, all ids in order."""
+        size = np.diff(edges)
+        order = np.argsort(-size, kind="stable")
+        start, length = edges[:-1][order], size[order]
+        state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        ending = np.full(len(symbols), -1, np.int64) if want_ids else None
+        most = int(length[0]) if len(length) else 0
+        # lanes that are still inside their piece come first
+        lanes = np.searchsorted(-length, -np.arange(most), "left")
+        k = 0
+        while k < most and lanes[k] >= LANES:
+            n = lanes[k]
+            to, change = self._find(state[:n] << 9 | symbols[start[:n] + k])
+            state[:n] = to
+            count[:n] += change
+            if want_ids:
+                ending[start[:n] + k] = self.last[to]
+            k += 1
+        if k < most:
+            moves = self.moves
+            for lane in range(lanes[k]):
+                now, total, ends = int(state[lane]), int(count[lane]), []
+                for symbol in symbols[start[lane] + k : start[lane] + length[lane]].tolist():
+                    move = moves.get(now << 9 | symbol) or self._compile(now, symbol)
+                    now, total = move[0], total + move[1]
+                    ends.append(now)
+                count[lane] = total
+                if want_ids:
+                    ending[start[lane] + k : start[lane] + length[lane]] = self.last[np.array(ends, np.int64)]
+        counts = np.empty(len(order), np.int64)
+        counts[order] = count
+        if not want_ids:
+            return counts, None
+        # a piece's tokens, from its end to its start, by the lengths of last tokens
+        to_fill = np.cumsum(counts) - 1
+        ids, at, live = np.empty(counts.sum(), np.int64), edges[1:] - 1, np.arange(len(counts))
+        while len(live):
+            token = ending[at[live]]
+            ids[to_fill[live]] = token
+            to_fill[live] -= 1
+            at[live] -= self.length[token]
+            live = live[at[live] >= edges[live]]
+        return counts, ids
+
+
 class Transducer:
     """A compiled tokenizer file of the library's JSON form, byte-level pieces, with or without an end-of-word mark."""
 
@@ -87,13 +244,23 @@ class Transducer:
         vocabulary = spec["model"]["vocab"]
         plain = [b for b in (*range(33, 127), *range(161, 173), *range(174, 256))]
         shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
-        self.first = np.array([vocabulary[shown[b]] for b in range(256)], np.int64)
-        self.final = np.array([vocabulary[shown[b] + suffix] for b in range(256)], np.int64)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in merges], np.int64)
-        made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        # a symbol is a byte, or 256 + byte where it ends a piece that is marked
+        self.marked = bool(suffix)
+        symbol_of = {c: chr(b) for b, c in shown.items()}
+
+        def text(token: str) -> str:
+            if suffix and token.endswith(suffix):
+                plain_part = token[: -len(suffix)]
+                return "".join(symbol_of[c] for c in plain_part[:-1]) + chr(256 + ord(symbol_of[plain_part[-1]]))
+            return "".join(symbol_of[c] for c in token)
+
+        bases = [*shown.values(), *((c + suffix for c in shown.values()) if suffix else ())]
+        splits = {vocabulary[a + b]: (vocabulary[a], vocabulary[b]) for a, b in merges}
+        if len(splits) < len(merges):
+            raise ValueError("two merges make the same token")
+        ranks = {vocabulary[a + b]: k for k, (a, b) in enumerate(merges)}
+        self.tokens = TokenMachine({text(t): vocabulary[t] for t in (*bases, *(a + b for a, b in merges))}, splits, ranks)
         self.symbol = np.full(0x110000, -1, np.int8)
         self.lower = np.arange(0x110000, dtype=np.uint32)
         self.odd = np.zeros(0x110000, bool)
@@ -150,81 +317,14 @@ class Transducer:
             at = self.after[move]
         return out.T.ravel()[:n]
 
-    def _merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of distinct pieces (flat) and the number of each piece's ids."""
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Token counts, and ids (flat), of pieces."""
         lengths = ends - starts
-        n = len(starts)
         edges = np.concatenate(([0], np.cumsum(lengths)))
-        inside = np.arange(edges[-1]) - np.repeat(edges[:-1], lengths) + np.repeat(starts, lengths)
-        tokens = self.first[data[inside]]
-        tokens[edges[1:] - 1] = self.final[data[ends - 1]]
-        piece = np.repeat(np.arange(n), lengths)
-        far = np.int64(1 << 40)
-        done_piece, done_tokens = [], []
-
-        def ranked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            key = left << 20 | right
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            return np.where(self.keys[place] == key, self.rank[place] << 20 | place, far)
-
-        pair = np.full(len(tokens), far)
-        same = np.flatnonzero(piece[:-1] == piece[1:])
-        pair[same] = ranked(tokens[same], tokens[same + 1])
-        while len(tokens):
-            heads = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
-            best = np.minimum.reduceat(pair, heads)
-            size = np.diff(np.append(heads, len(tokens)))
-            live = best < far
-            if not live.all():
-                stay = np.repeat(live, size)
-                done_piece.append(piece[~stay])
-                done_tokens.append(tokens[~stay])
-                tokens, piece, pair = tokens[stay], piece[stay], pair[stay]
-                best, size = best[live], size[live]
-                if not len(tokens):
-                    break
-            hit = np.flatnonzero(pair == np.repeat(best, size))
-            # of overlapping equal pairs, the first, third ... of each run apply
-            run = np.concatenate(([True], hit[1:] != hit[:-1] + 1))
-            begin = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-            hit = hit[(np.arange(len(hit)) - begin) % 2 == 0]
-            tokens[hit] = self.made[pair[hit] & ((1 << 20) - 1)]
-            keep = np.ones(len(tokens), bool)
-            keep[hit + 1] = False
-            moved = (np.cumsum(keep) - 1)[hit]
-            tokens, piece, pair = tokens[keep], piece[keep], pair[keep]
-            pair[moved] = far
-            near = np.zeros(len(tokens), bool)
-            near[moved] = True
-            near[moved[moved > 0] - 1] = True
-            near[-1] = False
-            fresh = np.flatnonzero(near)
-            fresh = fresh[piece[fresh] == piece[fresh + 1]]
-            pair[fresh] = ranked(tokens[fresh], tokens[fresh + 1])
-        piece = np.concatenate(done_piece) if done_piece else np.zeros(0, np.int64)
-        tokens = np.concatenate(done_tokens) if done_tokens else np.zeros(0, np.int64)
-        order = np.argsort(piece, kind="stable")
-        return tokens[order], np.bincount(piece, minlength=n)
-
-    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids (flat) and counts of pieces; long ones by the library."""
-        long = np.flatnonzero(ends - starts > MOST_BYTES)
-        if not len(long):
-            return self._merge(data, starts, ends)
-        short = np.flatnonzero(ends - starts <= MOST_BYTES)
-        ids, counts = self._merge(data, starts[short], ends[short])
-        texts = [data[starts[k] : ends[k]].tobytes().decode() for k in long]
-        others = [self.library.encode(x, add_special_tokens=False).ids for x in texts]
-        n = np.zeros(len(starts), np.int64)
-        n[short], n[long] = counts, [len(x) for x in others]
-        flat = np.empty(n.sum(), np.int64)
-        edges = np.concatenate(([0], np.cumsum(n)))
-        is_short = np.zeros(len(starts), bool)
-        is_short[short] = True
-        flat[np.repeat(is_short, n)] = ids
-        for k, x in zip(long, others, strict=True):
-            flat[edges[k] : edges[k + 1]] = x
-        return flat, n
+        symbols = data[np.arange(edges[-1]) - np.repeat(edges[:-1], lengths) + np.repeat(starts, lengths)].astype(np.int64)
+        if self.marked:
+            symbols[edges[1:] - 1] += 256
+        return self.tokens.run(symbols, edges, want_ids)
 
     def _hard(self, text: str) -> bool:
         return any(x in text for x in self.special) or self.folds and not unicodedata.is_normalized("NFC", text)
@@ -270,7 +370,7 @@ class Transducer:
             begin, stop, of = begin[kept], stop[kept], of[kept]
         starts, ends = byte[begin], byte[stop]
         _, one, back = np.unique(segment_hashes(data, starts, ends, BYTE_VALUE), return_index=True, return_inverse=True)
-        flat, n = self._pieces(data, starts[one], ends[one]) if len(one) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n, flat = self._pieces(data, starts[one], ends[one], want_ids)
         each = n[back]
         counts = np.bincount(of, each, docs).astype(np.int64)
         others = {}
