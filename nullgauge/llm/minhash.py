@@ -38,7 +38,7 @@ KEEP_ESTIMATE = 0.56
 #: Partners drawn for a bucket, and members up to which the members of a bucket are paired with each other.
 CENTRES, SMALL = 4, 64
 #: Cells of each property of a family's members, and families whose sizes may be broadcast (16 bytes each).
-CELLS, FAMILIES = 32, 1_000_000
+CELLS, FAMILIES = 128, 1_000_000
 _draw = np.random.default_rng(5)
 _MULTIPLY = _draw.integers(1, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _draw.integers(0, 2**32, HASHES, np.uint32)
@@ -195,26 +195,32 @@ def _family_pairs(members: DataFrame, documents: DataFrame, percent: int) -> Dat
 
     * x and y link for certain if q(|C| - m - m') >= percent(s + s'), that is g + g' <= q|C| with g = qm + percent*s. The
       member of least g then links with both, and one pair for each of them says as much as all pairs.
-    * A link needs q(|C| - max(m, m') + min(h, h')) >= percent(s + s'). Members for which no occupied cell of (m, s, h)
+    * A link needs q(|C| - max(m, m') + min(h, h')) >= percent(s + s'). Members for which no occupied cell of (m, s)
       in their family allows this have no link at all.
     * Any other link needs o >= (g + g' - q|C|) / q, so the two share one of the first m + e - o + 1 shingles that set
-      either off, in a common order (rare ones first).
+      either off, in a common order (rare ones first), and after the first one that they share are o - 1 more in both.
     """
     q = 100 + percent
     ids = gathered(members.select("doc_id").distinct())
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "doc_id long, shingles array<long>").select("doc_id", F.xxhash64("shingles").alias("variant"), F.size("shingles").alias("s"), "shingles").dropDuplicates(["doc_id", "variant"])
-    held = saved(members.join(sets, "doc_id").select("family", "doc_id", "component", "variant", "s", F.explode("shingles").alias("shingle")))
     who = ["family", "doc_id", "variant"]
-    counts = held.groupBy("family", "shingle").agg(F.count("*").alias("holders"))
-    sizes = held.select("family", "doc_id", "variant").distinct().groupBy("family").agg(F.count("*").alias("members"))
+    held = saved(members.join(sets, "doc_id").select(*who, "component", "s", "shingles"))
+    counts = held.select("family", F.explode("shingles").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("holders"))
+    sizes = held.groupBy("family").agg(F.count("*").alias("members"))
     counts = saved(counts.join(F.broadcast(sizes) if sizes.count() <= FAMILIES else sizes, "family").withColumn("core", 2 * F.col("holders") > F.col("members")))
-    core = counts.groupBy("family").agg(F.count_if("core").alias("core_size"))
-    marked = saved(held.join(counts, ["family", "shingle"]))
-    profiles = marked.groupBy(*who, "component", "s").agg(F.count_if("core").alias("has"), F.count_if(~F.col("core") & (F.col("holders") > 1)).alias("h"), F.count_if(F.col("holders") == 1).alias("own"))
-    profiles = saved(profiles.join(core, "family").withColumn("m", F.col("core_size") - F.col("has")).withColumn("g", q * F.col("m") + percent * F.col("s")))
+    # the core is about as long as a member, so one row for each family; only what sets a member off is laid out
+    cores = gathered(counts.filter("core").groupBy("family").agg(F.collect_list("shingle").alias("core_shingles")))
+    cores = small_or_shuffled(cores, cores.agg(F.sum(F.size("core_shingles"))).first()[0] or 0)
+    none = F.expr("CAST(array() AS array<bigint>)")
+    split = held.join(cores, "family", "left").withColumn("core_shingles", F.coalesce("core_shingles", none))
+    split = saved(split.select(*who, "component", "s", F.size("core_shingles").alias("core_size"), F.array_except("shingles", "core_shingles").alias("others"), F.array_except("core_shingles", "shingles").alias("lacks")))
+    others = split.select(*who, F.explode("others").alias("shingle")).join(counts.filter("NOT core AND holders > 1").select("family", "shingle", F.col("holders").alias("often")), ["family", "shingle"])
+    others = saved(others.select(*who, "shingle", F.lit(0).alias("kind"), "often"))
+    profiles = split.select(*who, "component", "s", "core_size", F.size("lacks").alias("m")).join(others.groupBy(*who).agg(F.count("*").alias("h")), who, "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    profiles = saved(profiles.withColumn("g", q * F.col("m") + percent * F.col("s")))
     unit = F.greatest(F.floor(F.col("core_size") / CELLS), F.lit(1))
-    cells = profiles.groupBy("family", F.floor(F.col("m") / unit).alias("m_cell"), F.floor(F.col("s") / unit).alias("s_cell"), F.floor(F.col("h") / unit).alias("h_cell")).agg(F.min("m").alias("m_least"), F.min("s").alias("s_least"), F.max("h").alias("h_most"))
+    cells = profiles.groupBy("family", F.floor(F.col("m") / unit).alias("m_cell"), F.floor(F.col("s") / unit).alias("s_cell")).agg(F.min("m").alias("m_least"), F.min("s").alias("s_least"), F.max("h").alias("h_most"))
     cells = gathered(cells.select(F.col("family").alias("f"), "m_least", "s_least", "h_most"))
     near = q * (F.col("core_size") - F.greatest("m", "m_least") + F.least("h", "h_most")) >= percent * (F.col("s") + F.col("s_least"))
     able = saved(profiles.join(small_or_shuffled(cells, cells.count()), (F.col("family") == F.col("f")) & near, "left_semi"))
@@ -226,16 +232,16 @@ def _family_pairs(members: DataFrame, documents: DataFrame, percent: int) -> Dat
     # what is left: one of the two at least is alone, so the other's partners start at the least g of those
     lone = starred.filter("alone").groupBy("family").agg(F.min("g").alias("lone_g"))
     sought = starred.join(lone, "family").withColumn("overlap", F.greatest(F.lit(1), F.ceil((F.col("g") + F.when(F.col("alone"), F.col("hub.g")).otherwise(F.col("lone_g")) - q * F.col("core_size")) / q)))
-    sought = saved(sought.withColumn("take", F.col("m") + F.col("h") - F.col("overlap") + 1).filter("take > 0").select(*who, "component", "s", "m", "h", "core_size", "alone", "take"))
-    others = marked.filter(~F.col("core") & (F.col("holders") > 1)).select(*who, "shingle", F.lit(0).alias("kind"), F.col("holders").alias("often"))
+    sought = saved(sought.withColumn("take", F.col("m") + F.col("h") - F.col("overlap") + 1).filter("take > 0").select(*who, "component", "s", "m", "h", "g", "core_size", "alone", "take"))
     others = others.join(sought.select(*who), who, "left_semi")
-    lacking = sought.filter(F.col("take") > F.col("h")).select(*who).join(counts.filter("core").select("family", "shingle", F.lit(1).alias("kind"), (F.col("members") - F.col("holders")).alias("often")), "family")
-    lacking = lacking.join(marked.filter("core").select(*who, "shingle"), [*who, "shingle"], "left_anti")
+    lacking = split.select(*who, "lacks").join(sought.filter(F.col("take") > F.col("h")).select(*who), who, "left_semi").select(*who, F.explode("lacks").alias("shingle"))
+    lacking = lacking.join(counts.filter("core").select("family", "shingle", F.lit(1).alias("kind"), (F.col("members") - F.col("holders")).alias("often")), ["family", "shingle"])
     order = Window.partitionBy(*who).orderBy("kind", "often", "shingle")
-    first = others.unionByName(lacking).withColumn("place", F.row_number().over(order)).join(sought, who).filter(F.col("place") <= F.col("take"))
-    first = gathered(first.select("family", "shingle", "doc_id", "component", "s", "m", "h", "core_size", "alone"))
-    one, two = (first.select("family", "shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "s", "m", "h", "core_size", "alone")]) for k in "ab")
+    first = others.unionByName(lacking.select(*who, "shingle", "kind", "often")).withColumn("place", F.row_number().over(order)).join(sought, who).filter(F.col("place") <= F.col("take"))
+    first = gathered(first.select("family", "shingle", "doc_id", "component", "s", "m", "h", "g", "core_size", "alone", (F.col("m") + F.col("h") - F.col("place") + 1).alias("behind")))
+    one, two = (first.select("family", "shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "s", "m", "h", "g", "core_size", "alone", "behind")]) for k in "ab")
     allowed = q * (F.col("core_size_a") - F.greatest("m_a", "m_b") + F.least("h_a", "h_b")) >= percent * (F.col("s_a") + F.col("s_b"))
+    allowed &= q * F.least("behind_a", "behind_b") >= F.col("g_a") + F.col("g_b") - q * F.col("core_size_a")
     may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("alone_a") | F.col("alone_b")) & allowed
     shared = one.join(two, (one["family"] == two["family"]) & (one["shingle"] == two["shingle"]) & may)
     return pairs.unionByName(shared.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))).distinct()
