@@ -8,7 +8,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from nullgauge.llm import ann, html_crf, minhash, mixing, packing, pii, quality, repeats, tokens, warc
 from nullgauge.llm.suffix_array import reaches, suffix_array
@@ -209,4 +208,3 @@ def test_pipeline_runs(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, "")
     assert out.columns == docs.drop("component_id").columns
-    assert F.col("x") is not None
