@@ -78,6 +78,24 @@ def design_report(pairs: DataFrame, least: int = 3, ridge: float = 1e-3) -> Data
     return spark.createDataFrame([row], "measurements long, entities long, max_share double, min_appearances long, estimable long, a_score double, d_logdet double")
 
 
+def split_budget(candidates: DataFrame, budget: int, seed: str) -> DataFrame:
+    """(a, b, score, place, half): the best `budget` pairs in two disjoint halves, dealt by hash."""
+    from .draws import u32
+
+    best = candidates.orderBy(F.desc("score"), "a", "b").limit(budget)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "a", "b"))  # at most `budget` rows
+    return best.withColumns({"place": place.cast("int"), "half": (u32(seed, F.col("a"), F.col("b")) % 2).cast("int")})
+
+
+def focused_pairs(candidates: DataFrame, ends: int) -> DataFrame:
+    """All candidate pairs among the `ends` strongest left ends and the `ends` strongest right ones, by summed score."""
+
+    def strongest(side: str) -> DataFrame:
+        return candidates.groupBy(side).agg(F.round(F.sum("score"), 2).alias("s")).orderBy(F.desc("s"), side).limit(ends).select(side)
+
+    return candidates.join(F.broadcast(strongest("a")), "a", "left_semi").join(F.broadcast(strongest("b")), "b", "left_semi").select("a", "b", "score")
+
+
 def drift(registry: DataFrame, metrics: DataFrame, places: int = 6) -> DataFrame:
     """(metric, registered, measured, holds): registered values against recomputed ones, equal to so many places."""
     x = registry.join(metrics, "metric", "left")

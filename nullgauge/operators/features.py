@@ -51,3 +51,20 @@ def binned_matrix(long: DataFrame, row: str, column: str, value: str, width: int
     placed = numbered(medians, "_m", column, name="_pos").select(column, F.floor(F.col("_pos") / width).cast("int").alias("bin"))
     x = long.join(F.broadcast(placed), column).groupBy(row, "bin").agg(F.percentile(F.col(value).cast("double"), 0.5).alias("m"))
     return x.select(row, "bin", F.least(F.greatest("m", F.lit(-most)), F.lit(most)).alias("shade"))
+
+
+def hopkins(rows: DataFrame, length: int, points: int, seed: str, pick: str) -> DataFrame:
+    """One row (hopkins): distances from evenly drawn points to their nearest rows, over those plus the distances from
+    drawn rows to theirs; 0.5 for an even spread, towards 1 for clusters. rows: (vec_id, embedding)."""
+    from .draws import key, saved, u32
+
+    box = rows.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.min(F.col("x").cast("double")).alias("lo"), F.max(F.col("x").cast("double")).alias("hi"))
+    slots = box.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", u32(seed, F.col("slot"), F.col("i") + 1) / F.lit(2.0**32) * (F.col("hi") - F.col("lo")) + F.col("lo"))
+    even = slots.groupBy("slot").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("embedding")).select((-1 - F.col("slot")).cast("long").alias("vec_id"), "embedding")
+    wide = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    drawn = wide.orderBy(F.md5(key(pick, F.col("vec_id")).cast("binary")), "vec_id").limit(points)
+    asked = saved(even.unionByName(drawn))
+    near = exact_neighbours(wide, asked, 1).join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(wide, "vec_id")
+    d = F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+    s = near.agg(F.sum(F.when(F.col("query_id") < 0, d)).alias("u"), F.sum(F.when(F.col("query_id") >= 0, d)).alias("w"))
+    return s.select((F.col("u") / (F.col("u") + F.col("w"))).alias("hopkins"))
