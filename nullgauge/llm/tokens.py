@@ -16,7 +16,7 @@ from .shared import slices, utf8
 from .transducer import compiled
 
 #: Text bytes tokenized together: distinct pieces are merged once for each slice.
-TOKEN_SLICE = 1_500_000
+TOKEN_SLICE = 600_000
 
 
 def token_counts(documents: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:

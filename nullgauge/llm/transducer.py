@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +35,9 @@ SYMBOLS = 12
 STATES = 11
 HERE, BEFORE = 1, 2
 CHUNK = 64
-#: Pieces from which a step is one of arrays; new transitions that are kept apart from the sorted ones.
-LANES, FRESH = 24, 30_000
+#: Pieces from which a step is one of arrays; new transitions that are kept apart from the sorted ones; states after
+#: which a worker forgets what it compiled and begins again, so that its memory is bounded.
+LANES, FRESH, STATES_KEPT = 24, 30_000, 200_000
 
 
 def _begin(symbol: int) -> int:
@@ -87,22 +89,37 @@ class TokenMachine:
         self.length = np.zeros(max(tokens.values()) + 1, np.int64)
         for text, name in tokens.items():
             self.length[name] = len(text)
-        self.apart: dict[tuple[int, int], bool] = {}
-        first = ("", ((-1, 0),), True)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Back to the first state alone."""
+        first = self._packed(True, "", [-1], [0])
+        self.apart: dict[int, bool] = {}
         self.states, self.names = [first], {first: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
-        self.last = np.full(1024, -1, np.int64)
-        self.keys, self.to, self.change = (np.zeros(0, t) for t in (np.int64, np.int32, np.int32))
+        self.last = np.full(1024, -1, np.int32)
+        self.keys, self.to, self.change = (np.zeros(0, t) for t in (np.int64, np.int32, np.int16))
         self.fresh_keys, self.fresh_to, self.fresh_change = self.keys, self.to, self.change
         self.missing: list[tuple[int, int, int]] = []
 
+    @staticmethod
+    def _packed(whole: bool, suffix: str, tokens: list[int], counts: list[int]) -> bytes:
+        """A state: whether the suffix is the whole prefix, the suffix, and the last token and relative count at each of its places."""
+        return bytes([whole]) + suffix.encode("utf-16-le") + array("i", tokens + counts).tobytes()
+
+    @staticmethod
+    def _unpacked(state: bytes) -> tuple[bool, str, list[int], list[int]]:
+        depth = (len(state) - 9) // 10
+        rows = array("i")
+        rows.frombytes(state[1 + 2 * depth :])
+        return bool(state[0]), state[1 : 1 + 2 * depth].decode("utf-16-le"), rows[: depth + 1].tolist(), rows[depth + 1 :].tolist()
+
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether two neighbouring tokens are the encoding of their joined text.
 
         Their merges are undone, latest first; a merge across the border that would have come before the next merge on
         either side (on the left one, being further left, also at the same rank) would have been taken.
         """
-        found = self.apart.get((a, b))
+        found = self.apart.get(a << 20 | b)
         if found is None:
             left, right, far = a, b, 1 << 40
             until_left = until_right = far
@@ -119,38 +136,46 @@ class TokenMachine:
                     left, until_left = self.splits[left][1], rank_left
                 else:
                     right, until_right = self.splits[right][0], rank_right
-            self.apart[a, b] = found
+            self.apart[a << 20 | b] = found
         return found
 
     def _compile(self, state: int, symbol: int) -> tuple[int, int]:
         """The transition of a state at a symbol: the next state and the change in the number of tokens."""
-        suffix, places, whole = self.states[state]
+        whole, suffix, tokens, counts = self._unpacked(self.states[state])
         text, depth = suffix + chr(symbol), len(suffix)
         for n in range(1, depth + 2):
             token = self.tokens.get(text[-n:])
-            if token is None:
-                continue
-            before, count = places[depth + 1 - n]
-            if before < 0 or self.stay_apart(before, token):
+            if token is not None and (tokens[depth + 1 - n] < 0 or self.stay_apart(tokens[depth + 1 - n], token)):
                 break
         else:
             raise AssertionError("a prefix without a last token")
-        change = count + 1
-        keep = next((n for n in range(depth + 1, 0, -1) if text[-n:] in self.open), 0)
-        rows = (*places, (token, change))[-(keep + 1) :]
-        new = (text[len(text) - keep :], tuple((t, c - change) for t, c in rows), whole and keep == depth + 1)
-        if not new[2] and rows[0][0] < 0:
-            raise AssertionError("a place without a token inside a piece")
+        change = counts[depth + 1 - n] + 1
+        keep = next((k for k in range(depth + 1, 0, -1) if text[-k:] in self.open), 0)
+        new = self._packed(whole and keep == depth + 1, text[len(text) - keep :], [*tokens, token][-(keep + 1) :], [c - change for c in [*counts, change][-(keep + 1) :]])
         name = self.names.get(new)
         if name is None:
             name = self.names[new] = len(self.states)
             self.states.append(new)
             if name >= len(self.last):
-                self.last = np.concatenate((self.last, np.full(len(self.last), -1, np.int64)))
+                self.last = np.concatenate((self.last, np.full(len(self.last), -1, np.int32)))
             self.last[name] = token
-        move = self.moves[state << 9 | symbol] = name, change
         self.missing.append((state << 9 | symbol, name, change))
-        return move
+        return name, change
+
+    def _keep(self) -> None:
+        """Puts newly compiled transitions among the sorted ones."""
+        rows, self.missing = self.missing, []
+        if not rows:
+            return
+        keys, to, change = (np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int16), strict=True))
+        fresh = np.concatenate((self.fresh_keys, keys)), np.concatenate((self.fresh_to, to)), np.concatenate((self.fresh_change, change))
+        if len(fresh[0]) > FRESH:
+            every = np.concatenate((self.keys, fresh[0])), np.concatenate((self.to, fresh[1])), np.concatenate((self.change, fresh[2]))
+            order = np.argsort(every[0], kind="stable")
+            self.keys, self.to, self.change = (x[order] for x in every)
+            fresh = tuple(x[:0] for x in fresh)
+        order = np.argsort(fresh[0], kind="stable")
+        self.fresh_keys, self.fresh_to, self.fresh_change = (x[order] for x in fresh)
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and changes of many (state, symbol) keys."""
@@ -164,24 +189,16 @@ class TokenMachine:
         todo = np.flatnonzero(to < 0)
         if len(todo):
             new, back = np.unique(keys[todo], return_inverse=True)
-            moves = [self.moves.get(k) or self._compile(k >> 9, k & 511) for k in new.tolist()]
+            moves = [self._compile(k >> 9, k & 511) for k in new.tolist()]
             to[todo] = np.array([m[0] for m in moves], np.int32)[back]
             change[todo] = np.array([m[1] for m in moves], np.int32)[back]
-            rows, self.missing = self.missing, []
-            if rows:
-                keys_, to_, change_ = (np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int32), strict=True))
-                fresh = np.concatenate((self.fresh_keys, keys_)), np.concatenate((self.fresh_to, to_)), np.concatenate((self.fresh_change, change_))
-                if len(fresh[0]) > FRESH:
-                    every = np.concatenate((self.keys, fresh[0])), np.concatenate((self.to, fresh[1])), np.concatenate((self.change, fresh[2]))
-                    order = np.argsort(every[0], kind="stable")
-                    self.keys, self.to, self.change = (x[order] for x in every)
-                    fresh = tuple(x[:0] for x in fresh)
-                order = np.argsort(fresh[0], kind="stable")
-                self.fresh_keys, self.fresh_to, self.fresh_change = (x[order] for x in fresh)
+            self._keep()
         return to, change
 
     def run(self, symbols: np.ndarray, edges: np.ndarray, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """The tokens of each piece symbols[edges[k]:edges[k + 1]], and, if wanted, all ids in order."""
+        if len(self.states) > STATES_KEPT:
+            self._forget()
         size = np.diff(edges)
         order = np.argsort(-size, kind="stable")
         start, length = edges[:-1][order], size[order]
@@ -200,11 +217,15 @@ class TokenMachine:
                 ending[start[:n] + k] = self.last[to]
             k += 1
         if k < most:
-            moves = self.moves
+            moves: dict[int, tuple[int, int]] = {}
             for lane in range(lanes[k]):
                 now, total, ends = int(state[lane]), int(count[lane]), []
                 for symbol in symbols[start[lane] + k : start[lane] + length[lane]].tolist():
-                    move = moves.get(now << 9 | symbol) or self._compile(now, symbol)
+                    key = now << 9 | symbol
+                    move = moves.get(key)
+                    if move is None:
+                        to, change = self._find(np.array([key]))
+                        move = moves[key] = int(to[0]), int(change[0])
                     now, total = move[0], total + move[1]
                     ends.append(now)
                 count[lane] = total
