@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, catalogue, communities, decisions, effects, evidence, files, graphs, information, reports, scalars
+from . import calibration, catalogue, communities, decisions, effects, evidence, files, graphs, information, reports, scalars, streams
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "calibration", "catalogue", "communities", "decisions", "effects", "evidence", "files", "graphs", "information", "reports", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "calibration", "catalogue", "communities", "decisions", "effects", "evidence", "files", "graphs", "information", "reports", "scalars", "streams"]
