@@ -14,7 +14,8 @@ def _lines(t: Tables) -> DataFrame:
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
 
 
-@query("SELECT 'o_totalprice' AS \"column\", 'under minimum' AS problem FROM orders HAVING min(o_totalprice) < 1000 UNION ALL SELECT 'o_orderstatus', 'not unique' UNION ALL SELECT 'o_custkey', 'type bigint, expected string' UNION ALL SELECT 'weight', 'missing'")
+@query("""SELECT 'o_totalprice' AS "column", 'under minimum' AS problem FROM orders HAVING min(o_totalprice) < 1000 UNION ALL SELECT 'o_orderkey', 'not unique' FROM orders HAVING count(DISTINCT o_orderkey) < count(o_orderkey) UNION ALL SELECT 'o_orderstatus', 'not unique' FROM orders HAVING count(DISTINCT o_orderstatus) < count(o_orderstatus)
+UNION ALL SELECT column_name, 'type ' || lower(column_type) || ', expected ' || CASE column_name WHEN 'o_custkey' THEN 'string' ELSE 'bigint' END FROM (DESCRIBE orders) WHERE column_name = 'o_custkey' AND column_type <> 'VARCHAR' OR column_name = 'o_orderkey' AND column_type <> 'BIGINT' UNION ALL SELECT 'weight', 'missing' WHERE NOT EXISTS (SELECT 1 FROM (DESCRIBE orders) WHERE column_name = 'weight')""")
 def o019_contract(t: Tables) -> DataFrame:
     """Every broken rule of a contract that orders don't fulfil."""
     rules = {"o_orderkey": {"type": "bigint", "unique": True}, "o_custkey": {"type": "string"}, "o_totalprice": {"type": "double", "min": 1000}, "o_orderstatus": {"unique": True}, "weight": {}}
