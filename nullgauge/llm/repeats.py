@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, BYTE_VALUE, mixed, saved, slices, small_or_shuffled, use_checkpoints, utf8
+from .shared import BYTE_VALUE, mixed, saved, slices, use_checkpoints, utf8
 from .suffix_array import reaches, suffix_array
 
 LENGTH = 200
 KGRAMS = (64, 136, 184, LENGTH)
 SHARD_BYTES, HOT_BYTES = 1_000_000, 8_000_000
-#: Numbers in a row that holds a place or a range; bounds of broadcasts count numbers.
-WIDE = 5
+#: Places or ranges up to which a table of them is broadcast (about 40 bytes each).
+BROADCAST_PLACES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -220,8 +220,7 @@ def repeated_ranges(texts: DataFrame, level: int = 0) -> DataFrame:
     needed = saved(contents.join(groups, "minimizer", "left_semi").select("minimizer", "content", "first.*"))
     n_needed = needed.count()
     wanted = needed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("minimizer", "content", "start", "strings")).alias("wanted"))
-    cut = texts.dropDuplicates(["doc_id", "text_hash"]) if WIDE * n_needed > BROADCAST_ROWS else texts
-    cut = cut.join(small_or_shuffled(wanted, WIDE * n_needed), ["doc_id", "text_hash"]).select("text", "wanted").mapInArrow(_cut, "minimizer long, content long, bytes binary").dropDuplicates(["minimizer", "content"])
+    cut = texts.join(F.broadcast(wanted) if n_needed <= BROADCAST_PLACES else wanted, ["doc_id", "text_hash"]).select("text", "wanted").mapInArrow(_cut, "minimizer long, content long, bytes binary").dropDuplicates(["minimizer", "content"])
     cut = cut.join(groups, "minimizer")
     hot = level + 1 < len(KGRAMS) and not groups.filter("hot").isEmpty()
     cut = saved(cut) if hot else cut
@@ -243,5 +242,5 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = saved(repeated_ranges(texts.select("doc_id", "text_hash", "text")))
     n = ranges.agg(F.sum(F.size("lows"))).first()[0] or 0
-    joined = texts.join(small_or_shuffled(ranges, WIDE * n), ["doc_id", "text_hash"], "left").select("id", "text", "lows", "highs")
+    joined = texts.join(F.broadcast(ranges) if n <= BROADCAST_PLACES else ranges, ["doc_id", "text_hash"], "left").select("id", "text", "lows", "highs")
     return joined.mapInArrow(_without, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

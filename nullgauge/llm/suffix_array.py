@@ -55,16 +55,21 @@ def _with_runs(tails: np.ndarray, bucket: np.ndarray, run: np.ndarray) -> tuple[
     return (tails[each] - back)[order], bucket[each][order]
 
 
-def _scan(s: np.ndarray, sa: np.ndarray, run: np.ndarray, wanted: np.ndarray, heads: np.ndarray, edges: np.ndarray, more: np.ndarray, more_at: np.ndarray, more_n: np.ndarray, way: int) -> None:
+#: Suffixes in the buckets that a step tries, unless its first bucket holds more.
+STEP = 8192
+
+
+def _scan(s: np.ndarray, sa: np.ndarray, run: np.ndarray, wanted: np.ndarray, heads: np.ndarray, edges: np.ndarray, size: np.ndarray, more: np.ndarray, more_at: np.ndarray, more_n: np.ndarray, way: int) -> None:
     """Induces one type of suffix. Buckets are taken from the first to the last (way 1) or back (way -1).
 
     wanted: suffixes of the type; heads: the next free place of each bucket, edges: the first one. more[more_at[c]:][:more_n[c]]:
     the other suffixes of bucket c that induce, in the order of `way`.
     """
     k = len(heads)
+    upto = np.cumsum(size[::way])
     done, width = 0, 64
     while done < k:
-        last = min(done + width, k)
+        last = min(done + width, max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + STEP, "right"))))
         # numbers along the way; c are symbols
         step = np.arange(done, last)
         c = step if way == 1 else k - 1 - step
@@ -107,11 +112,11 @@ def _induce(s: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray,
     sa = np.full(n, -1, np.int64)
     counts = np.bincount(s[lms], minlength=len(size))
     large = starts.copy()
-    _scan(s, sa, run, ~small, large, starts, lms[np.argsort(s[lms], kind="stable")], np.cumsum(counts) - counts, counts, 1)
+    _scan(s, sa, run, ~small, large, starts, size, lms[np.argsort(s[lms], kind="stable")], np.cumsum(counts) - counts, counts, 1)
     inside = large - starts
     back = sa[_ranges(starts, inside)][::-1]
     before = np.cumsum(inside[::-1])[::-1] - inside
-    _scan(s, sa, run, small, ends - 1, ends - 1, back, before, inside, -1)
+    _scan(s, sa, run, small, ends - 1, ends - 1, size, back, before, inside, -1)
     if sa[0] < 0:
         sa[0] = n - 1
     return sa
