@@ -59,9 +59,10 @@ def rotated(x: np.ndarray, table: int, size: int) -> np.ndarray:
 
 
 def polytopes(size: int, rows: int) -> list[int]:
-    """Axes of each polytope of a table: the first has all, others follow until cells hold about CELL_ROWS rows."""
+    """Axes of each polytope of a table: the first has all, others follow until cells hold at most half as
+    many rows again as CELL_ROWS on average."""
     axes, cells = [size], 2 * size
-    while cells * CELL_ROWS < rows:
+    while 1.5 * cells * CELL_ROWS < rows:
         more = min(size, 1 << max(0, round(np.log2(rows / (CELL_ROWS * cells * 2)))))
         axes.append(more)
         cells *= 2 * more
@@ -227,7 +228,8 @@ def _norm(scaled: bool = True) -> Column:
 def _compared(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
     """(query, id, first, score): the `keep` nearest rows of each block for each query of the same bucket."""
     blocks = index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_rows")).join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_queries")), "bucket")
-    blocks = F.broadcast(saved(blocks))
+    blocks = saved(blocks)
+    blocks = small_or_shuffled(blocks, blocks.count())
     left = index.join(blocks, "bucket").withColumn("r", F.pmod(F.xxhash64("id"), F.col("of_rows")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("of_queries") - 1)))
     right = queries.join(blocks, "bucket").withColumn("c", F.pmod(F.xxhash64("id"), F.col("of_queries")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("of_rows") - 1)))
     return left.select("bucket", "r", "c", "id", "first", "vector").groupBy("bucket", "r", "c").cogroup(right.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c")).applyInArrow(_compare(keep), "query long, id long, first long, score double")
@@ -282,6 +284,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probes: int | None
 
     index = placed(classes.select("id", "first", "vector"), None)
     dealt = classes.select("id", "first", "vector", F.floor(_norm(False) / float(np.log(RATIO))).cast("long").alias("bucket"), _norm().alias("norm"))
+    # 64-bit floats span fewer than 7,000 ranges
     ranges = F.broadcast(saved(dealt.groupBy("bucket").agg(F.max("norm").alias("longest"))))
 
     def some(pairs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUE_FOLDED, distinct, mixed, per_doc, segment_hashes, slices, utf8, word_edges
+from .shared import BYTE_VALUE_FOLDED, distinct, first_equal, mixed, per_doc, segment_hashes, slices, utf8, word_edges
 
 #: Words kept by a Misra-Gries summary; a common word has a larger share than 1 / SUMMARY.
 SUMMARY = 2000
@@ -194,8 +194,7 @@ def _duplicate_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np
     stop -= data[np.maximum(stop - 1, 0)] == 10
     worded = np.searchsorted(starts, begin) < np.searchsorted(starts, stop)
     begin, stop, of = begin[worded], stop[worded], of[worded]
-    keys = mixed(segment_hashes(data, begin, stop) ^ mixed(of.astype(np.uint64) + np.uint64(1)))
-    _, unique = np.unique(keys, return_index=True)
+    unique = np.unique(first_equal(data, begin, stop, of))
     return np.bincount(of, minlength=docs) - np.bincount(of[unique], minlength=docs)
 
 

@@ -25,13 +25,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUE, mixed, saved, slices, use_checkpoints, utf8
+from .shared import BYTE_VALUE, MERSENNE, mixed, powers, prefix_sums, product, reduced, saved, slices, use_checkpoints, utf8
 from .suffix_array import reaches, suffix_array
 
 LENGTH = 200
@@ -39,21 +40,26 @@ KGRAMS = (64, 136, 184, LENGTH)
 SHARD_BYTES, HOT_BYTES = 1_000_000, 8_000_000
 #: Places or ranges up to which a table of them is broadcast (about 40 bytes each).
 BROADCAST_PLACES = 1_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: The drawn base of the text hash modulo 2**61 - 1, and the values of bytes (below 2**30).
+_BASE = 0x1B2F6A94D70C35E1 % (2**61 - 1)
+_VALUE = BYTE_VALUE >> np.uint64(34)
 
 
-def _prefix_hashes(data: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums and inverse powers: hash of data[i:j] = mixed((sums[j] - sums[i]) * inverse[i]), wherever it stands."""
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(_BASE, n), powers(pow(_BASE, -1, 2**61 - 1), n)
+
+
+def _prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums and inverse powers, modulo 2**61 - 1."""
     n = len(data)
-    power = np.full(n + 1, _BASE, np.uint64)
-    inverse = np.full(n + 1, _INVERSE, np.uint64)
-    power[0] = inverse[0] = 1
-    np.cumprod(power, out=power)
-    np.cumprod(inverse, out=inverse)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed(BYTE_VALUE + np.uint64(seed))[data] * power[:n], out=sums[1:])
-    return sums, inverse
+    up, down = _powers(1 << max(n, 1 << 20).bit_length())
+    return prefix_sums(product(_VALUE[data], up[:n])), down[: n + 1]
+
+
+def _between(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """Hashes of data[start:end], wherever they stand."""
+    return mixed(product(reduced(sums[end] + MERSENNE - sums[start]), inverse[start]))
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -71,7 +77,7 @@ def _atoms_of(data: np.ndarray, at: np.ndarray, kgram: int) -> tuple[np.ndarray,
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool))
     sums, inverse = _prefix_hashes(data)
     # seeded by the length, so that the content hash isn't the minimizer where both are of whole strings
-    grams = mixed((sums[kgram:] - sums[:-kgram]) * inverse[: n - kgram + 1] + np.uint64(kgram))
+    grams = mixed(_between(sums, inverse, slice(0, n - kgram + 1), slice(kgram, n + 1)) + np.uint64(kgram))
     least = _sliding(grams, width, np.minimum)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: n - LENGTH + 1]
     whole = np.arange(n - LENGTH + 1) + LENGTH <= at[doc + 1]
@@ -81,7 +87,7 @@ def _atoms_of(data: np.ndarray, at: np.ndarray, kgram: int) -> tuple[np.ndarray,
     last = np.ones(len(least), bool)
     last[:-1] = new[1:] | ~whole[1:]
     end = np.flatnonzero(last & whole) + 1
-    content = mixed((sums[end + LENGTH - 1] - sums[start]) * inverse[start])
+    content = _between(sums, inverse, start, end + LENGTH - 1)
     # a k-gram that is the least of one of its strings; with one for each atom, no minimizer recurs inside an atom
     padded = np.full(len(grams) + width - 1, 0, np.uint64)
     padded[width - 1 : width - 1 + len(least)] = np.where(whole, least, 0)

@@ -109,18 +109,16 @@ _random = np.random.default_rng(20240229)
 BYTE_VALUE = _random.integers(1, 2**64, 256, np.uint64)
 BYTE_VALUE_FOLDED = BYTE_VALUE.copy()
 BYTE_VALUE_FOLDED[65:91] = BYTE_VALUE[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_multipliers = np.zeros(0, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of an odd base modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 1024), _BASE, np.uint64)
-        grown[0] = 1
-        _powers = np.cumprod(grown, dtype=np.uint64)
-    return _powers[:n]
+def multipliers(n: int) -> np.ndarray:
+    """n odd pseudo-random factors, one for each place in a segment. They are drawn one by one and aren't powers of a
+    base, whose sums modulo 2**64 vanish on Thue-Morse patterns."""
+    global _multipliers
+    if len(_multipliers) < n:
+        _multipliers = mixed(np.arange(1, max(n, 1024) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return _multipliers[:n]
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_VALUE) -> np.ndarray:
@@ -131,17 +129,82 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table
     edges = np.concatenate(([0], np.cumsum(lengths)))
     inside = np.arange(edges[-1]) - np.repeat(edges[:-1], lengths)
     values = table[data[inside + np.repeat(starts, lengths)]]
-    values *= powers(int(lengths.max()))[inside]
+    values *= multipliers(int(lengths.max()))[inside]
     return mixed(np.add.reduceat(values, edges[:-1]) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def equal_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each non-empty segment has the bytes of the segment whose number `others` gives."""
+    lengths = ends - starts
+    same = lengths == lengths[others]
+    if not same.any():
+        return same
+    lengths, here, there = lengths[same], starts[same], starts[others[same]]
+    edges = np.concatenate(([0], np.cumsum(lengths)))
+    inside = np.arange(edges[-1]) - np.repeat(edges[:-1], lengths)
+    same[same] = np.logical_and.reduceat(data[inside + np.repeat(here, lengths)] == data[inside + np.repeat(there, lengths)], edges[:-1])
+    return same
+
+
+def first_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """For each non-empty segment the number of one that has the same bytes (and the same `of`), one for all equal ones.
+
+    Hashes propose, bytes decide: segments of one hash and other bytes are told apart by a dictionary.
+    """
+    keys = segment_hashes(data, starts, ends)
+    if of is not None:
+        keys = mixed(keys ^ mixed(of.astype(np.uint64) + np.uint64(1)))
+    _, one, back = np.unique(keys, return_index=True, return_inverse=True)
+    first = one[back]
+    same = equal_segments(data, starts, ends, first)
+    if of is not None:
+        same &= of == of[first]
+    seen: dict = {}
+    for k in np.flatnonzero(~same).tolist():
+        first[k] = seen.setdefault((None if of is None else int(of[k]), data[starts[k] : ends[k]].tobytes()), k)
+    return first
+
+
+MERSENNE = np.uint64(2**61 - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1, for any 64-bit x."""
+    x = (x & MERSENNE) + (x >> np.uint64(61))
+    return np.where(x >= MERSENNE, x - MERSENNE, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for a and b below it, by halves of 31 bits."""
+    a_high, a_low, b_high, b_low = a >> np.uint64(31), a & np.uint64(2**31 - 1), b >> np.uint64(31), b & np.uint64(2**31 - 1)
+    middle = a_high * b_low + a_low * b_high
+    return reduced(np.uint64(2) * a_high * b_high + (middle >> np.uint64(30)) + ((middle & np.uint64(2**30 - 1)) << np.uint64(31)) + a_low * b_low)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base modulo 2**61 - 1, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, product(out, np.uint64(pow(base, len(out), 2**61 - 1)))))
+    return out[:n]
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... of the values modulo 2**61 - 1 (fewer than 2**31 values below it)."""
+    low, high = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values & np.uint64(2**31 - 1), out=low[1:])
+    np.cumsum(values >> np.uint64(31), out=high[1:])
+    return reduced((high >> np.uint64(30)) + ((high & np.uint64(2**30 - 1)) << np.uint64(31)) + low)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes other than 0x20 and 0x09-0x0D), and each document's first word (n + 1)."""
-    inside = ~_SPACE[data]
+def word_edges(data: np.ndarray, at: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that aren't `outside`: 0x20 and 0x09-0x0D), and each document's first
+    word (n + 1)."""
+    inside = ~outside[data]
     first = np.empty(len(data), bool)
     last = np.empty(len(data), bool)
     if len(data):

@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .shared import BYTE_VALUE, distinct, segment_hashes
+from .shared import distinct, first_equal
 
 SPACE, BLANK, QUOTE, STMD, R, V, L, E, LETTER, NUMBER, OTHER, END = range(12)
 SYMBOLS = 12
@@ -390,7 +390,7 @@ class Transducer:
             kept = ~np.isin(of, hard)
             begin, stop, of = begin[kept], stop[kept], of[kept]
         starts, ends = byte[begin], byte[stop]
-        _, one, back = np.unique(segment_hashes(data, starts, ends, BYTE_VALUE), return_index=True, return_inverse=True)
+        one, back = np.unique(first_equal(data, starts, ends), return_inverse=True)
         n, flat = self._pieces(data, starts[one], ends[one], want_ids)
         each = n[back]
         counts = np.bincount(of, each, docs).astype(np.int64)

@@ -521,5 +521,43 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
         shared.use_checkpoints(Session())
 
 
-def test_fixture_is_plain():
-    assert json.loads(json.dumps(base_spans("a@b.c"))) == [[0, 0, 5]]
+# hashes on patterns that sums of powers modulo 2**64 can't tell apart
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(k).count("1") + flip) & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_thue_morse_patterns_are_told_apart(spark, n):
+    one, two = thue_morse(n), thue_morse(n, 1)
+    rows = spark.createDataFrame([(1, f"{one}\n{two}", "en"), (2, one, "en"), (3, two, "en"), (4, f"{one}\n{one}", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality(rows).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(rows).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        library, text = compiled(path).library, f"{one}\n{two}"
+        expected = library.encode(text, add_special_tokens=False).ids
+        data = np.frombuffer(text.encode(), np.uint8)
+        counts, ids = compiled(path).run(data, np.array([0, len(data)]), True)
+        assert counts.tolist() == [len(expected)] and ids.tolist() == expected
+
+
+def test_repeats_of_thue_morse_blocks(spark):
+    block = "".join(random.Random(3).choices("cdefghijkl", k=64))
+    texts = []
+    for flip in (0, 1):
+        own = random.Random(10)
+        texts.append("".join(block + "".join(own.choices("mnopqrstuvwxyz", k=63)) + thue_morse(64, flip)[k] for k in range(64)))
+    windows = [t[k : k + 200] for t in texts for k in range(len(t) - 199)]
+    assert len(set(windows)) == len(windows)
+    rows = repeats.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.n_removed, r.n_spans) for r in rows] == [(0, 0), (0, 0)]
+
+
+def test_equal_hashes_are_decided_by_bytes(monkeypatch):
+    data = np.frombuffer(b"abcabdabcabd", np.uint8)
+    starts = np.arange(0, 12, 3)
+    monkeypatch.setattr(shared, "segment_hashes", lambda *a: np.zeros(4, np.uint64))
+    assert len(set(shared.first_equal(data, starts, starts + 3).tolist())) == 2
+    assert len(set(shared.first_equal(data, starts, starts + 3, np.array([0, 0, 1, 1])).tolist())) == 4
