@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 from .ann import nearest
+from .ball_tree import ranked
+from .fim import fill_in_middle, restored
 from .html_crf import main_texts
 from .minhash import near_duplicates
 from .mixing import mix
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack
+from .pigeonhole import linked
 from .pii import personal_data
 from .quality import quality
 from .repeats import without_repeats
@@ -63,5 +67,23 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_bbit_minhash, op3_best_fit_packing, op4_token_counts, op5_warc_revisits, op6_personal_data, op7_main_text, op8_capped_mixing, op9_suffix_repeats, op10_cross_polytope)}
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_table(spark, sf_dir, "documents")).withColumn("restored", restored())
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(F.encode(c, "utf-8"), 256).alias(f"{c}_sha256") for c in ("output", "restored")])
+
+
+def op13_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_divergence, op2_bbit_minhash, op3_best_fit_packing, op4_token_counts, op5_warc_revisits, op6_personal_data, op7_main_text,
+        op8_capped_mixing, op9_suffix_repeats, op10_cross_polytope, op11_ball_tree_search, op12_fill_in_middle, op13_pigeonhole_join,
+    )
+}
