@@ -11,7 +11,7 @@
 5. Components of confirmed links. Members of one bucket that are still in different components are paired with CENTRES
    drawn members of it. What is then apart is settled exactly: buckets of up to SMALL members pair them, and the members
    of larger buckets, gathered into families by their bucket's main component, go by what sets each off from its
-   family (see _family_pairs), so that no link is lost and a large group doesn't make all its pairs. Only pairs that
+   family (see _family_keys), so that no link is lost and a large group doesn't make all its pairs. Only pairs that
    may link leave these joins.
 
 With 32 bands of 4 rows a link of similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 < 6e-6.
@@ -39,6 +39,8 @@ KEEP_ESTIMATE = 0.56
 CENTRES, SMALL = 4, 64
 #: Cells of each property of a family's members, and families whose sizes may be broadcast (16 bytes each).
 CELLS, FAMILIES = 128, 1_000_000
+#: Shingles that a key of a family is made of at most, and keys of a member from which it is made of fewer.
+DEEP, KEYS = 3, 256
 _draw = np.random.default_rng(5)
 _MULTIPLY = _draw.integers(1, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _draw.integers(0, 2**32, HASHES, np.uint32)
@@ -185,9 +187,10 @@ def _met(seekers: DataFrame, partners: DataFrame, heads: DataFrame, percent: int
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _family_pairs(members: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) among which are all links between different components of a family, of members (family, doc_id,
-    component) of large buckets; found by what members don't have in common with their family, never pair by pair.
+def _family_keys(members: DataFrame, documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of a family that link for certain, and the keys (family, key, doc_id, component, ...) that two members
+    share if they may have any other link; of members (family, doc_id, component) of large buckets. Keys are made of what
+    members don't have in common with their family.
 
     Let C be the shingles that over half of a family's members hold. A member x of size s lacks m shingles of C and has
     e others, h of them shared with some member. Two members have |C| - m - m' + o shingles in common, where o is the
@@ -199,6 +202,8 @@ def _family_pairs(members: DataFrame, documents: DataFrame, percent: int) -> Dat
       in their family allows this have no link at all.
     * Any other link needs o >= (g + g' - q|C|) / q, so the two share one of the first m + e - o + 1 shingles that set
       either off, in a common order (rare ones first), and after the first one that they share are o - 1 more in both.
+      If all members of a family need an overlap of DEEP at least, the two share DEEP of the first m + e - o + DEEP, so
+      keys are made of as many shingles, where this makes at most KEYS of them for a member; such keys are far rarer.
     """
     q = 100 + percent
     ids = gathered(members.select("doc_id").distinct())
@@ -232,19 +237,75 @@ def _family_pairs(members: DataFrame, documents: DataFrame, percent: int) -> Dat
     # what is left: one of the two at least is alone, so the other's partners start at the least g of those
     lone = starred.filter("alone").groupBy("family").agg(F.min("g").alias("lone_g"))
     sought = starred.join(lone, "family").withColumn("overlap", F.greatest(F.lit(1), F.ceil((F.col("g") + F.when(F.col("alone"), F.col("hub.g")).otherwise(F.col("lone_g")) - q * F.col("core_size")) / q)))
-    sought = saved(sought.withColumn("take", F.col("m") + F.col("h") - F.col("overlap") + 1).filter("take > 0").select(*who, "component", "s", "m", "h", "g", "core_size", "alone", "take"))
+    sought = sought.withColumn("take", F.col("m") + F.col("h") - F.col("overlap") + 1).filter("take > 0").select(*who, "component", "s", "m", "h", "g", "core_size", "alone", "take", "overlap")
+    sought = saved(sought)
+    depth = sought.groupBy("family").agg(F.min("overlap").alias("least_overlap"), F.max("take").alias("most"))
+    choices, deep = F.lit(1), F.lit(1)
+    for k in range(2, DEEP + 1):
+        choices = choices * k
+        ways = F.col("most") + k - 1
+        for x in range(1, k):
+            ways = ways * (F.col("most") + k - 1 - x)
+        deep = F.when((F.col("least_overlap") >= k) & (ways <= KEYS * choices), k).otherwise(deep)
+    sought = sought.join(depth.select("family", deep.alias("deep")), "family").withColumn("take", F.col("take") + F.col("deep") - 1)
     others = others.join(sought.select(*who), who, "left_semi")
     lacking = split.select(*who, "lacks").join(sought.filter(F.col("take") > F.col("h")).select(*who), who, "left_semi").select(*who, F.explode("lacks").alias("shingle"))
     lacking = lacking.join(counts.filter("core").select("family", "shingle", F.lit(1).alias("kind"), (F.col("members") - F.col("holders")).alias("often")), ["family", "shingle"])
     order = Window.partitionBy(*who).orderBy("kind", "often", "shingle")
     first = others.unionByName(lacking.select(*who, "shingle", "kind", "often")).withColumn("place", F.row_number().over(order)).join(sought, who).filter(F.col("place") <= F.col("take"))
-    first = gathered(first.select("family", "shingle", "doc_id", "component", "s", "m", "h", "g", "core_size", "alone", (F.col("m") + F.col("h") - F.col("place") + 1).alias("behind")))
-    one, two = (first.select("family", "shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "s", "m", "h", "g", "core_size", "alone", "behind")]) for k in "ab")
+    alike = ["component", "s", "m", "h", "g", "core_size", "alone", "deep"]
+    listed = first.groupBy(*who, *alike).agg(F.array_sort(F.collect_list(F.struct("place", "shingle"))).alias("list"))
+    one = "transform(list, x -> struct(x.place AS place, xxhash64(x.shingle) AS key))"
+    two = "flatten(transform(list, x -> transform(filter(list, y -> y.place > x.place), y -> struct(x.place AS place, xxhash64(x.shingle, y.shingle) AS key))))"
+    three = "flatten(transform(list, x -> flatten(transform(filter(list, y -> y.place > x.place), y -> transform(filter(list, z -> z.place > y.place), z -> struct(x.place AS place, xxhash64(x.shingle, y.shingle, z.shingle) AS key))))))"
+    keys = listed.withColumn("k", F.explode(F.expr(f"CASE deep WHEN 1 THEN {one} WHEN 2 THEN {two} ELSE {three} END")))
+    return pairs, gathered(keys.select("family", F.col("k.key").alias("key"), "doc_id", *alike[:-1], (F.col("m") + F.col("h") - F.col("k.place") + 1).alias("behind")))
+
+
+def _key_pairs(keys: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members and partners of one key, of different components, that may link."""
+    q = 100 + percent
+    one, two = (t.select("family", "key", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "s", "m", "h", "g", "core_size", "alone", "behind")]) for t, k in ((keys, "a"), (partners, "b")))
     allowed = q * (F.col("core_size_a") - F.greatest("m_a", "m_b") + F.least("h_a", "h_b")) >= percent * (F.col("s_a") + F.col("s_b"))
     allowed &= q * F.least("behind_a", "behind_b") >= F.col("g_a") + F.col("g_b") - q * F.col("core_size_a")
-    may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("alone_a") | F.col("alone_b")) & allowed
-    shared = one.join(two, (one["family"] == two["family"]) & (one["shingle"] == two["shingle"]) & may)
-    return pairs.unionByName(shared.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))).distinct()
+    may = (F.col("component_a") != F.col("component_b")) & (F.col("alone_a") | F.col("alone_b")) & allowed
+    shared = one.join(two, (one["family"] == two["family"]) & (one["key"] == two["key"]) & may)
+    return shared.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+
+
+def _drawn_partners(keys: DataFrame) -> DataFrame:
+    """CENTRES members of each key, drawn by hash."""
+    row = F.struct(*keys.columns)
+    draws = [F.min_by(row, F.xxhash64("doc_id", "key", F.lit(k))) for k in range(CENTRES)]
+    return keys.groupBy("family", "key").agg(F.array(*draws).alias("drawn")).select(F.explode("drawn").alias("d")).select("d.*").distinct()
+
+
+def _family_links(members: DataFrame, tested: DataFrame, links: DataFrame, heads: DataFrame, documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that join the components of families, and the pairs tested for them.
+
+    First every member meets the drawn partners of its keys, which are as many rows as there are keys. Most of a dense
+    family is one component then, and only pairs of different components meet in the last join.
+    """
+    certain, keys = _family_keys(members, documents, percent)
+    new = links.limit(0), tested.limit(0)
+    for near in (certain.unionByName(_key_pairs(keys, _drawn_partners(keys), percent)), None):
+        if near is None:
+            grouped = components(links.unionByName(new[0]), "a", "b").withColumnRenamed("node", "doc_id")
+            keys = keys.withColumnRenamed("component", "old").join(grouped, "doc_id", "left").withColumn("component", F.coalesce("component", "old")).drop("old")
+            keys = gathered(_of_several_components(keys))
+            near = _key_pairs(keys, keys.filter("NOT of_main"), percent)
+        near = near.distinct().join(tested.unionByName(new[1]), ["a", "b"], "left_anti")
+        near = gathered(near.join(_side(heads, "a"), "a").join(_side(heads, "b"), "b").filter(_may_link(percent)).select("a", "b"))
+        new = new[0].unionByName(_confirmed(near, documents, percent)), new[1].unionByName(near)
+    return new
+
+
+def _of_several_components(keys: DataFrame) -> DataFrame:
+    """The rows of keys that members of several components hold, and whether they are of the key's main component. Of two
+    components one isn't the main one, so its rows meet all others."""
+    parts = keys.groupBy("family", "key", "component").agg(F.count("*").alias("n"))
+    several = parts.groupBy("family", "key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    return keys.join(several.select("family", "key", "main"), ["family", "key"]).withColumn("of_main", F.col("component") == F.col("main")).drop("main")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -276,8 +337,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
             near = _met(seekers.filter(F.col("members") <= SMALL), apart.filter(F.col("members") <= SMALL), heads, percent)
             large = gathered(apart.filter(F.col("members") > SMALL).select(F.col("main").alias("family"), "doc_id", "component").distinct())
             if not large.isEmpty():
-                found = _family_pairs(large, documents, percent)
-                near = near.unionByName(found.join(_side(heads, "a"), "a").join(_side(heads, "b"), "b").filter(_may_link(percent)).select("a", "b"))
+                found = _family_links(large, tested, links, heads, documents, percent)
+                links, tested = links.unionByName(found[0]), tested.unionByName(found[1])
         near = gathered(near.distinct().join(tested, ["a", "b"], "left_anti"))
         links = links.unionByName(_confirmed(near, documents, percent))
         tested = tested.unionByName(near)

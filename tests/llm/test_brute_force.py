@@ -153,16 +153,59 @@ def test_large_buckets_lose_no_link(spark, families, monkeypatch, drawn):
     assert got == near_groups(families)
 
 
-def test_family_pairs_are_few_and_hold_all_links(spark, families):
-    members = spark.createDataFrame([(0, k, k) for k in families], "family long, doc_id long, component long")
-    pairs = {(r.a, r.b) for r in minhash._family_pairs(members, spark.createDataFrame(list(families.items()), "doc_id long, text string"), 75).collect()}
+def family_links(spark, texts, monkeypatch):
+    """Links found between members of one family, each a component of its own, and the pairs that each join makes."""
+    made, join = [], minhash._key_pairs
+    monkeypatch.setattr(minhash, "_key_pairs", lambda *x: (made.append((out := join(*x)).count()), out)[1])
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    heads = documents.mapInArrow(minhash._signatures, "doc_id long, n_shingles long, one long, two long, bands array<long>, packed array<long>")
+    members, none = spark.createDataFrame([(0, k, k) for k in texts], "family long, doc_id long, component long"), spark.createDataFrame([], "a long, b long")
+    links, tested = minhash._family_links(members, none, none, heads, documents, 75)
+    return {(r.a, r.b) for r in links.collect()}, tested.count(), made
+
+
+def joined(links, nodes):
+    label = {k: k for k in nodes}
+    for a, b in sorted(links):
+        x, y = label[a], label[b]
+        if x != y:
+            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    return label
+
+
+def test_family_links_join_all_components(spark, families, monkeypatch):
+    links, _, _ = family_links(spark, families, monkeypatch)
     sets = {k: shingle_set(t) for k, t in families.items()}
-    linked = {k: k for k in families}
-    for a, b in sorted(pairs):
-        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-            x, y = linked[a], linked[b]
-            linked = {k: min(x, y) if v in (x, y) else v for k, v in linked.items()}
-    assert linked == near_groups(families) and len(pairs) < len(families) ** 2 / 20
+    assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in links)
+    assert joined(links, families) == near_groups(families)
+
+
+def star(n, edits, seed=1):
+    """Documents of 100 words, each with `edits` own words in a common base."""
+    rng, out = random.Random(seed), {}
+    for d in range(n):
+        words = [f"b{k}" for k in range(100)]
+        for j in rng.sample(range(100), edits):
+            words[j] = f"o{d}_{j}"
+        out[d] = " ".join(words)
+    return out
+
+
+def test_family_pairs_grow_with_the_members(spark, monkeypatch):
+    rows = []
+    for n in (250, 1000):
+        texts = star(n, 2)
+        links, tested, made = family_links(spark, texts, monkeypatch)
+        monkeypatch.undo()
+        rows.append(tested + sum(made))
+        assert joined(links, texts) == near_groups(texts) if n == 250 else tested >= len(links) >= n - 1
+    assert rows[1] <= 5 * rows[0]
+
+
+def test_families_with_few_links_make_few_pairs(spark, monkeypatch):
+    texts = star(300, 3)
+    links, tested, made = family_links(spark, texts, monkeypatch)
+    assert joined(links, texts) == near_groups(texts) and sum(made) < 300**2 / 50
 
 
 # op3 and op4
