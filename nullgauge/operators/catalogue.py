@@ -18,12 +18,25 @@ def entity_contract(scores: DataFrame) -> DataFrame:
     return row.select(F.explode(pairs).alias("x")).select("x.*")
 
 
+# Classes of variant notations, the notation that tells each, and its pattern; the first that holds counts.
+CONSEQUENCES = [
+    ("frameshift", "protein", "fs"),
+    ("nonsense", "protein", r"Ter|\*$|p\.[^*]{0,11}\*"),
+    ("splice region", "coding", r"(?i:splice)|c\.[-0-9_+*]+[+-][0-9]"),
+    ("indel", "coding", "del.*ins|ins.*del"),
+    ("duplication", "coding", "dup"),
+    ("deletion", "coding", "del"),
+    ("insertion", "coding", "ins"),
+    ("missense", "protein", r"p\.\(?[A-Z][a-z]{2}[0-9]+[A-Z][a-z]{2}\)?"),
+    ("synonymous", "protein", r"p\.\(=\)|p\.="),
+]
+
+
 def consequence(coding: Column, protein: Column) -> Column:
-    """Class of a variant from its protein notation, or from its coding one where that says nothing."""
-    return (
-        F.when(protein.contains("fs"), "frameshift").when(protein.contains("Ter") | protein.contains("*"), "nonsense").when(protein.contains("="), "synonymous").when(protein.rlike("(del|dup|ins)"), "in-frame indel")
-        .when(protein.rlike(r"^p\.\(?[A-Z][a-z]{2}[0-9]+[A-Z][a-z]{2}\)?$"), "missense").when(coding.rlike("[0-9][+-][12][^0-9]"), "splice").when(coding.rlike("(del|dup|ins)"), "indel").otherwise("other")
-    )
+    """Class of a variant by the rule table; a missing notation meets no rule of its own."""
+    notation = {"coding": coding, "protein": protein}
+    met = F.array(*[F.when(notation[side].rlike(pattern), F.lit(name)) for name, side, pattern in CONSEQUENCES])
+    return F.coalesce(F.get(F.array_compact(met), F.lit(0)), F.lit("unclassified"))
 
 
 def coding_position(coding: Column) -> Column:

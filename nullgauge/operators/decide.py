@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,25 +58,6 @@ def balanced_pairs(candidates: DataFrame, budget: int, cap: int) -> DataFrame:
     return state.filter("state = 1").orderBy("order").limit(budget).select("a", "b", "score")
 
 
-def design_report(pairs: DataFrame, least: int = 3, ridge: float = 1e-3) -> DataFrame:
-    """One row for a chosen design (a, b): measurements, entities, largest share, fewest appearances, estimable, a_score
-    (mean variance), d_logdet. Only the entity-by-entity counts of the budgeted design come to the driver."""
-    spark = pairs.sparkSession
-    n = pairs.count()
-    seen = pairs.select(F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
-    counts = {x.entity: x.n for x in seen.collect()}
-    place = {e: k for k, e in enumerate(sorted(counts))}
-    x = np.zeros((len(place), len(place)))
-    for e, c in counts.items():
-        x[place[e], place[e]] = c
-    for p in pairs.groupBy("a", "b").count().collect():
-        x[place[p.a], place[p.b]] += p["count"]
-        x[place[p.b], place[p.a]] += p["count"]
-    x += ridge * np.eye(len(place))
-    row = (n, len(counts), max(counts.values()) / n, min(counts.values()), sum(c >= least for c in counts.values()), float(np.trace(np.linalg.inv(x)) / len(place)), float(np.linalg.slogdet(x)[1]))
-    return spark.createDataFrame([row], "measurements long, entities long, max_share double, min_appearances long, estimable long, a_score double, d_logdet double")
-
-
 def split_budget(candidates: DataFrame, budget: int, seed: str) -> DataFrame:
     """(a, b, score, place, half): the best `budget` pairs in two disjoint halves, dealt by hash."""
     from .draws import u32

@@ -61,8 +61,3 @@ def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
 def replicates(df: DataFrame, n: int, name: str = "rep") -> DataFrame:
     """Each row n times, numbered 0 .. n - 1."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-
-def shuffled_rank(seed, rep: Column, *ids: str, within: tuple[str, ...] = ()) -> Column:
-    """A permutation of the rows of each replicate (and group): rank by md5 of seed, replicate and key."""
-    return F.row_number().over(Window.partitionBy(rep, *within).orderBy(F.md5(key(seed, rep, *map(F.col, ids)).cast("binary")), *ids))

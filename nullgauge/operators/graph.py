@@ -75,16 +75,21 @@ def modularity(edges: DataFrame, labels: DataFrame, label: str = "label") -> Dat
     return inside.crossJoin(expected).select((F.coalesce("own", F.lit(0)) / F.col("m") - F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5, seed: str = "lpa") -> DataFrame:
-    """(node, label): each round a node takes its neighbours' heaviest label, ties by hash, in hash-parity halves."""
+def label_propagation(edges: DataFrame, rounds: int = 50, seed: str = "lpa") -> DataFrame:
+    """(node, label): a node takes its neighbours' heaviest label, its own one where that is as heavy as any, other ties
+    by hash; in rounds that move a hash-drawn half, until no node wants another label (or after so many rounds)."""
     around = saved(both_ways(edges))
     labels = around.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for turn in range(rounds):
-        votes = around.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy(F.col("src").alias("node")).agg(F.max_by("label", F.struct(F.col("w"), F.md5(key(seed, turn, F.col("label")).cast("binary")), F.col("label"))).alias("heaviest"))
-        moves = F.pmod(F.xxhash64(F.col("node")), F.lit(2)) == turn % 2
-        labels = saved(labels.join(best, "node").select("node", F.when(moves, F.col("heaviest")).otherwise(F.col("label")).alias("label")))
-    return labels
+        votes = around.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("w"))
+        votes = votes.join(labels.withColumnRenamed("label", "now"), "node")
+        order = F.struct(F.col("w"), (F.col("label") == F.col("now")).cast("int"), F.md5(key(seed, F.col("label")).cast("binary")), F.col("label"))
+        best = saved(votes.groupBy("node").agg(F.max_by("label", order).alias("heaviest"), F.first("now").alias("label")))
+        if best.filter("heaviest != label").isEmpty():
+            break
+        moves = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        labels = best.select("node", F.when(moves, F.col("heaviest")).otherwise(F.col("label")).alias("label"))
+    return saved(labels)
 
 
 def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -151,31 +156,6 @@ def disconnected_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return pieces.groupBy("label").agg(F.count("*").alias("size"), F.count_distinct("piece").alias("pieces"))
 
 
-def local_moves(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 2, seed: str = "move") -> DataFrame:
-    """(node, label): Louvain-type communities. In each round nodes of one hash parity move to the neighbouring label of
-    the largest gain in modularity at the resolution; then labels become nodes and the same is done again."""
-    total = edges.agg(F.sum("w").cast("double")).first()[0] or 1.0
-    around = saved(both_ways(edges).select("src", "dst", F.col("w").cast("double").alias("w")))
-    owner, graph_now = None, around
-    for level in range(levels):
-        strength = saved(graph_now.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
-        labels = strength.select("node", F.col("node").alias("label"))
-        for turn in range(rounds):
-            weight = labels.join(strength, "node").groupBy("label").agg(F.sum("k").alias("k_label"))
-            votes = graph_now.filter("src != dst").join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("to"))
-            own = labels.select("node", "label", F.lit(0.0).alias("to"))
-            options = votes.unionByName(own).groupBy("node", "label").agg(F.sum("to").alias("to")).join(weight, "label").join(strength, "node").join(labels.withColumnRenamed("label", "now"), "node")
-            rest = F.col("k_label") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
-            gain = F.col("to") - resolution * F.col("k") * rest / (2 * total)
-            best = options.groupBy("node").agg(F.max_by("label", F.struct(F.round(gain, 9), (F.col("label") == F.col("now")).cast("int"), -F.col("label"))).alias("best"))
-            moves = F.pmod(F.xxhash64(F.col("node"), F.lit(f"{seed}:{level}")), F.lit(2)) == turn % 2
-            labels = saved(labels.join(best, "node").select("node", F.when(moves, F.col("best")).otherwise(F.col("label")).alias("label")))
-        owner = labels if owner is None else saved(owner.withColumnRenamed("label", "via").join(labels.select(F.col("node").alias("via"), "label"), "via").select("node", "label"))
-        contracted = graph_now.join(labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
-        graph_now = saved(contracted.groupBy(F.col("ls").alias("src"), F.col("ld").alias("dst")).agg(F.sum("w").alias("w")))
-    return owner
-
-
 def agreement(edges: DataFrame, partitions: DataFrame) -> DataFrame:
     """(src, dst, w): the share of partitions (run, node, label) in which an edge's ends have one label."""
     runs = partitions.select("run").distinct().count()

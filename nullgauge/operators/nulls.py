@@ -165,15 +165,15 @@ def equal_count_null(members: DataFrame, entity: str, group: str, values: DataFr
     return scored.groupBy("n").agg(F.count("*").alias("draws"), F.avg("score").alias("null_mean"), F.stddev_samp("score").alias("null_sd")).filter(F.col("draws") >= least)
 
 
-def flipped_directions(edges: DataFrame, seed: str, rep: Column) -> DataFrame:
-    """Directed edges (src, dst, w) with the antisymmetric part of each pair's weights turned or not by hash.
+def flipped_directions(edges: DataFrame, seed: str, reps: int) -> DataFrame:
+    """(rep, src, dst, w): directed edges with the antisymmetric part of each pair's weights turned or not by hash.
 
     w = s + a; both directions of a pair get the same turn, a missing direction counts as 0.
     """
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("w_back"))
-    both = edges.join(back, ["src", "dst"], "full").fillna(0.0, ["w", "w_back"])
-    turn = F.when(u32(seed, rep, F.least("src", "dst"), F.greatest("src", "dst")) % 2 == 0, 1).otherwise(-1)
-    return both.select("src", "dst", ((F.col("w") + F.col("w_back")) / 2 + turn * (F.col("w") - F.col("w_back")) / 2).alias("w"))
+    both = replicates(edges.join(back, ["src", "dst"], "full").fillna(0.0, ["w", "w_back"]), reps)
+    turn = F.when(u32(seed, F.col("rep"), F.least("src", "dst"), F.greatest("src", "dst")) % 2 == 0, 1).otherwise(-1)
+    return both.select("rep", "src", "dst", ((F.col("w") + F.col("w_back")) / 2 + turn * (F.col("w") - F.col("w_back")) / 2).alias("w"))
 
 
 def scatter_null(counts: DataFrame, bins: int, width: int, draws: int, seed: str) -> DataFrame:

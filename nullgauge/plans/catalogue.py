@@ -20,18 +20,22 @@ def o020_entity_contract(t: Tables) -> DataFrame:
     return catalogue.entity_contract(s)
 
 
-_NOTATION = """WITH x AS (SELECT l_orderkey, l_linenumber, 'c.' || CAST(l_quantity AS INT) || CASE CAST(l_linenumber AS INT) % 4 WHEN 0 THEN 'del' WHEN 1 THEN 'A>G' WHEN 2 THEN '+1G>A' ELSE 'dup' END AS coding,
-  CASE CAST(l_quantity AS INT) % 6 WHEN 0 THEN 'p.(=)' WHEN 1 THEN 'p.Arg' || CAST(l_quantity AS INT) || 'Ter' WHEN 2 THEN 'p.Gly7fs' WHEN 3 THEN 'p.Ala5Val' WHEN 4 THEN 'p.Lys3del' END AS protein FROM lineitem)"""
+_NOTATION = """WITH x AS (SELECT l_orderkey, l_linenumber, 'c.' || CAST(l_quantity AS INT) || CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN 'del' WHEN 1 THEN 'A>G' WHEN 2 THEN '+1G>A' WHEN 3 THEN 'dup' WHEN 4 THEN '_9delinsAT' WHEN 5 THEN '_8insT' ELSE 'C>T' END AS coding,
+  CASE CAST(l_quantity AS INT) % 6 WHEN 0 THEN 'p.(=)' WHEN 1 THEN 'p.Arg' || CAST(l_quantity AS INT) || 'Ter' WHEN 2 THEN 'p.Gly7fs' WHEN 3 THEN 'p.(Ala5Val)' WHEN 4 THEN 'p.Lys3*' END AS protein FROM lineitem)"""
 
 
-@query(_NOTATION + """ SELECT CASE WHEN protein LIKE '%fs%' THEN 'frameshift' WHEN protein LIKE '%Ter%' OR protein LIKE '%*%' THEN 'nonsense' WHEN protein LIKE '%=%' THEN 'synonymous' WHEN regexp_matches(protein, '(del|dup|ins)') THEN 'in-frame indel' WHEN regexp_matches(protein, '^p\\.\\(?[A-Z][a-z]{2}[0-9]+[A-Z][a-z]{2}\\)?$') THEN 'missense'
-  WHEN regexp_matches(coding, '[0-9][+-][12][^0-9]') THEN 'splice' WHEN regexp_matches(coding, '(del|dup|ins)') THEN 'indel' ELSE 'other' END AS consequence, count(*) AS n, CAST(min(CAST(regexp_extract(coding, '^c\\.([0-9]+)', 1) AS INT)) AS INT) AS first_position FROM x GROUP BY 1""")
+@query(_NOTATION + r""", y AS (SELECT *, coalesce(protein, '') AS p FROM x)
+SELECT CASE WHEN p LIKE '%fs%' THEN 'frameshift' WHEN p LIKE '%Ter%' OR p LIKE '%*' THEN 'nonsense' WHEN regexp_matches(coding, 'c\.[0-9]+[+-][0-9]') THEN 'splice region' WHEN coding LIKE '%delins%' THEN 'indel' WHEN coding LIKE '%dup%' THEN 'duplication' WHEN coding LIKE '%del%' THEN 'deletion'
+  WHEN coding LIKE '%ins%' THEN 'insertion' WHEN p LIKE 'p.(Ala5Val)' THEN 'missense' WHEN p LIKE '%(=)%' THEN 'synonymous' ELSE 'unclassified' END AS consequence, count(*) AS n, CAST(min(CAST(regexp_extract(coding, '^c\.([0-9]+)', 1) AS INT)) AS INT) AS first_position FROM y GROUP BY 1""".replace("\\\\", "\\"))
 def o028_consequences(t: Tables) -> DataFrame:
     """Consequences of variants from a coding and a protein notation, made from lines."""
-    q, k = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 4
-    coding = F.concat(F.lit("c."), q.cast("string"), F.when(k == 0, "del").when(k == 1, "A>G").when(k == 2, "+1G>A").otherwise("dup"))
-    m = q % 6
-    protein = F.when(m == 0, "p.(=)").when(m == 1, F.concat(F.lit("p.Arg"), q.cast("string"), F.lit("Ter"))).when(m == 2, "p.Gly7fs").when(m == 3, "p.Ala5Val").when(m == 4, "p.Lys3del")
+    q = F.col("l_quantity").cast("int")
+
+    def one_of(number, *texts):
+        return F.get(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in texts]), number.cast("int"))
+
+    coding = F.concat(F.lit("c."), q.cast("string"), one_of((F.col("l_orderkey") + F.col("l_linenumber")) % 7, "del", "A>G", "+1G>A", "dup", "_9delinsAT", "_8insT", "C>T"))
+    protein = one_of(q % 6, "p.(=)", F.concat(F.lit("p.Arg"), q.cast("string"), F.lit("Ter")), "p.Gly7fs", "p.(Ala5Val)", "p.Lys3*")
     x = t.lineitem.select(coding.alias("coding"), protein.alias("protein"))
     return x.groupBy(catalogue.consequence(F.col("coding"), F.col("protein")).alias("consequence")).agg(F.count("*").alias("n"), F.min(catalogue.coding_position(F.col("coding"))).alias("first_position"))
 
@@ -180,14 +184,6 @@ def o170_binned_matrix(t: Tables) -> DataFrame:
     return binned_matrix(long, "label", "column", "x", 8, 0.1).withColumn("shade", r("shade"))
 
 
-@query("SELECT id, declared, used, declared = used AS holds, pre_registered AND contact AS broken FROM (VALUES ('alpha', 0.05, 0.05, true, false), ('floor', 0.5, 0.4, false, true), ('share', 0.25, 0.25, true, true)) v(id, declared, used, pre_registered, contact) WHERE (SELECT count(*) FROM orders) > 0")
-def o183_thresholds(t: Tables) -> DataFrame:
-    """Declared thresholds against those that the orders' report used."""
-    rows = t._spark.createDataFrame([("alpha", 0.05, True, False), ("floor", 0.5, False, True), ("share", 0.25, True, True)], "id string, declared double, pre_registered boolean, contact boolean")
-    used = t.orders.limit(1).select(F.explode(F.map_from_arrays(F.array(F.lit("alpha"), F.lit("floor"), F.lit("share")), F.array(F.lit(0.05), F.lit(0.4), F.lit(0.25)))).alias("id", "used"))
-    return catalogue.threshold_check(rows, used)
-
-
 @query("""WITH v AS (SELECT l_partkey AS k, count(*) AS lines, count(DISTINCT l_suppkey) AS suppliers, avg(l_discount) AS discount FROM lineitem GROUP BY 1), o AS (SELECT l_partkey AS k, count(DISTINCT o_custkey) AS buyers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT p_partkey, p_brand, lines, suppliers, round(discount, 6) AS discount, buyers, (lines IS NOT NULL)::INT + (buyers IS NOT NULL)::INT AS layers FROM part LEFT JOIN v ON v.k = p_partkey LEFT JOIN o ON o.k = p_partkey""")
 def r26_part_records(t: Tables) -> DataFrame:

@@ -67,12 +67,6 @@ def o177_top_pairs(t: Tables) -> DataFrame:
     return _pairs(t).orderBy(F.desc("score"), "a", "b").limit(50).withColumn("score", r("score", 2))
 
 
-@query()
-def o178_design_report(t: Tables) -> DataFrame:
-    """Diagnosis of the balanced design."""
-    return decide.design_report(decide.balanced_pairs(_pairs(t), 60, 2))
-
-
 @query("SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', o_custkey, o_orderkey, o_orderpriority, o_orderstatus)), 1, 13) AS BIGINT)) AS VARCHAR) AS hash FROM orders")
 def o181_fingerprint_rows(t: Tables) -> DataFrame:
     """The fingerprint of the orders, the same in another order and partitioning."""

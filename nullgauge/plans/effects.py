@@ -112,10 +112,7 @@ SELECT src, round(max(x.w), 4) AS observed, round(avg(o.w), 4) AS null_mean, rou
 def o117_direction_flip(t: Tables) -> DataFrame:
     """What customers of a nation take, against flows whose directions are turned by hash."""
     e = saved(_flows(t))
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("v"))
-    many = replicates(e.join(back, ["src", "dst"], "full").fillna(0.0, ["w", "v"]), 10)
-    turn = F.when(u32("turn", F.col("rep"), F.least("src", "dst"), F.greatest("src", "dst")) % 2 == 0, 1).otherwise(-1)
-    null = many.withColumn("w", (F.col("w") + F.col("v")) / 2 + turn * (F.col("w") - F.col("v")) / 2).groupBy("rep", "src").agg(F.sum("w").alias("w"))
+    null = nulls.flipped_directions(e, "turn", 10).groupBy("rep", "src").agg(F.sum("w").alias("w"))
     out = null.join(e.groupBy("src").agg(F.sum("w").alias("observed")), "src")
     return out.groupBy("src").agg(r(F.max("observed"), 4).alias("observed"), r(F.avg("w"), 4).alias("null_mean"), r(F.stddev_samp("w"), 4).alias("null_sd"))
 
