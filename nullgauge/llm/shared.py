@@ -15,7 +15,7 @@ BROADCAST_ROWS = 1_000_000
 #: Narrow rows that one task may read.
 TASK_ROWS = 200_000
 #: Text bytes that one numpy step works on; a longer single text makes a step of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 750_000
 
 
 def use_checkpoints(spark: SparkSession) -> str:
