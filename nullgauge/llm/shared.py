@@ -81,6 +81,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
         yield batch.slice(low, high - low)
         low = high
+    # a worker is reused by later stages, which shouldn't find its memory taken by buffers of this one
+    pa.default_memory_pool().release_unused()
 
 
 def per_doc(values: np.ndarray, at: np.ndarray) -> np.ndarray:
