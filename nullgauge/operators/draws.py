@@ -32,6 +32,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table in the session's shared folder. Unlike a checkpoint it carries none of the plan's constraints on, which
+    double from round to round where a column takes one of two others."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def key(*parts) -> Column:
     """Parts joined by colons; plain values are literals."""
     return F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])

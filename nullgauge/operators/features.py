@@ -43,6 +43,48 @@ def exact_neighbours(rows: DataFrame, queries: DataFrame, k: int, block: int = 2
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")
 
 
+def trustworthiness(full: DataFrame, reduced: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """(query_id, shared, penalty, trust) of a stated query set (vec_id): how many of the k nearest rows of the reduced
+    space are among those of the full one, by how many ranks the others are further off there, and 1 - the penalty as a
+    share of the largest one. full, reduced: (vec_id, embedding) of the same ids.
+
+    Blocks of rows count, for each neighbour to be ranked, the rows that are nearer in the full space; only counts leave
+    a block. Distances are compared to nine places, ties go to the smaller id. With fewer than 3 * k + 2 rows trust is
+    null.
+    """
+    from .draws import saved
+
+    n_rows, ids = full.count(), saved(queries.select("vec_id").distinct())
+    found = exact_neighbours(reduced.select("vec_id", "embedding"), reduced.join(ids, "vec_id", "left_semi").select(*[F.col(c).alias(c) for c in ("vec_id", "embedding")]), k, block)
+    named = found.join(full.select("vec_id", F.col("embedding").alias("there")), "vec_id").groupBy(F.col("query_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "there"))).alias("near"))
+    asked = saved(named.join(full.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id"))
+    rb, qb = max(1, -(-n_rows // block)), max(1, -(-asked.count() // block))
+    left = full.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(rb)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"))
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rb - 1).cast("long")))
+    near, there = F.transform("near", lambda x: x["vec_id"]), F.flatten(F.transform("near", lambda x: x["there"]))
+    right = asked.select("query_id", F.col("embedding").alias("embedding"), near.alias("near"), there.alias("there"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("q"), spread.alias("r"))
+
+    def nearer(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "place": pd.Series(dtype="int32"), "closer": pd.Series(dtype="int64")})
+        x, ids = np.stack(a.embedding.to_numpy()).astype(float), a.vec_id.to_numpy()
+        out = []
+        for row in b.itertuples():
+            v = np.asarray(row.embedding, dtype=float)
+            d = np.round(((x - v) ** 2).sum(1), 9)
+            at = np.round(((np.asarray(row.there, dtype=float).reshape(len(row.near), -1) - v) ** 2).sum(1), 9)
+            other = ids != row.query_id
+            closer = [int((other & ((d < far) | ((d == far) & (ids < name)))).sum()) for far, name in zip(at, row.near, strict=True)]
+            out.append(pd.DataFrame({"query_id": row.query_id, "place": np.arange(len(closer), dtype="int32"), "closer": closer}))
+        return pd.concat(out)
+
+    counts = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(nearer, "query_id long, place int, closer long")
+    ranks = counts.groupBy("query_id", "place").agg((F.sum("closer") + 1).alias("rank"))
+    each = ranks.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("shared"), F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias("penalty"))
+    most = k * (2 * n_rows - 3 * k - 1)
+    return each.withColumn("trust", 1 - 2 * F.col("penalty") / F.lit(float(most)) if n_rows >= 3 * k + 2 else F.lit(None).cast("double"))
+
+
 def binned_matrix(long: DataFrame, row: str, column: str, value: str, width: int, most: float) -> DataFrame:
     """(row, bin, shade): columns in order of their medians, `width` of them a bin, and medians clipped to +-most."""
     from .draws import numbered

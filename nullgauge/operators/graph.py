@@ -228,3 +228,74 @@ def rewired(edges: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
     ends = saved(ends.filter("stubs = 2"))
     kept = ends.filter("src != dst").groupBy("src", "dst").agg(F.lit(1).alias("w"))
     return kept, ends.agg(F.count("*").alias("drawn")).crossJoin(kept.agg(F.count("*").alias("kept"))).withColumn("lost", F.col("drawn") - F.col("kept"))
+
+
+def _kept(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A simple graph (src, dst, w = 1) of drawn ends, and a row (drawn, loops, doubles, kept)."""
+    ends = saved(ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+    kept = ends.filter("src != dst").groupBy("src", "dst").agg(F.lit(1).alias("w"))
+    counts = ends.agg(F.count("*").alias("drawn"), F.count_if(F.col("src") == F.col("dst")).alias("loops")).crossJoin(kept.agg(F.count("*").alias("kept")))
+    return kept, counts.select("drawn", "loops", (F.col("drawn") - F.col("loops") - F.col("kept")).alias("doubles"), "kept")
+
+
+def expected_degrees(edges: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """A graph whose nodes have their degrees in expectation, and a row (drawn, loops, doubles, kept).
+
+    As many edges as there are take both ends at random places of the nodes' cumulative degrees. A place is a row, so a
+    node of many edges is no single key.
+    """
+    from .draws import numbered, u32
+
+    stubs = degrees(edges).select("node", F.explode(F.sequence(F.lit(1), F.col("degree").cast("int"))).alias("stub"))
+    places = saved(numbered(stubs, "node", "stub").select("pos", "node"))
+    n = places.count()
+    drawn = places.filter("pos % 2 = 0").select(F.floor(F.col("pos") / 2).alias("edge"))
+    drawn = drawn.select("edge", *[(u32(seed, side, F.col("edge")) % F.lit(max(n, 1))).alias(side) for side in ("a", "b")])
+    first = drawn.join(places.select(F.col("pos").alias("a"), F.col("node").alias("src")), "a")
+    return _kept(first.join(places.select(F.col("pos").alias("b"), F.col("node").alias("dst")), "b"))
+
+
+def permuted_ends(edges: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The graph after its far ends are permuted over all edges and both directions made one, and a row (drawn, loops,
+    doubles, kept). Before loops and doubles go, every node is as often a near end and as often a far end as it was."""
+    from .draws import numbered
+
+    near = numbered(edges.select("src", "dst"), "src", "dst").select("pos", "src")
+    mixed = edges.select("src", "dst").withColumn("_h", F.md5(key(seed, F.col("src"), F.col("dst")).cast("binary")))
+    return _kept(near.join(numbered(mixed, "_h", "src", "dst").select("pos", "dst"), "pos"))
+
+
+def meeting_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, weight: float = 0.45, most: int = 6, salts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(source, hops, paths, score) as `path_sums` gives for up to `most` hops, hops being the fewest, and the sizes of
+    what was kept: (side, length, rows).
+
+    A path of k hops is a half of ceil(k / 2) hops from its source and one of floor(k / 2) hops back from its target
+    that meet in one node and share no other. Only halves are stored; whole paths are counted as they are joined. Nodes
+    after the source and before the target aren't targets. A meeting node's halves are dealt to `salts` keys.
+    """
+    ends = saved(targets.select("node").distinct())
+    ahead, back = saved(edges.select("src", "dst").distinct()), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+
+    def grow(front: DataFrame, along: DataFrame) -> DataFrame:
+        return saved(front.withColumnRenamed("at", "src").join(along, "src").filter(~F.array_contains("path", F.col("dst"))).select("end", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")))
+
+    forward = {0: sources.select(F.col("node").alias("end"), F.array("node").alias("path"), F.col("node").alias("at")).distinct()}
+    backward = {0: ends.select(F.col("node").alias("end"), F.array("node").alias("path"), F.col("node").alias("at"))}
+    sizes, hits = [], None
+    for k in range(1, most + 1):
+        f, b = -(-k // 2), k // 2
+        if f not in forward:
+            # a half that stands on a target is a whole path of one hop or none at all
+            front = forward[f - 1].join(ends.withColumnRenamed("node", "at"), "at", "left_anti").select("end", "path", "at") if f > 1 else forward[0]
+            forward[f] = grow(front, ahead)
+            sizes.append(("forward", f, forward[f].count()))
+        if b and b not in backward:
+            backward[b] = saved(grow(backward[b - 1], back).join(ends.withColumnRenamed("node", "at"), "at", "left_anti").select("end", "path", "at"))
+            sizes.append(("backward", b, backward[b].count()))
+        left = forward[f].withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
+        right = backward[b].select(F.col("path").alias("_back"), "at", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        met = left.join(right, ["at", "_salt"]).filter(F.size(F.array_intersect("path", "_back")) == 1)
+        counted = saved(met.groupBy(F.col("end").alias("source")).agg(F.count("*").alias("paths")).withColumn("length", F.lit(k)))
+        hits = counted if hits is None else hits.unionByName(counted)
+    found = hits.groupBy("source").agg(F.min("length").alias("hops"), F.sum("paths").alias("paths"), F.sum(F.col("paths") * F.pow(F.lit(weight), F.col("length"))).alias("score"))
+    return found, edges.sparkSession.createDataFrame(sizes, "side string, length int, rows long")

@@ -65,6 +65,26 @@ def fit_null(control: DataFrame, value: str, order: tuple[str, ...], grid: DataF
     return each.groupBy("n").agg(F.avg("stat").alias("null_mean"), F.stddev_samp("stat").alias("null_sd"), F.percentile("stat", 0.95).alias("p95"), F.percentile("stat", 0.99).alias("p99"))
 
 
+def fit_top_null(control: DataFrame, value: str, order: tuple[str, ...], grid: DataFrame, top: int = 3, draws: int = 4000, seed: str = "top", least_rows: int = 50) -> DataFrame:
+    """(n, null_mean, null_sd, p95, p99) of the mean of the `top` largest of n values drawn with replacement.
+
+    The largest of n uniform draws is distributed as V ** (1 / n), the next one as that times V ** (1 / (n - 1)), and so
+    on; so a draw looks up `top` places of the sorted pool instead of n, and thousands of draws cost the same at any n.
+    Nulls of the value are left out; with n under `top` all n values are averaged. Refuses pools under `least_rows`.
+    """
+    pool = numbered(control.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_value"), *order), "_value", *order)
+    size = pool.agg(F.count("*").alias("pool")).first()["pool"]
+    if size < least_rows:
+        raise ValueError(f"{size} control rows are too few for a null; at least {least_rows} are needed")
+    steps = F.explode(F.sequence(F.lit(1), F.least(F.lit(top), F.col("n")).cast("int")))
+    slots = replicates(grid.select("n").filter("n >= 1"), draws, "draw").withColumn("slot", steps)
+    share = F.ln((u32(seed, F.col("n"), F.col("draw"), F.col("slot")) + 0.5) / F.lit(2.0**32)) / (F.col("n") - F.col("slot") + 1)
+    place = F.exp(F.sum(share).over(Window.partitionBy("n", "draw").orderBy("slot")))
+    placed = slots.withColumn("pos", F.least(F.floor(place * size), F.lit(size - 1)))
+    each = placed.join(pool.select("pos", "_value"), "pos").groupBy("n", "draw").agg(F.avg("_value").alias("stat"))
+    return each.groupBy("n").agg(F.avg("stat").alias("null_mean"), F.stddev_samp("stat").alias("null_sd"), F.percentile("stat", 0.95).alias("p95"), F.percentile("stat", 0.99).alias("p99"))
+
+
 def calibrate(scored: DataFrame, null: DataFrame) -> DataFrame:
     """Adds null_mean, null_sd, clamped and z, interpolated in log n between the grid rows around n; z is null for sd 0."""
     ahead = Window.orderBy("n")  # the grid has a few rows
