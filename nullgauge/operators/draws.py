@@ -33,8 +33,8 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A table in the session's shared folder. Unlike a checkpoint it carries none of the plan's constraints on, which
-    double from round to round where a column takes one of two others."""
+    """A table in the session's shared folder, for loops: it carries nothing of the plan on (with checkpoints, rounds of
+    community moves were measured to take twice as long each time)."""
     path = scratch(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
