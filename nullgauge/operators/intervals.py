@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draws import replicates, u32
+from .draws import ranged_draws, replicates, u32
 
 Z95 = 1.959964
 
@@ -43,13 +43,17 @@ def bootstrap_means(df: DataFrame, by: str, ident: str, value: str, reps: int, s
 
 
 def cluster_bootstrap_mean(df: DataFrame, cluster: str, value: str, reps: int, seed: str) -> DataFrame:
-    """(clusters, point, se, p_lo, p_hi): whole clusters are drawn; only their sums and counts meet the draws."""
+    """(clusters, point, se, p_lo, p_hi): whole clusters are drawn; only their sums and counts meet the draws.
+
+    Draws are rows of a range and are shuffled to the clusters: exploded replicates of a small table look small to the
+    planner, which would send them through the driver, and stay in the small table's few tasks.
+    """
     from .draws import numbered
 
     sums = numbered(df.filter(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c")), cluster)
     size = sums.count()
-    drawn = replicates(sums.select(F.col("pos").alias("slot")), reps).withColumn("pos", u32(seed, F.col("rep"), F.col("slot")) % max(size, 1))
-    each = drawn.join(sums.select("pos", "s", "c"), "pos").groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+    drawn = ranged_draws(df.sparkSession, reps, size).withColumn("pos", u32(seed, F.col("rep"), F.col("slot")) % max(size, 1)).select("rep", "pos")
+    each = drawn.hint("merge").join(sums.select("pos", "s", "c"), "pos").groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("m"))
     spread = each.agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("p_lo"), F.percentile("m", 0.975).alias("p_hi"))
     return sums.agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("c")).alias("point")).crossJoin(spread)
 
