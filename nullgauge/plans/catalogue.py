@@ -51,7 +51,7 @@ def o065_weighted_share(t: Tables) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT l_partkey AS entity, l_returnflag AS kind, avg(l_extendedprice / l_quantity) AS v FROM lineitem GROUP BY 1, 2), p AS (SELECT entity, max(v) FILTER (kind = 'A') AS a, max(v) FILTER (kind = 'R') AS b, count(DISTINCT kind) AS kinds FROM x GROUP BY 1)
-SELECT entity, kinds > 1 AS mixed, round(greatest(a, b) / least(a, b), 4) AS fold, coalesce(greatest(a, b) / least(a, b) >= 2, false) AS apart FROM p""")
+SELECT entity, kinds > 1 AS mixed, round(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(a, b) / nullif(least(a, b), 0) END, 4) AS fold, coalesce(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(a, b) / nullif(least(a, b), 0) END >= 2, false) AS apart FROM p""")
 def o069_fold_flags(t: Tables) -> DataFrame:
     """Parts whose unit price in returned and accepted lines differs twofold, and parts of several kinds."""
     x = t.lineitem.groupBy(F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("kind")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))

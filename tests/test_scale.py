@@ -1,8 +1,10 @@
 """Queries keep replicated and paired rows off the driver and spread over tasks, whatever the planner thinks of sizes."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from nullgauge.operators import intervals
 
 
@@ -25,3 +27,26 @@ def test_cluster_bootstrap_sends_no_draws_to_the_driver(wide):
     assert "BroadcastHashJoin [pos" not in plan(b)
     x = b.first()
     assert x["clusters"] == 50 and x["point"] == 199.5 and x["p_lo"] < 199.5 < x["p_hi"]
+
+
+@pytest.fixture
+def against_sql(spark, tmp_path):
+    """Runs a query on small tables, each given as SQL, and returns its rows and those of its SQL."""
+
+    def run(name: str, **tables: str):
+        con = duckdb.connect()
+        for table, sql in tables.items():
+            con.execute(f"COPY ({sql}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+            con.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+        df = entry.queries()[name](spark, str(tmp_path))
+        cols = sorted(df.columns)
+        sql = con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
+        return sorted((tuple(x[c] for c in cols) for x in df.collect()), key=str), sorted(sql, key=str)
+
+    return run
+
+
+def test_fold_of_one_kind_alone_is_unknown_in_sql_too(against_sql):
+    lines = "SELECT * FROM (VALUES (1, 'A', 6.0, 2.0), (1, 'N', 5.0, 1.0), (2, 'A', 4.0, 1.0), (2, 'R', 1.0, 1.0)) v(l_partkey, l_returnflag, l_extendedprice, l_quantity)"
+    ours, sql = against_sql("o069_fold_flags", lineitem=lines.replace("(1, 'A'", "(1::BIGINT, 'A'"))
+    assert ours == sql == sorted([(False, 1, None, True), (True, 2, 4.0, True)], key=str)
