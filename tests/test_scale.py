@@ -50,3 +50,13 @@ def test_fold_of_one_kind_alone_is_unknown_in_sql_too(against_sql):
     lines = "SELECT * FROM (VALUES (1, 'A', 6.0, 2.0), (1, 'N', 5.0, 1.0), (2, 'A', 4.0, 1.0), (2, 'R', 1.0, 1.0)) v(l_partkey, l_returnflag, l_extendedprice, l_quantity)"
     ours, sql = against_sql("o069_fold_flags", lineitem=lines.replace("(1, 'A'", "(1::BIGINT, 'A'"))
     assert ours == sql == sorted([(False, 1, None, True), (True, 2, 4.0, True)], key=str)
+
+
+@pytest.mark.parametrize("name", ["o092_ranks", "o091_spearman"])
+def test_equal_means_are_ties_in_any_order_of_rows(against_sql, name):
+    rows = [(1, 0.1), (1, 0.2), (1, 0.3), (2, 0.3), (2, 0.2), (2, 0.1), (3, 5.0), (4, 0.2)]
+    orders = " UNION ALL ".join(f"SELECT {c}::BIGINT AS o_custkey, {v}::DOUBLE AS o_totalprice" for c, v in rows)
+    ours, sql = against_sql(name, orders=orders)
+    assert ours == sql
+    if name == "o092_ranks":
+        assert ours == sorted([(2.0, 1, 2, 3), (2.0, 2, 2, 3), (4.0, 3, 1, 1), (2.0, 4, 2, 1)], key=str)
