@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draws import key, numbered, replicates, u32
+from .draws import key, numbered, replicates, spread, u32
 
 
 def top_k_mean(value: str, k: int) -> Column:
@@ -101,17 +101,18 @@ def calibrate(scored: DataFrame, null: DataFrame) -> DataFrame:
     return out.withColumn("z", F.when(F.col("null_sd") > 0, (F.col("score") - F.col("null_mean")) / F.col("null_sd"))).drop("lo", "hi", "at", "n0", "n1", "m0", "m1", "s0", "s1")
 
 
-def label_permutations(df: DataFrame, ids: tuple[str, ...], label: str, reps: int, seed: str) -> DataFrame:
-    """rep, the id columns and a label permuted over the rows of each replicate.
+def label_permutations(df: DataFrame, ids: tuple[str, ...], label: str, reps: int, seed: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rep, the id columns, the columns to keep with them, and a label permuted over the rows of each replicate.
 
-    Rows are numbered once by their ids and once for all replicates by hash, both by ranges, and meet on the number.
+    Rows are numbered once by their ids and once for all replicates by hash, both by ranges, and meet on the number. The
+    planner takes the exploded replicates for a small table; the hint keeps both sides off the driver.
     """
-    rows = df.select(*ids, label)
-    targets = numbered(rows.select(*ids), *ids, name="_r")
+    rows = df.select(*ids, label, *keep)
+    targets = numbered(rows.select(*ids, *keep), *ids, name="_r")
     n = targets.count()
-    hashed = replicates(rows, reps).withColumn("_h", F.md5(key(seed, F.col("rep"), *map(F.col, ids)).cast("binary")))
+    hashed = replicates(spread(rows.select(*ids, label), n * reps), reps).withColumn("_h", F.md5(key(seed, F.col("rep"), *map(F.col, ids)).cast("binary")))
     sources = numbered(hashed, "rep", "_h", *ids, name="_p").select("rep", label, (F.col("_p") - F.col("rep") * n).alias("_r"))
-    return sources.join(targets, "_r").drop("_r")
+    return sources.hint("merge").join(targets, "_r").drop("_r")
 
 
 def fit_mean_null(control: DataFrame, ident: str, vector: str, counts: DataFrame, top: int = 3, draws: int = 200, seed: str = "mean", blocks: str | None = None, grid: list[int] | None = None, least_rows: int = 50, least_blocks: int = 20) -> DataFrame:
@@ -181,7 +182,7 @@ def equal_count_null(members: DataFrame, entity: str, group: str, values: DataFr
     """(n, draws, null_mean, null_sd): entities' values are permuted and groups scored again by their mean; scores are
     pooled over groups of the same number of members. Pools under `least` scores are left out."""
     many = label_permutations(values, (entity,), value, reps, seed)
-    scored = members.select(group, entity).distinct().join(many, entity).groupBy("rep", group).agg(F.avg(value).alias("score"), F.count("*").alias("n"))
+    scored = members.select(group, entity).distinct().hint("merge").join(many, entity).groupBy("rep", group).agg(F.avg(value).alias("score"), F.count("*").alias("n"))
     return scored.groupBy("n").agg(F.count("*").alias("draws"), F.avg("score").alias("null_mean"), F.stddev_samp("score").alias("null_sd")).filter(F.col("draws") >= least)
 
 

@@ -24,7 +24,7 @@ def r03_max_over_types(t: Tables) -> DataFrame:
     x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_partkey", "p_brand", "p_type").agg(F.percentile("l_discount", 0.5).alias("m"))
     x = saved(x)
     seen = x.groupBy("p_brand", "p_type").agg(F.avg("m").alias("s"), F.count("*").alias("n")).groupBy("p_brand").agg(F.max("s").alias("observed"), F.sum("n").alias("n"))
-    many = nulls.label_permutations(x, ("p_partkey",), "p_brand", 8, "drug").join(x.select("p_partkey", "p_type", "m"), "p_partkey")
+    many = nulls.label_permutations(x, ("p_partkey",), "p_brand", 8, "drug", keep=("p_type", "m"))
     each = many.groupBy("rep", "p_brand", "p_type").agg(F.avg("m").alias("s")).groupBy("rep", "p_brand").agg(F.max("s").alias("s"))
     out = seen.join(each, "p_brand").groupBy("p_brand", "n", "observed").agg(F.avg("s").alias("null_mean"), F.stddev_samp("s").alias("null_sd"), ((1 + F.count_if(F.col("s") >= F.col("observed") - 1e-12)) / 9.0).alias("p"))
     return out.select("p_brand", "n", *[r(c).alias(c) for c in ("observed", "null_mean", "null_sd", "p")])
@@ -88,10 +88,11 @@ _INFO = """WITH x AS (SELECT p_partkey AS e, p_brand, p_type, p_size // 10 AS ca
 def r15_excess_information(t: Tables) -> DataFrame:
     """Information between brands or types and size classes, over what permuted sizes give."""
     x = saved(t.part.select("p_partkey", "p_brand", "p_type", F.floor(F.col("p_size") / 10).alias("cat")))
-    many = nulls.label_permutations(x, ("p_partkey",), "cat", 6, "info")
-    cats = many.select("rep", "p_partkey", "cat").unionByName(x.select(F.lit(-1).alias("rep"), "p_partkey", "cat"))
-    scales = x.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.col(c).alias("f")) for n, c in (("brand", "p_brand"), ("type", "p_type"))])).alias("s")).select("p_partkey", "s.scale", "s.f")
-    m = tables.mutual_information(cats.join(scales, "p_partkey").withColumn("w", F.lit(1.0)), "f", "cat", "w", "rep", "scale")
+    many = nulls.label_permutations(x, ("p_partkey",), "cat", 6, "info", keep=("p_brand", "p_type"))
+    cats = many.select("rep", "p_brand", "p_type", "cat").unionByName(x.select(F.lit(-1).alias("rep"), "p_brand", "p_type", "cat"))
+    scales = F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.col(c).alias("f")) for n, c in (("brand", "p_brand"), ("type", "p_type"))])).alias("s")
+    counted = cats.groupBy("rep", "p_brand", "p_type", "cat").agg(F.count("*").cast("double").alias("w")).select("rep", "cat", "w", scales).select("rep", "cat", "w", "s.scale", "s.f")
+    m = tables.mutual_information(counted, "f", "cat", "w", "rep", "scale")
     real, null = F.max(F.when(F.col("rep") == -1, F.col("mi"))), F.when(F.col("rep") >= 0, F.col("mi"))
     out = m.groupBy("scale").agg(real.alias("mi"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("sd"))
     return out.select("scale", r("mi").alias("mi"), r("null_mean").alias("null_mean"), r(F.col("mi") - F.col("null_mean")).alias("excess"), r((F.col("mi") - F.col("null_mean")) / F.col("sd"), 4).alias("z"))
