@@ -80,6 +80,17 @@ def range_join(points: DataFrame, at: str, intervals: DataFrame, low: str, high:
     return p.join(i, "_b").filter(F.col(at).between(F.col(low), F.col(high))).drop("_b")
 
 
+def range_totals(points: DataFrame, at: str, value: str, intervals: DataFrame, low: str, high: str, width: int) -> DataFrame:
+    """(low, high, n, total) of the points inside each distinct closed interval, for those that hold any.
+
+    Points are summed by place and equal intervals are taken once before they meet, so no pair of a point and an interval
+    is a row; the join grows with places and intervals, not with their rows.
+    """
+    places = points.groupBy(at).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    met = range_join(places, at, intervals.select(low, high).distinct(), low, high, width)
+    return met.groupBy(low, high).agg(F.sum("_n").alias("n"), F.sum("_s").alias("total"))
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, carry: list[str]) -> DataFrame:
     """left with the latest earlier or equal row of right in the same group: a union and one window, no range join."""
     rows = left.select(by, at, F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*carry).alias("s")).schema["s"].dataType).alias("_right"), F.lit(1).alias("_side"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nullgauge.operators import intervals, nulls
+from nullgauge.operators import intervals, nulls, tables
 
 
 def plan(df) -> str:
@@ -76,3 +76,14 @@ def test_permuted_labels_plan_no_broadcast_by_number(wide):
     x = many.groupBy("rep", "arm").count().collect()
     assert len(x) == 12 and all(y["count"] == 100 for y in x)
     assert many.filter("v != id * 2").isEmpty()
+
+
+def test_range_join_makes_no_row_for_a_pair(spark, against_sql, tmp_path):
+    parts = "SELECT i AS p_partkey, CAST(i % 3 AS INT) AS p_size FROM range(40) t(i)"
+    orders = "SELECT CASE WHEN i % 9 = 8 THEN NULL ELSE (i % 60) * 500.25 END::DOUBLE AS o_totalprice FROM range(600) t(i)"
+    ours, sql = against_sql("o043_range_join", part=parts, orders=orders)
+    assert ours == sql and len(ours) == 40
+    points = spark.range(300).select((F.col("id") % 10).cast("int").alias("at"), F.lit(1.0).alias("v"))
+    spans = spark.range(50).select(F.lit(0).alias("lo"), F.lit(4).alias("hi"))
+    totals = tables.range_totals(points, "at", "v", spans, "lo", "hi", 10)
+    assert totals.collect() == [(0, 4, 150, 150.0)]
