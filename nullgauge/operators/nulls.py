@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draws import key, numbered, replicates, spread, u32
+from .draws import key, numbered, replicates, saved, spread, u32
 
 
 def top_k_mean(value: str, k: int) -> Column:
@@ -37,6 +37,12 @@ def default_grid(scored: DataFrame, points: int = 14) -> DataFrame:
     return spaced.union(ends.select("lo")).union(ends.select("hi")).distinct()
 
 
+def spanning_grid(grid: list[int], counts: DataFrame) -> list[int]:
+    """The grid, with the largest observed count (n) at its end where it stops short of it."""
+    most = counts.agg(F.max("n")).first()[0] or 0
+    return [*grid, int(most)] if most > max(grid) else list(grid)
+
+
 def fit_null(control: DataFrame, value: str, order: tuple[str, ...], grid: DataFrame, statistic: str, draws: int = 200, seed: str = "null", blocks: str | None = None, least_rows: int = 50, least_blocks: int = 20) -> DataFrame:
     """(n, null_mean, null_sd, p95, p99): n values drawn with replacement from the control pool, `draws` times for each n.
 
@@ -115,6 +121,22 @@ def label_permutations(df: DataFrame, ids: tuple[str, ...], label: str, reps: in
     return sources.hint("merge").join(targets, "_r").drop("_r")
 
 
+def random_subsets(df: DataFrame, ident: str, k: int, reps: int, seed: str) -> DataFrame:
+    """Rows with rep: the k rows of the smallest hashes in each replicate, all where there are fewer.
+
+    Only rows under a bound on the hash, 10 k of them expected in each replicate, are ranked; where some replicate has
+    fewer than k under it, all are. Sorting all replicates of all rows takes each task's memory.
+    """
+    n = df.count()
+    many = replicates(spread(df, n * reps), reps).withColumn("_h", F.md5(key(seed, F.col("rep"), F.col(ident)).cast("binary")))
+    if n > 10 * k:
+        under = saved(many.filter(F.col("_h") < F.lit(f"{10 * k * 16**12 // n:012x}")))
+        full = under.groupBy("rep").count().filter(F.col("count") >= k).count()
+        many = under if full == reps else many
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("_h", ident))
+    return many.withColumn("_k", place).filter(F.col("_k") <= k).drop("_k", "_h")
+
+
 def fit_mean_null(control: DataFrame, ident: str, vector: str, counts: DataFrame, top: int = 3, draws: int = 200, seed: str = "mean", blocks: str | None = None, grid: list[int] | None = None, least_rows: int = 50, least_blocks: int = 20) -> DataFrame:
     """(n, null_mean, null_sd, p95, p99): n control rows are drawn and averaged feature by feature; the statistic is the
     mean of the `top` largest feature means. counts (n): the observed counts, which the grid has to span.
@@ -140,7 +162,7 @@ def fit_mean_null(control: DataFrame, ident: str, vector: str, counts: DataFrame
     slots = replicates(steps, draws, "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     if blocks is None:
         numbers = numbered(pool.select(ident, vector), ident)
-        drawn = slots.withColumn("pos", u32(seed, F.col("n"), F.col("draw"), F.col("slot")) % facts["rows"]).join(numbers, "pos")
+        drawn = slots.withColumn("pos", u32(seed, F.col("n"), F.col("draw"), F.col("slot")) % facts["rows"]).hint("merge").join(numbers, "pos")
     else:
         inside = F.row_number().over(Window.partitionBy(blocks).orderBy(ident)) - 1
         numbers = pool.select(F.col(blocks).alias("block"), vector, inside.alias("pos"))

@@ -67,7 +67,7 @@ SELECT CAST(entity AS INT) AS entity, n, round(score, 6) AS score, round((score
 def r04_cell_screen(t: Tables) -> DataFrame:
     """Labels by their best three feature means, calibrated at their number of vectors by control labels."""
     scored = nulls.top_feature_scores(t.embeddings.filter("label > 3"), "label", "embedding", 64)
-    null = nulls.fit_mean_null(t.embeddings.filter("label <= 3"), "vec_id", "embedding", scored.select("n"), draws=20, seed="cells", grid=[1, 8, 512])
+    null = nulls.fit_mean_null(t.embeddings.filter("label <= 3"), "vec_id", "embedding", scored.select("n"), draws=20, seed="cells", grid=nulls.spanning_grid([1, 8, 512], scored.select("n")))
     z = nulls.calibrate(scored, saved(null))
     return z.select("entity", "n", r("score").alias("score"), r("z", 4).alias("z"))
 

@@ -87,3 +87,20 @@ def test_range_join_makes_no_row_for_a_pair(spark, against_sql, tmp_path):
     spans = spark.range(50).select(F.lit(0).alias("lo"), F.lit(4).alias("hi"))
     totals = tables.range_totals(points, "at", "v", spans, "lo", "hi", 10)
     assert totals.collect() == [(0, 4, 150, 150.0)]
+
+
+def test_cell_screen_takes_labels_of_more_rows_than_the_grid(spark, tmp_path):
+    rows = f"SELECT i AS vec_id, CASE WHEN i < 900 THEN 7 ELSE i % 6 END::INT AS label, list_transform(range(64), lambda k: ((i * 31 + k * 17) % 101)::FLOAT) AS embedding FROM range(1500) t(i)"
+    duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    x = {y["entity"]: y for y in entry.queries()["r04_cell_screen"](spark, str(tmp_path)).collect()}
+    assert x[7]["n"] == 900 and x[7]["z"] is not None and set(x) == {4, 5, 7}
+
+
+def test_random_subsets_rank_few_rows(spark, against_sql):
+    parts = "SELECT i AS p_partkey, (900 + i * 7 % 200 * 1.25)::DOUBLE AS p_retailprice FROM range(3000) t(i)"
+    ours, sql = against_sql("o112_random_subsets", part=parts)
+    assert ours == sql
+    ranked = nulls.random_subsets(spark.range(3000), "id", 40, 30, "sub")
+    assert ranked.groupBy("rep").count().filter("count = 40").count() == 30
+    # fewer rows than wanted: all of them
+    assert nulls.random_subsets(spark.range(30), "id", 40, 2, "sub").count() == 60
