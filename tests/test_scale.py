@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nullgauge.operators import intervals, nulls, tables
+from nullgauge.operators import graph, intervals, nulls, tables
 
 
 def plan(df) -> str:
@@ -104,3 +104,18 @@ def test_random_subsets_rank_few_rows(spark, against_sql):
     assert ranked.groupBy("rep").count().filter("count = 40").count() == 30
     # fewer rows than wanted: all of them
     assert nulls.random_subsets(spark.range(30), "id", 40, 2, "sub").count() == 60
+
+
+def test_pairs_of_members_are_made_in_bounded_tasks(wide, monkeypatch):
+    monkeypatch.setattr(graph, "MEMBERS_A_TASK", 40)
+    rows = wide.range(400).select((F.col("id") % 100).alias("g"), (F.col("id") % 37).alias("m"))
+    e = graph.co_occurrence(rows, "g", "m")
+    text = plan(e)
+    assert "BroadcastHashJoin" not in text and "hashpartitioning(g" in text and ", 10), REPARTITION_BY_NUM" in text
+    seen = rows.distinct().collect()
+    expected = {}
+    for x in seen:
+        for y in seen:
+            if x["g"] == y["g"] and x["m"] < y["m"]:
+                expected[x["m"], y["m"]] = expected.get((x["m"], y["m"]), 0) + 1
+    assert {(x["src"], x["dst"]): x["w"] for x in e.collect()} == expected
