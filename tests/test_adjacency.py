@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from nullgauge.operators import adjacency, stability
+from nullgauge.operators import adjacency, graph, stability
 
 
 def records(spark) -> int:
@@ -43,3 +43,27 @@ def test_best_labels_equal_the_plain_choice(monkeypatch, own_first, cells):
             to[int(label[at])] = to.get(int(label[at]), 0.0) + w[at]
         gain = {y: v - 0.5 * k[x] * (k_label[y] - (k[x] if y == now[x] else 0.0)) / (2 * total) + (1e-9 if y == now[x] else 0.0) for y, v in to.items()}
         assert got[x] == max(gain, key=lambda y: (gain[y], own_first and y == now[x], rank[y]))
+
+
+def test_triangles_equal_the_plain_count_without_a_row_for_each_wedge(spark, monkeypatch):
+    monkeypatch.setattr(adjacency, "EDGES", 300)
+    rng = random.Random(5)
+    n = 70
+    pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < (0.9 if a < 3 else 0.6)}
+    edges = spark.createDataFrame([(a - 20, b - 20, 1) for a, b in sorted(pairs)], "src long, dst long, w long").cache()
+    edges.count()
+    before = records(spark)
+    got = {r.node + 20: r.triangles for r in graph.triangles(edges).collect()}
+    near = {k: {b if a == k else a for a, b in pairs if k in (a, b)} for k in range(n)}
+    assert got == {k: sum((a, b) in pairs for a in near[k] for b in near[k]) for k in range(n)}
+    assert records(spark) - before < sum(len(x) * (len(x) - 1) for x in near.values()) // 6
+
+
+def test_walks_shuffle_no_row_for_each_edge_and_set(spark):
+    n, sets = 60, 30
+    edges = spark.createDataFrame([(a, b, a + b) for a in range(n) for b in range(a + 1, n)], "src long, dst long, w long").cache()
+    edges.count()
+    seeds = spark.createDataFrame([(f"s{k}", k) for k in range(sets)], "seed_set string, node long")
+    before = records(spark)
+    assert graph.random_walk(edges, seeds, steps=3).count() == n * sets
+    assert records(spark) - before < n * (n - 1) * sets
