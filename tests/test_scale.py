@@ -1,6 +1,7 @@
 """Queries keep replicated and paired rows off the driver and spread over tasks, whatever the planner thinks of sizes."""
 
 import hashlib
+import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nullgauge.operators import graph, intervals, nulls, tables
+from nullgauge.operators import graph, intervals, nulls, recovery, tables
 
 
 def plan(df) -> str:
@@ -144,3 +145,16 @@ def test_matched_null_of_a_mean_that_ends_in_a_half(spark):
     # the mean of all draws is 950.6955 exactly; means of doubles gave 950.695 or 950.696 by the order of rows
     x = entry.queries()["o113_matched_null"](spark, "/root/testdata/sf0.01").filter("p_brand = 'Brand#17'").first()
     assert x["null_mean"] == 950.696
+
+
+def test_hidden_members_meet_only_blocks_that_they_reach(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(g * 3 + f, p * 3 + f, rng.random() < 0.5) for f in range(3) for g in range(8) for p in range(16) if rng.random() < 0.5]
+    monkeypatch.setattr(recovery, "GROUPS", 4)
+    monkeypatch.setattr(recovery, "MEMBERS", 8)
+    met, save = [], recovery.saved
+    monkeypatch.setattr(recovery, "saved", lambda df: met.append(save(df)) or met[-1])
+    got = recovery.hidden_member_precision(spark.createDataFrame(rows, "g long, p long, hidden boolean"))
+    assert got.count() == len({g for g, _, hidden in rows if hidden})
+    # three families of two blocks of groups and two of members: 12 meetings of 36
+    assert [df.count() for df in met if df.columns == ["a", "c"]] == [12]
