@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .draws import saved
 
+#: Pairs for each one of the budget that are decided at first.
+FIRST_PAIRS = 16
+
 
 def assessment(recurrent: Column, indel_share: Column, truncating_share: Column, private: Column, essential: Column, dependent: Column, endpoints: Column, unclear: Column, recurrence: int = 10, private_floor: float = 0.8, unclear_most: float = 0.6, essential_share: float = 0.9) -> tuple[Column, Column]:
     """Arrays of strategies (name, admitted, because) and gates (number, name, passed) of a candidate.
@@ -44,18 +47,35 @@ def shortlist(assessed: DataFrame, order: list[Column], slots: int, module: str)
 def balanced_pairs(candidates: DataFrame, budget: int, cap: int) -> DataFrame:
     """(a, b, score) taken in falling score order while both ends have fewer than `cap` taken pairs, then cut to budget.
 
-    Equal to the sequential scan: a pair is taken once all pairs that could fill its ends' places above it are decided;
-    rounds end when none is undecided.
+    Equal to the sequential scan, which decides a pair by those above it: so the pairs above a score are decided alone,
+    and a lower score is tried until they fill the budget or all pairs are in.
     """
-    w = F.struct(-F.col("score"), F.col("a"), F.col("b"))
-    state = saved(candidates.select("a", "b", "score").withColumn("order", w).withColumn("state", F.lit(0)))
+    every = saved(candidates.select("a", "b", "score", F.struct(-F.col("score"), F.col("a"), F.col("b")).alias("order")))
+    n, most = every.count(), FIRST_PAIRS * max(budget, 1)
+    while True:
+        above = every
+        if most < n:
+            # by the negated score, as the order has it: nulls come first, NaN last
+            bound = every.agg(F.percentile_approx(-F.col("score"), most / n, 1_000_000)).first()[0]
+            if bound is not None:
+                above = every.filter(F.col("score").isNull() | (-F.col("score") <= F.lit(bound)))
+        taken = saved(_scanned(above, cap))
+        if most >= n or taken.count() >= budget:
+            return taken.orderBy("order").limit(budget).select("a", "b", "score")
+        most *= 16
+
+
+def _scanned(pairs: DataFrame, cap: int) -> DataFrame:
+    """The taken ones of pairs (a, b, score, order): a pair is taken once all pairs that could fill its ends' places above
+    it are decided; rounds end when none is undecided."""
+    state = saved(pairs.withColumn("state", F.lit(0)))
     while state.filter("state = 0").limit(1).count():
         ends = state.select("a", "b", "order", "state", F.explode(F.array("a", "b")).alias("end"))
         above = Window.partitionBy("end").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
         seen = ends.withColumns({"taken": F.coalesce(F.sum(F.when(F.col("state") == 1, 1).otherwise(0)).over(above), F.lit(0)), "open": F.coalesce(F.sum(F.when(F.col("state") == 0, 1).otherwise(0)).over(above), F.lit(0))})
         verdict = seen.groupBy("a", "b").agg(F.max(F.col("taken") >= cap).alias("full"), F.min(F.col("taken") + F.col("open") < cap).alias("free"))
         state = saved(state.join(verdict, ["a", "b"]).withColumn("state", F.when(F.col("state") != 0, F.col("state")).when(F.col("full"), -1).when(F.col("free"), 1).otherwise(0)).drop("full", "free"))
-    return state.filter("state = 1").orderBy("order").limit(budget).select("a", "b", "score")
+    return state.filter("state = 1")
 
 
 def split_budget(candidates: DataFrame, budget: int, seed: str) -> DataFrame:

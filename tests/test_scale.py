@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nullgauge.operators import graph, intervals, nulls, recovery, tables
+from nullgauge.operators import decide, graph, intervals, nulls, recovery, tables
 
 
 def plan(df) -> str:
@@ -158,3 +158,20 @@ def test_hidden_members_meet_only_blocks_that_they_reach(spark, monkeypatch):
     assert got.count() == len({g for g, _, hidden in rows if hidden})
     # three families of two blocks of groups and two of members: 12 meetings of 36
     assert [df.count() for df in met if df.columns == ["a", "c"]] == [12]
+
+
+@pytest.mark.parametrize(("budget", "sizes"), [(5, [20, 320]), (60, [240, 600])])
+def test_balanced_pairs_decide_the_top_first(spark, monkeypatch, budget, sizes):
+    rng = random.Random(budget)
+    rows = [(a, 100 + b, float(rng.randint(1, 500)) if b else 1000.0 - a) for a in range(30) for b in range(20)]
+    monkeypatch.setattr(decide, "FIRST_PAIRS", 4)
+    decided, scan = [], decide._scanned
+    monkeypatch.setattr(decide, "_scanned", lambda pairs, cap: decided.append(pairs.count()) or scan(pairs, cap))
+    got = [tuple(x) for x in decide.balanced_pairs(spark.createDataFrame(rows, "a long, b long, score double"), budget, 2).collect()]
+    taken, held = [], {}
+    for a, b, s in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if held.get(a, 0) < 2 and held.get(b, 0) < 2:
+            held[a], held[b] = held.get(a, 0) + 1, held.get(b, 0) + 1
+            taken.append((a, b, s))
+    assert got == taken[:budget]
+    assert len(decided) <= len(sizes) and all(n <= m + 40 for n, m in zip(decided, sizes))
