@@ -30,10 +30,10 @@ UNION ALL SELECT 'normal', NULL, mu, sd, 2, -n * (ln(2 * pi() * sd * sd) + 1) /
 
 
 _Z = "((x - loc) / scale)"
-# Student's series by closed terms, the skew-normal integral by the same panels
-_TAILS = f""", y AS (SELECT model, x, shape, {_Z} AS s, CASE WHEN shape / (shape + pow({_Z}, 2)) <= 0.9 THEN shape / 2 ELSE 0.5 END AS a, CASE WHEN shape / (shape + pow({_Z}, 2)) <= 0.9 THEN 0.5 ELSE shape / 2 END AS b, shape / (shape + pow({_Z}, 2)) AS near FROM v, f WHERE model = 'student'
+# Student's series by closed terms, the skew-normal integral by the same panels; once for each value, however many rows have it
+_TAILS = f""", y AS (SELECT model, x, shape, {_Z} AS s, CASE WHEN shape / (shape + pow({_Z}, 2)) <= 0.9 THEN shape / 2 ELSE 0.5 END AS a, CASE WHEN shape / (shape + pow({_Z}, 2)) <= 0.9 THEN 0.5 ELSE shape / 2 END AS b, shape / (shape + pow({_Z}, 2)) AS near FROM (SELECT DISTINCT x FROM v), f WHERE model = 'student'
 ), ts AS (SELECT model, x, s, near, exp(shape / 2 * ln(near) - lgamma(shape / 2) - lgamma(0.5) + lgamma(shape / 2 + 0.5)) * sqrt(1 - near) / a * sum(exp(lgamma(a + b + k) - lgamma(a + b) + lgamma(a + 1) - lgamma(a + 1 + k) + k * ln(greatest(CASE WHEN near <= 0.9 THEN near ELSE 1 - near END, 1e-300)))) AS part FROM y, range(401) t(k) GROUP BY model, x, s, near, shape, a, b
-), sk AS (SELECT model, x, {_Z} AS s, CASE WHEN x >= loc THEN -atan(shape) ELSE atan(shape) END AS low FROM v, f WHERE model = 'skewed'
+), sk AS (SELECT model, x, {_Z} AS s, CASE WHEN x >= loc THEN -atan(shape) ELSE atan(shape) END AS low FROM (SELECT DISTINCT x FROM v), f WHERE model = 'skewed'
 ), si AS (SELECT model, x, s, sum(CASE WHEN k IN (0, 200) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-s * s / (2 * greatest(pow(cos(low + k * ((pi() / 2 - low) / 200)), 2), 1e-30)))) * (pi() / 2 - low) / 600 / pi() AS area FROM sk, range(201) t(k) GROUP BY model, x, s, low
 ), st1 AS (SELECT DISTINCT *, CASE WHEN near <= 0.9 THEN part ELSE 1 - part END / 2 AS half FROM ts), si1 AS (SELECT DISTINCT * FROM si
 ), lam AS (SELECT quantile_cont(x * x, 0.5) / {tails.CHI_MEDIAN} AS inflation FROM v

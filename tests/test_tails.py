@@ -87,3 +87,21 @@ def test_nothing_to_fit(spark):
         fits = tails.fit_laws(df, "z")
         assert fits.count() == 0
         assert {x.law for x in tails.changed_status(df, "z", fits).collect()} <= {"standard", "inflated"}
+
+
+def test_sql_of_changed_status_takes_equal_values_once(spark):
+    import duckdb
+
+    from nullgauge.plans import tails as plan
+
+    values = [round(-2.5 + 0.37 * k, 2) for k in range(20)] * 3
+    fits = [("normal", None, 0.4, 1.5, 3.0, False), ("laplace", None, 0.3, 1.2, 2.0, False), ("student", 4.0, 0.3, 1.1, 1.0, True), ("skewed", 1.5, -0.5, 1.8, 4.0, False)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE f (model VARCHAR, shape DOUBLE, loc DOUBLE, scale DOUBLE, aic DOUBLE, best BOOLEAN)")
+    con.executemany("INSERT INTO f VALUES (?, ?, ?, ?, ?, ?)", fits)
+    con.execute("CREATE TABLE w (x DOUBLE)")
+    con.executemany("INSERT INTO w VALUES (?)", [(x,) for x in values])
+    sql = con.execute("WITH v AS (SELECT x FROM w), m AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v)" + plan._TAILS).fetchall()
+    laws = spark.createDataFrame(fits, "model string, shape double, loc double, scale double, aic double, best boolean")
+    got = tails.changed_status(spark.createDataFrame([(x,) for x in values], "x double"), "x", laws).collect()
+    assert len(got) == 6 and sorted((x.law, x.best, round(x.inflation, 6), x.passed, x.passed_strict, x.corrected, x.moved) for x in got) == sorted(sql)
