@@ -109,9 +109,14 @@ def set_index(df: DataFrame, facet: str, member: str, least: int = 8, most: int
 
 def mutual_information(weights: DataFrame, a: str, b: str, w: str, *by: str) -> DataFrame:
     """(by..., h_a, h_b, mi): entropies and mutual information in bits of a weighted table of pairs."""
+    # margins are joined: as a window, all cells of one `by` or one value would be sorted in a task
     cells = weights.groupBy(*by, a, b).agg(F.sum(w).alias("w"))
-    total = F.sum("w").over(Window.partitionBy(*by)) if by else F.sum("w").over(Window.partitionBy())
-    cells = cells.withColumns({"_t": total, "_a": F.sum("w").over(Window.partitionBy(*by, a)), "_b": F.sum("w").over(Window.partitionBy(*by, b))})
+    sums = {c: cells.groupBy(*by, c).agg(F.sum("w").alias(name)) for c, name in ((a, "_a"), (b, "_b"))}
+    total = sums[b].groupBy(*by).agg(F.sum("_b").alias("_t"))
+    for margin, keys in ((sums[a], [*by, a]), (sums[b], [*by, b]), (total, [*by])):
+        side = margin.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+        cells = cells.join(side, same).drop(*[f"_on_{k}" for k in keys]) if keys else cells.crossJoin(side)  # one row
     p, pa, pb = F.col("w") / F.col("_t"), F.col("_a") / F.col("_t"), F.col("_b") / F.col("_t")
     return cells.groupBy(*by).agg(F.sum(-p * F.log2(pa)).alias("h_a"), F.sum(-p * F.log2(pb)).alias("h_b"), F.sum(p * F.log2(p / (pa * pb))).alias("mi"))
 

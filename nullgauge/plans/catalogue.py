@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalogue, tables
-from ..operators.draws import saved
+from ..operators.draws import dealt, saved
 from ..operators.ranks import spearman
 from .base import Tables, query, r
 from .calibration import _SCREEN, _U32, _screen
@@ -74,8 +74,7 @@ _SCALES = """WITH x AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS item, p_br
 @query(_SCALES + " SELECT scale, alphabet, round(mi, 6) AS mi, round((SELECT max(alphabet) FILTER (scale = 'part') FROM m) / CAST(alphabet AS DOUBLE), 6) AS compression, round(mi / (SELECT max(mi) FILTER (scale = 'part') FROM m), 6) AS retained FROM m")
 def o078_coarse_graining(t: Tables) -> DataFrame:
     """Information about an order's priority in its parts, brands and types; what coarser scales keep."""
-    x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    x = x.select(F.col("l_orderkey").alias("e"), F.col("o_orderpriority").alias("cat"), F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.col(c).cast("string").alias("f")) for n, c in (("part", "l_partkey"), ("brand", "p_brand"), ("type", "p_type"))])).alias("s")).select("e", "cat", "s.scale", "s.f").distinct()
+    x = _scale_rows(t, part="l_partkey", brand="p_brand", type="p_type")
     c = catalogue.coarse_graining(x, "e", "f", "cat", "scale", "part")
     return c.select("scale", "alphabet", *[r(k).alias(k) for k in ("mi", "compression", "retained")])
 
@@ -88,20 +87,22 @@ _BITS = """WITH x AS (SELECT DISTINCT l_orderkey AS e, p_brand AS f, p_type AS g
 @query(_BITS + " SELECT one AS category, round(max(mi) FILTER (scale = 'brand') * 1000, 6) AS fine, round(max(mi) FILTER (scale = 'type') * 1000, 6) AS coarse, round(max(mi) FILTER (scale = 'type') / max(mi) FILTER (scale = 'brand'), 5) AS retained FROM m GROUP BY 1")
 def o079_retention_by_category(t: Tables) -> DataFrame:
     """For each priority alone: thousandths of a bit in brands and in types, and the share that types keep."""
-    m = saved(catalogue.binary_information(_scale_rows(t), "scale", "f", "cat"))
+    m = saved(catalogue.binary_information(_scale_rows(t, brand="p_brand", type="p_type"), "scale", "f", "cat"))
     p = m.groupBy(F.col("one").alias("category")).pivot("scale", ["brand", "type"]).agg(F.max("mi"))
     return p.select("category", r(F.col("brand") * 1000).alias("fine"), r(F.col("type") * 1000).alias("coarse"), r(F.col("type") / F.col("brand"), 5).alias("retained"))
 
 
-def _scale_rows(t: Tables) -> DataFrame:
+def _scale_rows(t: Tables, **scales: str) -> DataFrame:
+    """(e, cat, scale, f): distinct features of an order at each scale, an order's rows all in one task."""
     x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return x.select(F.col("l_orderkey").alias("e"), F.col("o_orderpriority").alias("cat"), F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.col(c).alias("f")) for n, c in (("brand", "p_brand"), ("type", "p_type"))])).alias("s")).select("e", "cat", "s.scale", "s.f").distinct()
+    x = dealt(x.select(F.col("l_orderkey").alias("e"), F.col("o_orderpriority").alias("cat"), *scales.values()), t.lineitem.count(), "e")
+    return x.select("e", "cat", F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.col(c).cast("string").alias("f")) for n, c in scales.items()])).alias("s")).select("e", "cat", "s.scale", "s.f").distinct()
 
 
 @query(_BITS + ", s AS (SELECT scale, avg(mi) * 1000 AS m, stddev_samp(mi) * 1000 / sqrt(count(*)) AS se FROM m GROUP BY 1) SELECT round(a.m, 6) AS brand_mean, round(b.m, 6) AS type_mean, round((a.m - b.m) / (a.m + b.m), 6) AS contrast, round(sqrt(a.se * a.se + b.se * b.se), 6) AS se FROM s a, s b WHERE a.scale = 'brand' AND b.scale = 'type'")
 def o080_family_contrast(t: Tables) -> DataFrame:
     """Mean single-category information of the two scales, their normalised contrast and its pooled error."""
-    m = catalogue.binary_information(_scale_rows(t), "scale", "f", "cat")
+    m = catalogue.binary_information(_scale_rows(t, brand="p_brand", type="p_type"), "scale", "f", "cat")
     s = m.agg(*[f(F.when(F.col("scale") == k, F.col("mi") * 1000)).alias(f"{k}_{n}") for k in ("brand", "type") for n, f in (("m", F.avg), ("s", F.stddev_samp), ("n", F.count))])
     a, b = F.col("brand_m"), F.col("type_m")
     return s.select(r(a).alias("brand_mean"), r(b).alias("type_mean"), r((a - b) / (a + b)).alias("contrast"), r(F.sqrt(F.col("brand_s") ** 2 / F.col("brand_n") + F.col("type_s") ** 2 / F.col("type_n"))).alias("se"))

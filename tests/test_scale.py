@@ -1,6 +1,7 @@
 """Queries keep replicated and paired rows off the driver and spread over tasks, whatever the planner thinks of sizes."""
 
 import hashlib
+import math
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -175,3 +176,18 @@ def test_balanced_pairs_decide_the_top_first(spark, monkeypatch, budget, sizes):
             taken.append((a, b, s))
     assert got == taken[:budget]
     assert len(decided) <= len(sizes) and all(n <= m + 40 for n, m in zip(decided, sizes))
+
+
+def test_information_sorts_no_scale_in_one_task(wide):
+    rows = [("s", "x", "u", 2.0), ("s", "x", None, 1.0), ("s", None, "u", 1.0), ("t", "y", "v", 1.0), ("t", "z", "u", 1.0)]
+    m = tables.mutual_information(wide.createDataFrame(rows, "scale string, a string, b string, w double"), "a", "b", "w", "scale")
+    assert "Window" not in plan(m)
+    got = {x.scale: x.mi for x in m.collect()}
+    assert got["t"] == 1.0 and got["s"] == pytest.approx(0.5 * math.log2(8 / 9) + 0.25 * math.log2(4 / 3) * 2)
+
+
+def test_rows_are_dealt_to_more_tasks_as_they_grow(wide):
+    from nullgauge.operators.draws import dealt
+
+    rows = wide.range(100)
+    assert [dealt(rows, n, "id", each=10).rdd.getNumPartitions() for n in (10, 100, 600)] == [4, 10, 60]
