@@ -16,6 +16,10 @@ and after MOST of them is compared with every row that could enter its list: row
 wide each, since a long vector is among the nearest at a small cosine, too. So only a table with too few candidates
 gives a shorter list.
 
+A query meets its own cells before all others. What they give is a floor for its list: further blocks return the rows
+that reach it and none below, which could not enter. So the rows that blocks return follow the queries, and not the
+number of cells that a query probes.
+
 Rows of equal vectors are one candidate with its k + 1 smallest ids, which is all that a list of k can show.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold a null or non-finite
@@ -180,7 +184,7 @@ def _pilot(queries: np.ndarray, k: int):
 
 
 def _compare(keep: int):
-    """The `keep` nearest rows of a block for each query of a block, ties to the smaller `first`."""
+    """The `keep` nearest rows of a block for each query of a block, ties to the smaller `first`; none below the query's floor."""
 
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
@@ -188,19 +192,22 @@ def _compare(keep: int):
             return schema.empty_table()
         x, q = _rows(index.column("vector")), _rows(queries.column("vector"))
         ids, firsts, names = index.column("id").to_numpy(), index.column("first").to_numpy(), queries.column("id").to_numpy()
+        floors = queries.column("floor").to_numpy()
         n = min(len(x), keep)
         # the rough product and the sum in component order are both within half of this, a length's product, of the true one
         bound = 2 * np.finfo(float).eps * (x.shape[1] + 4) * np.sqrt((x * x).sum(1).max())
         out = []
         for low in range(0, len(q), 256):
             part = q[low : low + 256]
-            rough = part @ x.T
+            rough, floor = part @ x.T, floors[low : low + 256]
             # the rough product chooses all that may be among the n first, the sum in component order decides
-            least = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n] - 2 * bound * np.sqrt((part * part).sum(1))
+            least = np.maximum(np.partition(rough, len(x) - n, axis=1)[:, len(x) - n], floor) - 2 * bound * np.sqrt((part * part).sum(1))
             of, near = np.nonzero(~(rough < least[:, None]))
             score = np.zeros(len(of))
             for k in range(x.shape[1]):
                 score += part[of, k] * x[near, k]
+            enters = ~(score < floor[of])
+            of, near, score = of[enters], near[enters], score[enters]
             order = np.lexsort((ids[near], firsts[near], -score, of))
             place = np.arange(len(of)) - np.searchsorted(of, of)
             order = order[place < n]
@@ -226,13 +233,13 @@ def _norm(scaled: bool = True) -> Column:
 
 
 def _compared(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
-    """(query, id, first, score): the `keep` nearest rows of each block for each query of the same bucket."""
+    """(query, id, first, score): the `keep` nearest rows of each block for each query of the same bucket that reach its floor."""
     blocks = index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_rows")).join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of_queries")), "bucket")
     blocks = saved(blocks)
     blocks = small_or_shuffled(blocks, blocks.count())
     left = index.join(blocks, "bucket").withColumn("r", F.pmod(F.xxhash64("id"), F.col("of_rows")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("of_queries") - 1)))
     right = queries.join(blocks, "bucket").withColumn("c", F.pmod(F.xxhash64("id"), F.col("of_queries")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("of_rows") - 1)))
-    return left.select("bucket", "r", "c", "id", "first", "vector").groupBy("bucket", "r", "c").cogroup(right.select("bucket", "r", "c", "id", "vector").groupBy("bucket", "r", "c")).applyInArrow(_compare(keep), "query long, id long, first long, score double")
+    return left.select("bucket", "r", "c", "id", "first", "vector").groupBy("bucket", "r", "c").cogroup(right.select("bucket", "r", "c", "id", "vector", "floor").groupBy("bucket", "r", "c")).applyInArrow(_compare(keep), "query long, id long, first long, score double")
 
 
 def _kth_cosines(classes: DataFrame, asked: DataFrame, k: int) -> np.ndarray:
@@ -291,6 +298,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probes: int | None
         best = pairs.groupBy("query", "id", "first").agg(F.max("score").alias("score"))
         return saved(best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first", "id"))).filter(F.col("place") <= keep).drop("place"))
 
+    def floored(queries: DataFrame, best: DataFrame | None) -> DataFrame:
+        """Queries with their floor: the last score of a full list; none (minus infinity) of a shorter one."""
+        none = F.lit(float("-inf"))
+        if best is None:
+            return queries.withColumn("floor", none)
+        last = best.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") >= keep, F.min("score")).alias("floor"))
+        return queries.join(last, "id", "left").withColumn("floor", F.coalesce("floor", none))
+
     def ranked(best: DataFrame) -> DataFrame:
         found = best.join(classes.select("id", "ids"), "id").select(F.col("query").alias("query_id"), F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -304,14 +319,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probes: int | None
         reach = reach.filter(F.col("least").isNull() | (F.col("least") < F.col("norm") * F.col("longest") * sure_cosine(size, axes, probes)))
         return saved(reach.select(*[F.col(c).alias(c) for c in ("id", "vector", "bucket")]))
 
-    best, before, going = None, 0, asked
+    best, before, upto, going = None, 0, 1, asked
     while True:
-        pairs = _compared(index, placed(going.select("id", "vector").distinct(), (before, probes)), keep)
+        pairs = _compared(index, placed(floored(going.select("id", "vector").distinct(), best), (before, upto)), keep)
         best = some(pairs if best is None else best.unionByName(pairs))
-        missed = unsure(best, probes)
+        if upto < probes:  # own cells came first
+            before, upto = upto, probes
+            continue
+        missed = unsure(best, upto)
         if missed.isEmpty():
             return ranked(best)
-        if probes >= most:
+        if upto >= most:
             break
-        going, before, probes = missed, probes, min(most, FURTHER * probes)
-    return ranked(some(best.unionByName(_compared(dealt.drop("norm"), missed, keep))))
+        going, before, upto = missed, upto, min(most, FURTHER * upto)
+    return ranked(some(best.unionByName(_compared(dealt.drop("norm"), floored(missed, best), keep))))

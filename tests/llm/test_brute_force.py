@@ -604,3 +604,24 @@ def test_equal_hashes_are_decided_by_bytes(monkeypatch):
     monkeypatch.setattr(shared, "segment_hashes", lambda *a: np.zeros(4, np.uint64))
     assert len(set(shared.first_equal(data, starts, starts + 3).tolist())) == 2
     assert len(set(shared.first_equal(data, starts, starts + 3, np.array([0, 0, 1, 1])).tolist())) == 4
+
+
+def test_blocks_return_only_rows_that_reach_a_querys_floor(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.normal(size=(2000, 64)))], "vec_id long, embedding array<double>")
+    made, compared = [], ann._compared
+
+    def counted(*args):
+        out = ann.saved(compared(*args))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "_compared", counted)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(table, every=50, k=5, probes=60).collect()}
+    x = np.array([r.embedding for r in table.orderBy("vec_id").collect()])
+    for q in range(0, 2000, 50):
+        score = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(2000), -score)) if i != q][:5]
+        assert [got[q, k + 1][0] for k in range(5)] == order
+    # 40 queries, 8 tables, 60 cells and up to 6 rows a block would be 115,200 rows
+    assert sum(made) < 115_200 / 10, made
