@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
@@ -191,3 +192,30 @@ def test_rows_are_dealt_to_more_tasks_as_they_grow(wide):
 
     rows = wide.range(100)
     assert [dealt(rows, n, "id", each=10).rdd.getNumPartitions() for n in (10, 100, 600)] == [4, 10, 60]
+
+
+def test_null_graphs_number_no_stubs_by_ranges(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("a table of all stubs was sorted by sampled ranges")
+
+    monkeypatch.setattr("nullgauge.operators.draws.numbered", refused)
+    rows = [(a, b) for a in range(60) for b in range(a + 1, 60) if (a * 7 + b * 3) % 4 == 0]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in rows], "src long, dst long, w long")
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    degree = Counter(x for r in rows for x in r)
+
+    def lost(ends):
+        kept = {tuple(sorted(e)) for e in ends if e[0] != e[1]}
+        return len(ends), sum(a == b for a, b in ends), len(kept)
+
+    stubs = [n for n in sorted(degree) for _ in range(degree[n])]
+    mixed = [n for _, n, _ in sorted((md5("x", n, s), n, s) for n in degree for s in range(1, degree[n] + 1))]
+    drawn, _, kept = lost(list(zip(mixed[::2], mixed[1::2], strict=True)))
+    x = graph.rewired(edges, "x")[1].first()
+    assert (x.drawn, x.kept, x.lost) == (drawn, kept, drawn - kept)
+    at = lambda side, i: stubs[int(md5("x", side, i)[:8], 16) % len(stubs)]
+    x = graph.expected_degrees(edges, "x")[1].first()
+    assert (x.drawn, x.loops, x.kept) == lost([(at("a", i), at("b", i)) for i in range(len(rows))])
+    far = [b for _, _, b in sorted((md5("x", a, b), a, b) for a, b in rows)]
+    x = graph.permuted_ends(edges, "x")[1].first()
+    assert (x.drawn, x.loops, x.kept) == lost(list(zip([a for a, _ in sorted(rows)], far, strict=True)))
