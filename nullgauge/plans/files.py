@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.draws import scratch
+from ..operators.draws import dealt, scratch
 from ..sources import readers, sinks
 from .base import Tables, query, r
 from .calibration import _SCREEN, _screen
@@ -49,7 +49,8 @@ def o003_obo(t: Tables):
 def o004_xml_records(t: Tables):
     """Orders as XML records with an element for each line."""
     folder = scratch(t._spark, "o004")
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("Quantity"), F.col("l_returnflag").alias("Flag"))).alias("Line"))
+    # a file is one task's when it is read, so an order's lines are dealt to tasks of a bounded number of lines
+    lines = dealt(t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag"), t.lineitem.count(), "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("Quantity"), F.col("l_returnflag").alias("Flag"))).alias("Line"))
     lines.withColumnRenamed("l_orderkey", "OrderKey").write.format("xml").option("rowTag", "Order").option("rootTag", "Orders").save(folder)
     x = readers.read_xml_records(t._spark, folder, "Order", "OrderKey long, Line array<struct<Quantity: double, Flag: string>>")
     e = x.select(F.col("OrderKey").alias("l_orderkey"), F.explode_outer("Line").alias("line"))
