@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draws import ranged_draws, replicates, u32
+from .draws import dealt, numbered, ranged_draws, replicates, saved, spread, u32
 
 Z95 = 1.959964
 
@@ -33,13 +33,19 @@ def bootstrap_means(df: DataFrame, by: str, ident: str, value: str, reps: int, s
 
     lo and hi are point -+ 1.96 SE, p_lo and p_hi the 2.5 and 97.5 percentiles.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(by, value, (F.row_number().over(Window.partitionBy(by).orderBy(ident)) - 1).alias("_pos"), F.count("*").over(Window.partitionBy(by)).alias("_n"))
-    rows = rows.filter(F.col("_n") >= least)
-    drawn = replicates(rows.select(by, F.col("_pos").alias("slot"), "_n"), reps).withColumn("_pos", u32(seed, F.col(by), F.col("rep"), F.col("slot")) % F.col("_n"))
-    each = drawn.drop("_n").join(rows.select(by, "_pos", value), [by, "_pos"]).groupBy(by, "rep").agg(F.avg(value).alias("m"))
-    spread = each.groupBy(by).agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("p_lo"), F.percentile("m", 0.975).alias("p_hi"))
-    point = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("point"))
-    return point.join(spread, by).withColumns({"lo": F.col("point") - 1.96 * F.col("se"), "hi": F.col("point") + 1.96 * F.col("se")})
+    rows = saved(numbered(df.filter(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, ident, value), by, ident).select("pos", by, value))
+    groups = saved(rows.groupBy(by).agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") >= least))
+    total = groups.agg(F.sum("_n")).first()[0] or 0
+    # slots come in chunks that are dealt before they are exploded, and meet the rows by number in tasks of so many rows
+    chunk = F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(50_000)))
+    chunks = spread(groups.select(by, "_first", "_n", chunk.alias("_at")), total * reps)
+    slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + 49_999, F.col("_n") - 1))))
+    drawn = replicates(slots, reps).select((F.col("_first") + u32(seed, F.col(by), F.col("rep"), F.col("slot")) % F.col("_n")).alias("pos"), F.col("rep").cast("int").alias("rep"))
+    there = dealt(rows, total, "pos").hint("shuffle_hash")
+    each = dealt(drawn, total, "pos").join(there, "pos").groupBy(by, "rep").agg(F.avg(value).alias("m"))
+    ends = each.groupBy(by).agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("p_lo"), F.percentile("m", 0.975).alias("p_hi"))
+    point = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("point")).filter(F.col("n") >= least)
+    return point.join(ends, by).withColumns({"lo": F.col("point") - 1.96 * F.col("se"), "hi": F.col("point") + 1.96 * F.col("se")})
 
 
 def cluster_bootstrap_mean(df: DataFrame, cluster: str, value: str, reps: int, seed: str) -> DataFrame:
@@ -48,8 +54,6 @@ def cluster_bootstrap_mean(df: DataFrame, cluster: str, value: str, reps: int, s
     Draws are rows of a range and are shuffled to the clusters: exploded replicates of a small table look small to the
     planner, which would send them through the driver, and stay in the small table's few tasks.
     """
-    from .draws import numbered
-
     sums = numbered(df.filter(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c")), cluster)
     size = sums.count()
     drawn = ranged_draws(df.sparkSession, reps, size).withColumn("pos", u32(seed, F.col("rep"), F.col("slot")) % max(size, 1)).select("rep", "pos")
