@@ -25,7 +25,7 @@ def column_shuffles(rows: DataFrame, ident: str, vector: str, reps: int, seed: s
     return real.unionByName(mixed.select("rep", ident, F.transform("v", lambda e: e["x"]).alias(vector)))
 
 
-def squared_distance(a: str, b: str) -> Column:
+def squared_distance(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -33,8 +33,8 @@ def k_means(tables: DataFrame, ident: str, vector: str, ks: list[int], rounds: i
     """(rep, k, ident, cluster, own, next): after so many rounds each row's cluster, and the distances to its centre and
     to the nearest other one. tables: (rep, ident, vector) of one length.
 
-    Starts are the rows of the k smallest hashes. All centres of all k and replicates are one table, of sum(ks) rows for
-    each replicate; a round is a join with it, a grouped minimum and grouped means of components.
+    Starts are the rows of the k smallest hashes. All centres of all k and replicates are one table, of sum(ks) entries for
+    each replicate, that is sent to the rows; a round is a scan with grouped means of components, and no vector is shuffled.
     """
     tables = saved(tables)
     length = tables.agg(F.max(F.size(vector))).first()[0] or 0
@@ -46,8 +46,10 @@ def k_means(tables: DataFrame, ident: str, vector: str, ks: list[int], rounds: i
     centres = saved(tables.join(F.broadcast(starts), ident).select("rep", "k", "cluster", F.col(vector).alias("centre")))  # sum(ks) rows a replicate
 
     def assigned() -> DataFrame:
-        near = F.sort_array(F.collect_list(F.struct(F.round(F.sqrt(squared_distance(vector, "centre")), 9).alias("d"), "cluster")))
-        return tables.join(F.broadcast(centres), "rep").groupBy("rep", "k", ident).agg(near.alias("near"), F.first(vector).alias(vector))
+        groups = centres.groupBy("rep", "k").agg(F.collect_list(F.struct("cluster", "centre")).alias("c")).groupBy("rep").agg(F.collect_list(F.struct("k", "c")).alias("all"))
+        there = lambda c: F.struct(F.round(F.sqrt(squared_distance(F.col(vector), c["centre"])), 9).alias("d"), c["cluster"].alias("cluster"))
+        each = F.transform("all", lambda g: F.struct(g["k"].alias("k"), F.slice(F.sort_array(F.transform(g["c"], there)), 1, 2).alias("near")))
+        return tables.join(F.broadcast(groups), "rep").select("rep", ident, vector, F.explode(each).alias("_x")).select("rep", "_x.k", ident, "_x.near", vector)
 
     for _ in range(rounds):
         means = F.array(*[F.avg(F.col(vector)[i]) for i in range(length)])

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import statistics
 from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nullgauge.operators import decide, graph, intervals, nulls, recovery, tables
+from nullgauge.operators import clusters, decide, graph, intervals, nulls, recovery, tables
 
 
 def plan(df) -> str:
@@ -219,3 +220,37 @@ def test_null_graphs_number_no_stubs_by_ranges(spark, monkeypatch):
     far = [b for _, _, b in sorted((md5("x", a, b), a, b) for a, b in rows)]
     x = graph.permuted_ends(edges, "x")[1].first()
     assert (x.drawn, x.loops, x.kept) == lost(list(zip([a for a, _ in sorted(rows)], far, strict=True)))
+
+
+def test_agreement_keeps_an_edge_one_row(spark):
+    edges = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (2, 9, 1)], "src long, dst long, w long")
+    runs = spark.createDataFrame([(r, n, x) for r, n, x in (("a", 1, "p"), ("a", 2, "p"), ("a", 3, "q"), ("b", 1, None), ("b", 2, None), ("b", 3, "q"))], "run string, node long, label string")
+    got = graph.agreement(edges, runs)
+    assert "keys=[src" not in plan(got)
+    assert {(x.src, x.dst): x.w for x in got.collect()} == {(1, 2): 0.5, (1, 3): 0.0}
+
+
+def test_bootstrap_and_k_means_sort_no_group_and_shuffle_no_vector(spark):
+    rows = spark.createDataFrame([("g", i, float(i)) for i in range(40)] + [("h", i, 1.0) for i in range(3)], "g string, i long, v double")
+    got = intervals.bootstrap_means(rows, "g", "i", "v", 5, "s")
+    assert "Window" not in plan(got)
+    at = lambda rep, slot: int(hashlib.md5(f"s:g:{rep}:{slot}".encode()).hexdigest()[:8], 16) % 40
+    means = [sum(at(rep, k) for k in range(40)) / 40 for rep in range(5)]
+    x = got.collect()
+    assert len(x) == 1 and x[0].n == 40 and x[0].point == 19.5 and abs(x[0].se - statistics.stdev(means)) < 1e-9
+    tables = spark.createDataFrame([(0, i, [float(i), 1.0]) for i in range(10)], "rep int, i long, v array<double>")
+    near = clusters.k_means(tables, "i", "v", [2], 1, "s")
+    assert near.count() == 10 and "hashpartitioning(rep, k, i" not in plan(near) and "i#" not in "".join(x for x in plan(near).split("\n") if "Exchange hash" in x)
+
+
+def test_xml_files_are_bounded(spark, monkeypatch):
+    from nullgauge.plans import files
+
+    seen, read = [], files.readers.read_xml_records
+    monkeypatch.setattr(files.readers, "read_xml_records", lambda s, path, *rest: seen.append(path) or read(s, path, *rest))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        entry.queries()["o004_xml_records"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert spark.read.format("binaryFile").load(f"{seen[0]}/part-*").count() > 1
