@@ -34,6 +34,19 @@ def test_sweep_ends_when_no_node_wants_to_move(spark, orders):
     assert len(rows) == 7 and all(x.unsettled == 0 for x in rows)
 
 
+def test_consensus_starts_from_settled_runs(spark, orders, monkeypatch):
+    seen, moves = [], stability.batched_moves
+
+    def noted(*args, **kwargs):
+        out = moves(*args, **kwargs)
+        seen.append(sum(x[2] for x in out[1]))
+        return out
+
+    monkeypatch.setattr(stability, "batched_moves", noted)
+    assert entry.queries()["o153_consensus"](spark, orders).count() == 60
+    assert seen == [0, 0]
+
+
 def test_rounds_between_blocks_equal_those_in_one_task_and_leave_no_tables(spark, monkeypatch):
     edges = dense(spark)
     runs = spark.createDataFrame([(k, x) for k, x in enumerate((0.5, 1.0, 1.0, 2.0))], "run int, resolution double")
