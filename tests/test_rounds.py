@@ -67,3 +67,18 @@ def test_ids_far_apart_move_like_others(spark):
     found = stability.batched_moves(spark.createDataFrame(wide, "src long, dst long, w long"), runs)[0].collect()
     assert len(found) == 90
     assert all(len({x.label for x in found if x.run == r and (x.node >= 5 * 10**17) == side}) == 1 for r in range(9) for side in (False, True))
+
+
+def test_steps_of_walks_shuffle_no_node(spark):
+    edges = dense(spark)
+    seeds = spark.createDataFrame([("a", 0), ("b", 1), ("b", 99)], "seed_set string, node long")
+
+    def sent(steps: int) -> int:
+        before = records(spark)
+        walks = graph.random_walk(edges, seeds, steps=steps).collect()
+        assert abs(sum(x.score for x in walks if x.seed_set == "a") - 1) < 1e-9
+        return records(spark) - before
+
+    few, kept = sent(2), tables(spark)
+    assert sent(12) - few < 10 * 40
+    assert tables(spark) - kept <= 4
