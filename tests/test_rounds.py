@@ -82,3 +82,12 @@ def test_steps_of_walks_shuffle_no_node(spark):
     few, kept = sent(2), tables(spark)
     assert sent(12) - few < 10 * 40
     assert tables(spark) - kept <= 4
+
+
+def test_spreading_labels_equal_in_blocks_and_leave_no_tables(spark, monkeypatch):
+    edges = dense(spark)
+    whole = {x.node: x.label for x in graph.label_propagation(edges).collect()}
+    monkeypatch.setattr(adjacency, "EDGES", 200)
+    before = tables(spark)
+    assert {x.node: x.label for x in graph.label_propagation(edges).collect()} == whole and len(whole) == 40
+    assert tables(spark) - before <= 2
