@@ -91,3 +91,13 @@ def test_spreading_labels_equal_in_blocks_and_leave_no_tables(spark, monkeypatch
     before = tables(spark)
     assert {x.node: x.label for x in graph.label_propagation(edges).collect()} == whole and len(whole) == 40
     assert tables(spark) - before <= 2
+
+
+def test_components_meet_over_fewer_edges(spark, monkeypatch):
+    monkeypatch.setattr(adjacency, "EDGES", 150)
+    edges = dense(spark).unionByName(spark.createDataFrame([(100 + k, 101 + k, 1) for k in range(0, 60, 1)] + [(300, 300, 1)], "src long, dst long, w long")).cache()
+    expected = {k: -7 for k in range(-7, 33)} | {k: 100 for k in range(100, 161)} | {300: 300}
+    assert {x.node: x.component for x in graph.component_labels(edges).collect()} == expected
+    assert graph._forest(edges).count() < edges.count() // 2
+    words = spark.createDataFrame([("b", "a", 1), ("c", "d", 1), ("d", "b", 1)], "src string, dst string, w long")
+    assert {x.component for x in graph.component_labels(words).collect()} == {"a"}
