@@ -101,3 +101,13 @@ def test_components_meet_over_fewer_edges(spark, monkeypatch):
     assert graph._forest(edges).count() < edges.count() // 2
     words = spark.createDataFrame([("b", "a", 1), ("c", "d", 1), ("d", "b", 1)], "src string, dst string, w long")
     assert {x.component for x in graph.component_labels(words).collect()} == {"a"}
+
+
+def test_triangles_are_counted_in_jobs_that_free_their_copies(spark, monkeypatch):
+    edges = dense(spark)
+    whole = {x.node: x.triangles for x in graph.triangles(edges).collect()}
+    monkeypatch.setattr(adjacency, "EDGES", 60)
+    monkeypatch.setattr(graph, "FIRSTS", 6)
+    before = tables(spark)
+    assert {x.node: x.triangles for x in graph.triangles(edges).collect()} == whole
+    assert tables(spark) - before > 2
