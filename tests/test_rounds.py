@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from nullgauge.operators import adjacency, graph, stability
+from nullgauge.operators import adjacency, graph, recovery, stability
 from nullgauge.operators.draws import shared_folder
 from tests.test_adjacency import records
 
@@ -111,3 +111,14 @@ def test_triangles_are_counted_in_jobs_that_free_their_copies(spark, monkeypatch
     before = tables(spark)
     assert {x.node: x.triangles for x in graph.triangles(edges).collect()} == whole
     assert tables(spark) - before > 2
+
+
+def test_hidden_members_are_scored_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(g, p, rng.random() < 0.5) for g in range(14) for p in range(50) if rng.random() < 0.3], "g long, p long, hidden boolean")
+    whole = {x.g: (x.hits, round(x.ap, 9)) for x in recovery.hidden_member_precision(rows).collect()}
+    for name, n in (("GROUPS", 3), ("MEMBERS", 11), ("AT_ONCE", 2)):
+        monkeypatch.setattr(recovery, name, n)
+    before = tables(spark)
+    assert {x.g: (x.hits, round(x.ap, 9)) for x in recovery.hidden_member_precision(rows).collect()} == whole and len(whole) == 14
+    assert tables(spark) - before == 2 + 3 * 3
