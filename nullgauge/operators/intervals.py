@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draws import dealt, numbered, ranged_draws, replicates, saved, spread, u32
+from .draws import dealt, numbered, ranged_draws, saved, spread, u32, written
 
 Z95 = 1.959964
+#: Draws of a bootstrap that are shuffled at once, and the least replicates, since the rows are shuffled with each time.
+DRAWS, LEAST_REPS = 50_000_000, 4
 
 
 def _col(x) -> Column:
@@ -40,9 +42,14 @@ def bootstrap_means(df: DataFrame, by: str, ident: str, value: str, reps: int, s
     chunk = F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(50_000)))
     chunks = spread(groups.select(by, "_first", "_n", chunk.alias("_at")), total * reps)
     slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + 49_999, F.col("_n") - 1))))
-    drawn = replicates(slots, reps).select((F.col("_first") + u32(seed, F.col(by), F.col("rep"), F.col("slot")) % F.col("_n")).alias("pos"), F.col("rep").cast("int").alias("rep"))
-    there = dealt(rows, total, "pos").hint("shuffle_hash")
-    each = dealt(drawn, total, "pos").join(there, "pos").groupBy(by, "rep").agg(F.avg(value).alias("m"))
+    there, each = dealt(rows, total, "pos").hint("shuffle_hash"), None
+    # some replicates at a time, whose shuffle goes before the next, so that disks never hold the draws of all
+    at_once = max(LEAST_REPS, min(reps, DRAWS // max(total, 1)))
+    for low in range(0, reps, at_once):
+        some = slots.withColumn("rep", F.explode(F.sequence(F.lit(low), F.lit(min(low + at_once, reps) - 1))))
+        drawn = some.select((F.col("_first") + u32(seed, F.col(by), F.col("rep"), F.col("slot")) % F.col("_n")).alias("pos"), F.col("rep").cast("int").alias("rep"))
+        means = written(dealt(drawn, total, "pos").join(there, "pos").groupBy(by, "rep").agg(F.avg(value).alias("m")))
+        each = means if each is None else each.unionByName(means)
     ends = each.groupBy(by).agg(F.stddev_samp("m").alias("se"), F.percentile("m", 0.025).alias("p_lo"), F.percentile("m", 0.975).alias("p_hi"))
     point = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("point")).filter(F.col("n") >= least)
     return point.join(ends, by).withColumns({"lo": F.col("point") - 1.96 * F.col("se"), "hi": F.col("point") + 1.96 * F.col("se")})

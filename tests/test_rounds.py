@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from nullgauge.operators import adjacency, graph, recovery, stability
+from nullgauge.operators import adjacency, graph, intervals, recovery, stability
 from nullgauge.operators.draws import shared_folder
 from tests.test_adjacency import records
 
@@ -122,3 +122,16 @@ def test_hidden_members_are_scored_in_parts(spark, monkeypatch):
     before = tables(spark)
     assert {x.g: (x.hits, round(x.ap, 9)) for x in recovery.hidden_member_precision(rows).collect()} == whole and len(whole) == 14
     assert tables(spark) - before == 2 + 3 * 3
+
+
+def test_bootstrap_draws_come_in_parts(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id % 3 AS g", "id", "CAST(id * id % 17 AS DOUBLE) AS v")
+
+    def means() -> list[list[float]]:
+        return [[round(x, 9) for x in r] for r in intervals.bootstrap_means(rows, "g", "id", "v", 10, "boot").orderBy("g").collect()]
+
+    whole = means()
+    monkeypatch.setattr(intervals, "DRAWS", 600)
+    before = tables(spark)
+    assert means() == whole and len(whole) == 3
+    assert tables(spark) - before == 3
